@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, url_filter
+from . import bpe, chat_format, language_id, ngram_join, url_filter
 from .common import bucket_of, table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -147,3 +147,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op7_url_filter": OP7_SQL}
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.components(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES["op1_ngram_join"] = op1_ngram_join
+ORACLE_SQL["op1_ngram_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, {WORD_SQL}) AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.c + q.c - k)),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, y FROM r JOIN links ON node = x)
+SELECT r.doc_id, coalesce(max(n.c), 0)::BIGINT AS n_shingles, min(node) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

@@ -43,6 +43,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def fold(x: np.ndarray) -> int:
+    """One signed 64-bit hash of a sequence of distinct hashes in any order."""
+    if not len(x):
+        return 0
+    both = np.array([np.bitwise_xor.reduce(mix(x + U64(7))), np.add.reduce(mix(x))], dtype=U64)
+    return int(mix(mix(both[:1]) + both[1:] + U64(len(x)))[0].view(np.int64))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
