@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, ngram_join, url_filter
+from . import bpe, chat_format, decontaminate, language_id, ngram_join, url_filter
 from .common import bucket_of, table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -166,3 +166,13 @@ links AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y W
 r(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, y FROM r JOIN links ON node = x)
 SELECT r.doc_id, coalesce(max(n.c), 0)::BIGINT AS n_shingles, min(node) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontaminate.flag(docs, items).select("doc_id", F.explode("leaks").alias("l"))
+    return found.select("doc_id", "l.item_id", F.col("l.start").cast("long").alias("start_word"), F.col("l.n_words").cast("long").alias("n_words"), F.round("l.similarity", 6).alias("similarity"))
+
+
+QUERIES["op4_decontaminate"] = op4_decontaminate
