@@ -57,7 +57,7 @@ def put(uri: str, blob_parts) -> int:
     folder = path.rsplit("/", 1)[0]
     filesystem.create_dir(folder, recursive=True)
     draft, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with filesystem.open_output_stream(draft) as out:
+    with filesystem.open_output_stream(draft, compression=None) as out:
         for part in blob_parts:
             out.write(part)
             size += len(part)

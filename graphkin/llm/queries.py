@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, language_id, ngram_join, url_filter
+from . import bpe, chat_format, decontaminate, hmm_score, language_id, ngram_join, pivot_search, training_order, url_filter, warc
 from .common import bucket_of, table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -176,3 +176,43 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_decontaminate"] = op4_decontaminate
+
+
+def op2_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("doc_id"), 10) == 0
+    model, counts = hmm_score.train(docs.where(~held_out))
+    return hmm_score.score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("vec_id").cast("long").alias("vec_id"), "score")
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each sequence, read back from the shards."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = training_order.materialise(docs, vocabulary(), key=20240917)
+    return training_order.digest(training_order.read_slots(manifest)).select("slot", F.col("id").alias("doc_id"), F.col("k").alias("sequence"), "n_tokens", "tokens_sha256")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolve_revisits(warc.read(warc.archive(table(spark, sf_dir, "pages"))))
+
+
+QUERIES |= {"op2_hmm_score": op2_hmm_score, "op3_pivot_search": op3_pivot_search, "op5_training_order": op5_training_order, "op8_warc": op8_warc}
+ORACLE_SQL["op3_pivot_search"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+ORACLE_SQL["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha256(t) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS head FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN head <> page_id THEN head END AS refers_to FROM f
+"""
