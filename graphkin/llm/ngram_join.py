@@ -36,7 +36,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -46,6 +48,8 @@ from .common import checkpoint
 MAX_HEAVY = 1 << 18
 HEAVY_DF = 16  # a token in more documents than this may be heavy
 PIECE = 4 << 20
+HALF = np.uint64(1 << 63)
+MAX_BITS = 1 << 27  # of a sieve
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -72,13 +76,14 @@ def _sets(column: pa.Array, n: int) -> list[np.ndarray]:
 def heavy_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.uint64]:
     """The most frequent shingles by number of documents, at most MAX_HEAVY, ascending.
 
-    Tasks send their distinct tokens in blobs by hash range, 32 bits of each
-    (beside the bits that the range fixes) with their counts; a range is summed
-    in one task.  The number of ranges follows that of the input partitions.
+    Prefixes are taken from the low end of the hashes, so those of the lower half
+    are counted.  Tasks send their distinct tokens in blobs by hash range, 24 bits
+    of each (beside the bits that the range fixes) with their counts; a range is
+    summed in one task.  The number of ranges follows that of the input partitions.
     """
     parts = docs.rdd.getNumPartitions()
     bits = max(6, min(16, int(np.ceil(np.log2(2 * parts + 1)))))
-    low = np.uint64(64 - bits - 32)
+    low = np.uint64(63 - bits - 24)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -86,27 +91,29 @@ def heavy_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.uin
         def flush() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            bucket = (token >> np.uint64(32)).astype(np.int32)
+            bucket = (token >> np.uint64(24)).astype(np.int32)
+            three = token.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             cut = lambda x: [y.tobytes() for y in np.split(x, at[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(cut(token.astype(np.uint32)), pa.binary()), pa.array(cut(count.astype(np.uint32)), pa.binary())], ["bucket", "tokens", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(cut(three), pa.binary()), pa.array(cut(count.astype(np.uint32)), pa.binary())], ["bucket", "tokens", "counts"])
 
         for part in _pieces(batches, text):
-            held += [s >> low for s in _sets(part.column(text), n)]
+            held += [s[: np.searchsorted(s, HALF)] >> low for s in _sets(part.column(text), n)]
             if sum(map(len, held)) > 3_000_000:
                 yield flush()
         if sum(map(len, held)):
             yield flush()
 
     def add(table: pa.Table) -> pa.Table:
-        token = np.concatenate([np.frombuffer(x, np.uint32) for x in table["tokens"].to_pylist()])
+        three = np.concatenate([np.frombuffer(x, np.uint8) for x in table["tokens"].to_pylist()]).reshape(-1, 3)
+        token = three[:, 0] + three[:, 1].astype(np.uint32) * 256 + three[:, 2].astype(np.uint32) * 65536
         count = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
         order = np.argsort(token, kind="stable")
         token, count = token[order], count[order]
         at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         df, token = np.add.reduceat(count.astype(np.int64), at), token[at].astype(np.int64)
         keep = df > HEAVY_DF
-        base = table["bucket"][0].as_py() << 32
+        base = table["bucket"][0].as_py() << 24
         return pa.table({"token": token[keep] + base, "df": df[keep]})
 
     counted = docs.select(text).mapInArrow(emit, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(add, "token bigint, df bigint")
@@ -114,38 +121,76 @@ def heavy_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.uin
     return np.sort(rows["token"].to_numpy().astype(np.uint64)), low
 
 
+def _prefix(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> np.ndarray:
+    """The first tokens of a set in the common order."""
+    k = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+    if not len(often):
+        return s[:k]
+    key = s >> low
+    heavy = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
+    prefix = s[~heavy][:k]
+    return prefix if len(prefix) == k else np.concatenate([prefix, s[heavy][: k - len(prefix)]])
+
+
+def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(text).alias("text"))
+
+
 def signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """id, n (set size), f (hash of the set), g (hash of prefix and size), prefix (array)."""
+    """id, key (the id as text), n (set size), f (hash of the set), g (hash of prefix and size)."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, low = shared.value
         for part in _pieces(batches, "text"):
-            size, f, g, prefixes = [], [], [], []
-            for s in _sets(part.column("text"), n):
-                m = len(s)
-                k = m - -(-percent * m // 100) + 1 if m else 0
-                prefix = s[:0]
-                if m:
-                    if len(often):
-                        at = np.minimum(np.searchsorted(often, s >> low), len(often) - 1)
-                        is_heavy = often[at] == s >> low
-                        prefix = s[~is_heavy][:k]
-                        if len(prefix) < k:
-                            prefix = np.concatenate([prefix, s[is_heavy][: k - len(prefix)]])
-                    else:
-                        prefix = s[:k]
-                size.append(m)
-                f.append(textops.fold(s))
-                g.append(textops.fold(prefix))
-                prefixes.append(prefix)
-            first = np.zeros(len(prefixes) + 1, np.int64)
-            np.cumsum([len(p) for p in prefixes], out=first[1:])
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64()), textops.list_array(first, flat)], ["id", "n", "f", "g", "prefix"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n bigint, f bigint, g bigint, prefix array<bigint>")
+            sets = _sets(part.column("text"), n)
+            f, g = [textops.fold(s) for s in sets], [_group(s, often, low, percent)[0] for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64())], ["id", "key", "n", "f", "g"])
+
+    return _keyed(docs, id_col, text).mapInArrow(run, f"id {kind}, key string, n bigint, f bigint, g bigint")
+
+
+def _group(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> tuple[int, np.ndarray]:
+    prefix = _prefix(s, often, low, percent)
+    return textops.fold(np.append(prefix, np.uint64(len(s)))) if len(s) else 0, prefix
+
+
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """A bitmap of (f, key) rows, of 16 bits for each row and MAX_BITS at most: tasks drop most other documents by it.  Exact joins follow."""
+    bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (16 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(F.concat_ws(":", F.col("f").cast("string"), F.col("key"))), F.lit(bits))
+    words = keys.select(at.alias("at")).groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("b"))
+    rows = words.toPandas()  # MAX_BITS / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _passes(sieve: np.ndarray, f: int, key: str) -> bool:
+    at = xxhash.xxh64_intdigest(f"{f}:{key}".encode(), 42) & (len(sieve) * 64 - 1)
+    return bool(int(sieve[at >> 6]) >> (at & 63) & 1)
+
+
+def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], leads: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+    """token, g, n, pos: the prefixes of the groups, from one document of each (leads: f, key)."""
+    shared = docs.sparkSession.sparkContext.broadcast((*heavy, _sieve(leads)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, low, sieve = shared.value
+        for part in _pieces(batches, "text"):
+            tokens, groups, sizes, places = [], [], [], []
+            for s, key in zip(_sets(part.column("text"), n), part.column("key").to_pylist(), strict=True):
+                if len(s) and _passes(sieve, textops.fold(s), key):
+                    g, prefix = _group(s, often, low, percent)
+                    tokens.append(prefix)
+                    groups.append(np.full(len(prefix), g, np.int64))
+                    sizes.append(np.full(len(prefix), len(s), np.int32))
+                    places.append(np.arange(len(prefix), dtype=np.int32))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (groups, sizes, places))], ["token", "g", "n", "pos"])
+
+    return _keyed(docs, id_col, text).mapInArrow(run, "token bigint, g bigint, n int, pos int")
 
 
 def _index_prefix(n: Column, percent: int) -> Column:
@@ -161,18 +206,21 @@ def _possible(percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of texts whose sets are similar enough.  reps: f and the id of one document with that set."""
+    """The pairs (a, b) of texts whose sets are similar enough.  reps: f and the key of one document with that set."""
     need = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(reps, "f")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(need.withColumnsRenamed({"id": "_id", "f": "_f"}), F.col("id").eqNullSafe(F.col("_id"))).select("_f", "text")
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = shared.value
         for part in _pieces(batches, "text"):
-            sets = _sets(part.column("text"), n)
+            sets = [(textops.fold(s), s, key) for s, key in zip(_sets(part.column("text"), n), part.column("key").to_pylist(), strict=True)]
+            sets = [x for x in sets if _passes(sieve, x[0], x[2])]
             first = np.zeros(len(sets) + 1, np.int64)
-            np.cumsum([len(s) for s in sets], out=first[1:])
-            yield pa.RecordBatch.from_arrays([part.column("_f"), textops.list_array(first, np.concatenate(sets) if sets else np.zeros(0, np.uint64))], ["f", "s"])
+            np.cumsum([len(s) for _, s, _ in sets], out=first[1:])
+            flat = np.concatenate([s for _, s, _ in sets]) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in sets], pa.int64()), textops.list_array(first, flat)], ["f", "s"])
 
-    sets = texts.mapInArrow(run, "f bigint, s array<bigint>")
+    sets = _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, s array<bigint>")
     x, y = F.col("s"), F.col("s2")
     both = pairs.join(sets, pairs["a"] == sets["f"]).select("a", "b", "s").join(sets.select(F.col("f").alias("f2"), F.col("s").alias("s2")), F.col("b") == F.col("f2"))
     common = F.size(F.array_intersect(x, y))
@@ -181,44 +229,49 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str,
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles, n_links (verified links of its text that were needed) and component_id, one row for each row of docs."""
-    sig = checkpoint(signatures(docs, heavy_tokens(docs, text, n), id_col=id_col, text=text, n=n, percent=percent))
+    how = {"id_col": id_col, "text": text, "n": n, "percent": percent}
+    heavy = heavy_tokens(docs, text, n)
+    sig = checkpoint(signatures(docs, heavy, **how))
     full = sig.where("n > 0")
-    texts = checkpoint(full.groupBy("n", "g", "f").agg(F.min("id").alias("id")))
-    groups = full.groupBy("n", "g").agg(F.min(F.struct("f", "prefix")).alias("m")).select("n", "g", F.col("m.f").alias("lead"), F.col("m.prefix").alias("prefix"))
-    post = groups.select(F.posexplode("prefix").alias("pos", "token"), "n", "g", "lead").select("token", "g", "lead", "n", F.col("pos").cast("long").alias("pos"), _index_prefix(F.col("n"), percent).alias("ip"))
-    common = post.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    post = checkpoint(post.join(common, "token"))
-
-    verify = lambda pairs: _verify(checkpoint(pairs.distinct()), docs, texts.select("f", "id"), id_col=id_col, text=text, n=n, percent=percent)
+    texts = checkpoint(full.groupBy("g", "f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("m")).select("g", "f", "m.id", "m.key"))
+    leads = texts.groupBy("g").agg(F.min(F.struct("f", "key")).alias("m")).select("g", F.col("m.f").alias("lead"), F.col("m.key").alias("key"))
+    post = postings(docs, heavy, leads.select(F.col("lead").alias("f"), "key"), **how)
+    # groups that share no token with another are of no use: one shuffle finds the others
+    post = post.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").select("token", "g", "n", "pos")
+    post = checkpoint(post).withColumn("n", F.col("n").cast("bigint")).withColumn("ip", _index_prefix(F.col("n"), percent))
+
+    verify = lambda pairs: _verify(checkpoint(pairs.distinct()), docs, texts.select("f", "key"), **how)
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     # first pass: a few centres for each token, and each group's lead for its texts
-    as_centre = lambda *key: F.min(F.struct(*key, F.col("lead").alias("lead2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("ip").alias("ip2")))
-    hashed = lambda seed: F.xxhash64("lead", F.lit(seed)).alias("h")
+    as_centre = lambda *key: F.min(F.struct(*key, F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("ip").alias("ip2")))
+    hashed = lambda seed: F.xxhash64("g", F.lit(seed)).alias("h")
     centres = post.groupBy("token").agg(as_centre(F.col("n").alias("h")).alias("c0"), as_centre(hashed(1)).alias("c1"), as_centre(hashed(2)).alias("c2"))
-    each = post.join(centres, "token").select("lead", "n", "pos", "ip", F.explode(F.array("c0", "c1", "c2")).alias("c")).select("lead", "n", "pos", "ip", "c.*")
-    star = each.where((F.col("lead") != F.col("lead2")) & _possible(percent)).select(*ordered("lead", "lead2"))
-    leads = groups.select("n", "g", "lead")
-    inner = texts.join(leads, ["n", "g"]).where("f <> lead").select(*ordered("f", "lead"))
+    each = post.join(centres, "token").select("g", "n", "pos", "ip", F.explode(F.array_distinct(F.array("c0.g2", "c1.g2", "c2.g2"))).alias("w"), "c0", "c1", "c2")
+    chosen = F.when(F.col("w") == F.col("c0.g2"), F.struct("c0.g2", "c0.n2", "c0.pos2", "c0.ip2")).when(F.col("w") == F.col("c1.g2"), F.struct("c1.g2", "c1.n2", "c1.pos2", "c1.ip2")).otherwise(F.struct("c2.g2", "c2.n2", "c2.pos2", "c2.ip2"))
+    star = each.select("g", "n", "pos", "ip", chosen.alias("c")).select("g", "n", "pos", "ip", "c.*").where((F.col("g") != F.col("g2")) & _possible(percent)).select(*ordered("g", "g2")).distinct()
+    lead = leads.select("g", "lead")
+    star = star.join(lead.withColumnsRenamed({"g": "a", "lead": "x"}), "a").join(lead.withColumnsRenamed({"g": "b", "lead": "y"}), "b").select(*ordered("x", "y"))
+    inner = texts.join(lead, "g").where("f <> lead").select(*ordered("f", "lead"))
     links = checkpoint(verify(star.union(inner)))
     labels = checkpoint(connected_components(links, "a", "b", checkpoint))
 
     # second pass: what is still in different components
-    named = checkpoint(texts.join(labels, texts["f"] == labels["node"], "left").select("n", "g", "f", F.coalesce("root", "f").alias("root")))
-    by_group = named.groupBy("n", "g").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"))
-    post = post.join(by_group, ["n", "g"]).select("token", "n", "g", "pos", "ip", F.when(F.col("mixed"), F.col("g")).otherwise(F.col("root")).alias("root"), "mixed")
+    named = checkpoint(texts.join(labels, texts["f"] == labels["node"], "left").select("g", "f", F.coalesce("root", "f").alias("root")))
+    by_group = named.groupBy("g").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"))
+    post = checkpoint(post.join(by_group, "g").select("token", "n", "g", "pos", "ip", F.when(F.col("mixed"), F.col("g")).otherwise(F.col("root")).alias("root"), "mixed"))
     per = post.groupBy("token", "root").agg(F.count("*").alias("k"), F.max("mixed").alias("mixed"))
     major = per.groupBy("token").agg(F.max(F.struct(F.when(F.col("mixed"), 0).otherwise(F.col("k")).alias("k"), "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("major"))
     open_lists = checkpoint(post.join(major, "token"))
     minor = open_lists.where((F.col("root") != F.col("major")) | F.col("mixed")).drop("major")
     other = open_lists.select("token", F.col("n").alias("n2"), F.col("g").alias("g2"), F.col("pos").alias("pos2"), F.col("ip").alias("ip2"), F.col("root").alias("root2"))
-    pairs = minor.join(other, "token").where((F.col("root") != F.col("root2")) & _possible(percent)).select("n", "g", "n2", "g2").distinct()
-    left, right = named.select("n", "g", F.col("f").alias("x"), F.col("root").alias("rx")), named.select(F.col("n").alias("n2"), F.col("g").alias("g2"), F.col("f").alias("y"), F.col("root").alias("ry"))
-    across = pairs.join(left, ["n", "g"]).join(right, ["n2", "g2"]).where("rx <> ry").select(*ordered("x", "y"))
+    pairs = minor.join(other, "token").where((F.col("root") != F.col("root2")) & _possible(percent)).select("g", "g2").distinct()
+    left, right = named.select("g", F.col("f").alias("x"), F.col("root").alias("rx")), named.select(F.col("g").alias("g2"), F.col("f").alias("y"), F.col("root").alias("ry"))
+    across = pairs.join(left, "g").join(right, "g2").where("rx <> ry").select(*ordered("x", "y"))
     # texts of one group that are not yet together: those outside its largest component against all
-    size = named.groupBy("n", "g", "root").agg(F.count("*").alias("k")).groupBy("n", "g").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("n", "g", F.col("m.root").alias("major"))
-    outside = named.join(size, ["n", "g"]).where("root <> major").select("n", "g", F.col("f").alias("x"), F.col("root").alias("rx"))
-    within = outside.join(named.select("n", "g", F.col("f").alias("y"), F.col("root").alias("ry")), ["n", "g"]).where("rx <> ry").select(*ordered("x", "y"))
+    size = named.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("g", F.col("m.root").alias("major"))
+    outside = named.join(size, "g").where("root <> major").select("g", F.col("f").alias("x"), F.col("root").alias("rx"))
+    within = outside.join(named.select("g", F.col("f").alias("y"), F.col("root").alias("ry")), "g").where("rx <> ry").select(*ordered("x", "y"))
     more = checkpoint(verify(across.union(within)))
     all_links = links.union(more)
     if not more.isEmpty():

@@ -1,4 +1,610 @@
-"""The registered queries of the matching engine and their SQL."""
+"""The registered queries of the matching engine and their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The driver's tables stand in for datasets: sides by parity of a key or by time,
+event sequences for control-flow graphs, a user's next user for call graphs.
+Every query runs over whole tables.
+"""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import bags, cfg, distance
+from ..functions.aggregate import vector_sum
+from ..functions.schema import FeatureSpec, FeatureVector
+from ..operators import assignment, blocking, dataset, graph, matchers, modular
+from ..operators.components import connected_components
+from .diff import Options, Side, diff
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+MIDDLE = "2024-01-16"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, in spark.checkpoint.dir; a temporary folder where that is unset (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphkin-"))
+    return df.checkpoint()
+
+
+# -- stand-ins
+
+
+def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.col("p_name").alias("name"), "p_brand", "p_type", "p_size")
+    return p.where("pk % 2 = 0"), p.where("pk % 2 = 1")
+
+
+PARTS_SQL = """
+l AS (SELECT p_partkey AS pk, p_name AS name, p_brand, p_type, p_size FROM part WHERE p_partkey % 2 = 0),
+r AS (SELECT p_partkey AS pk, p_name AS name, p_brand, p_type, p_size FROM part WHERE p_partkey % 2 = 1)
+"""
+
+
+def ranked_sql(key: str, where: str = "TRUE", extra: str = "") -> str:
+    side = lambda s: f"(SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY pk DESC) AS n, {key} AS k FROM {s} WHERE {where})"
+    return f"WITH {PARTS_SQL}{extra} SELECT a.pk AS lhs_pk, a.name AS lhs_name, b.pk AS rhs_pk, b.name AS rhs_name FROM {side('l')} a JOIN {side('r')} b ON a.k = b.k AND a.n = b.n"
+
+
+def user_calls(spark: SparkSession, sf_dir: str, late: bool | None = None) -> DataFrame:
+    """src, dst, weight: each user's next user over all events (or one half of the time)."""
+    e = t(spark, sf_dir, "events")
+    if late is not None:
+        e = e.where(F.col("ts") >= MIDDLE) if late else e.where(F.col("ts") < MIDDLE)
+    # the order over all events is what the graph is made of; only two keys and the time go through it
+    step = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(W.orderBy("ts", "event_id")).alias("dst"))
+    return step.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+CALLS_SQL = """
+calls AS (SELECT src, dst, count(*) AS weight FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL GROUP BY ALL)
+"""
+
+
+def half_calls_sql(name: str, condition: str) -> str:
+    return f"{name} AS (SELECT src, dst, count(*) AS weight FROM (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events WHERE ts {condition} TIMESTAMP '{MIDDLE}') WHERE dst IS NOT NULL GROUP BY ALL)"
+
+
+BOW = FeatureVector((FeatureSpec("bow", 5, "euclid"), FeatureSpec("days", 1, "point")))
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def users(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
+    """pk, name, bow (events by type), days of the users of one half of the time."""
+    e = t(spark, sf_dir, "events")
+    e = e.where(F.col("ts") >= MIDDLE) if late else e.where(F.col("ts") < MIDDLE)
+    counts = F.array(*(F.count_if(F.col("event_type") == k).cast("int") for k in TYPES))
+    return e.groupBy(F.col("user_id").alias("pk")).agg(F.col("pk").cast("string").alias("name"), counts.alias("bow"), F.countDistinct(F.to_date("ts")).cast("int").alias("days"))
+
+
+def user_sides(spark: SparkSession, sf_dir: str) -> tuple[Side, Side]:
+    region = lambda rows: rows.select("pk", F.floor(F.col("pk") / 25).alias("grp"))
+    sides = []
+    for late in (False, True):
+        rows = users(spark, sf_dir, late)
+        sides.append(Side(rows, user_calls(spark, sf_dir, late), region(rows)))
+    return sides[0], sides[1]
+
+
+def event_cfgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, bucket, src, dst: types of consecutive events of a user in three days; the last one's dst is null."""
+    e = t(spark, sf_dir, "events")
+    e = e.select("user_id", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 3).alias("bucket"), "ts", "event_id", (F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")) - 1).alias("src"))
+    return e.select("user_id", "bucket", "src", F.lead("src").over(W.partitionBy("user_id", "bucket").orderBy("ts", "event_id")).alias("dst"))
+
+
+CFG_SQL = """
+e AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) // 3 AS bucket, ts, event_id, list_position(['click','error','purchase','signup','view'], event_type) - 1 AS src FROM events),
+g AS (SELECT user_id, bucket, src, lead(src) OVER (PARTITION BY user_id, bucket ORDER BY ts, event_id) AS dst FROM e)
+"""
+
+
+def user_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "events").select(F.col("user_id").alias("pk")).distinct().withColumn("cluster", F.col("pk") % 7)
+
+
+# -- dataset operators
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size = 15")
+def dataset_project_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.select_equal(t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_size", 15)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 AND o_orderkey < 5000")
+def dataset_crop_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.crop(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 100, 5000, "o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
+def dataset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.lookup(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), 42, "c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def dataset_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return dataset.semi(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), keys, "c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def dataset_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return dataset.anti(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), keys, "c_custkey")
+
+
+@query("SELECT s_suppkey AS pk, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
+def dataset_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = t(spark, sf_dir, "supplier"), t(spark, sf_dir, "customer")
+    return dataset.insert(a.select(F.col("s_suppkey").alias("pk"), F.col("s_name").alias("name")), b.select(F.col("c_custkey").alias("pk"), F.col("c_name").alias("name")))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS n_keys FROM documents")
+def dataset_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_keys"))
+
+
+@query(f"WITH {CALLS_SQL} SELECT DISTINCT user_id AS pk FROM events WHERE user_id IN (SELECT dst FROM calls WHERE src = 7)")
+def neighbor_succ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "events").select(F.col("user_id").alias("pk")).distinct()
+    return dataset.successors(rows, user_calls(spark, sf_dir), 7)
+
+
+@query(f"WITH {CALLS_SQL} SELECT DISTINCT user_id AS pk FROM events WHERE user_id IN (SELECT src FROM calls WHERE dst = 7)")
+def neighbor_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "events").select(F.col("user_id").alias("pk")).distinct()
+    return dataset.predecessors(rows, user_calls(spark, sf_dir), 7)
+
+
+@query(
+    f"WITH {CALLS_SQL}, e AS (SELECT src AS pk, 1 AS o, 0 AS i, weight AS w FROM calls UNION ALL SELECT dst, 0, 1, weight FROM calls) "
+    "SELECT pk, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, sum(i * w)::BIGINT AS weighted_in, sum(o * w)::BIGINT AS weighted_out FROM e GROUP BY pk"
+)
+def degree_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(user_calls(spark, sf_dir))
+
+
+# -- distances
+
+
+@query("SELECT c_custkey, round(CASE WHEN greatest(c_custkey, c_nationkey) = 0 THEN 0 ELSE abs(c_custkey - c_nationkey) / greatest(c_custkey, c_nationkey)::DOUBLE END, 6) AS d FROM customer")
+def point_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = t(spark, sf_dir, "customer")
+    return c.select("c_custkey", F.round(distance.point(F.col("c_custkey"), F.col("c_nationkey")), 6).alias("d"))
+
+
+@query(
+    "WITH e AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS next_id, embedding::DOUBLE[] AS a, (lead(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[] AS b FROM embeddings) "
+    "SELECT vec_id, next_id, round(list_distance(a, b) / greatest(sqrt(list_inner_product(a, a)), sqrt(list_inner_product(b, b))), 6) AS d FROM e WHERE next_id IS NOT NULL"
+)
+def euclidean_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("label").orderBy("vec_id")
+    e = t(spark, sf_dir, "embeddings").select("vec_id", F.lead("vec_id").over(order).alias("next_id"), F.col("embedding").alias("a"), F.lead("embedding").over(order).alias("b"))
+    return e.where("next_id IS NOT NULL").select("vec_id", "next_id", F.round(distance.euclid(F.col("a"), F.col("b")), 6).alias("d"))
+
+
+@query("SELECT o_orderkey, round(CASE WHEN o_orderkey = o_custkey THEN 0 ELSE bit_count(xor(o_orderkey, o_custkey)) / length(bin(xor(o_orderkey, o_custkey)))::DOUBLE END, 6) AS d FROM orders")
+def hamming_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = t(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.round(distance.hamming(F.array("o_orderkey"), F.array("o_custkey")), 6).alias("d"))
+
+
+BOW_SQL = ", ".join(f"count(*) FILTER (event_type = '{k}')::DOUBLE" for k in TYPES)
+
+
+@query(
+    f"WITH u AS (SELECT user_id, ts >= TIMESTAMP '{MIDDLE}' AS late, [{BOW_SQL}] AS v, count(DISTINCT ts::DATE)::DOUBLE AS days FROM events GROUP BY ALL), "
+    "p AS (SELECT a.user_id AS pk, a.v AS x, b.v AS y, a.days AS i, b.days AS j FROM u a JOIN u b ON a.user_id = b.user_id AND NOT a.late AND b.late) "
+    "SELECT pk, round((list_distance(x, y) / greatest(sqrt(list_inner_product(x, x)), sqrt(list_inner_product(y, y))) + abs(i - j) / greatest(i, j)) / 2, 6) AS d FROM p"
+)
+def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = users(spark, sf_dir, False).select("pk", BOW.pack("a"))
+    b = users(spark, sf_dir, True).select("pk", BOW.pack("b"))
+    return a.join(b, "pk").select("pk", F.round(BOW.distance("a", "b"), 6).alias("d"))
+
+
+@query(f"SELECT user_id AS pk, list_transform([{BOW_SQL}, count(DISTINCT ts::DATE)::DOUBLE], lambda x: x::DOUBLE)::VARCHAR AS flat FROM events WHERE ts < TIMESTAMP '{MIDDLE}' GROUP BY user_id")
+def vector_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = users(spark, sf_dir, False).select("pk", BOW.flatten().alias("flat"))
+    back = rows.select("pk", *BOW.unflatten(F.col("flat")))
+    return back.select("pk", F.concat(F.lit("["), F.array_join(BOW.flatten().cast("array<string>"), ", "), F.lit("]")).alias("flat"))
+
+
+# -- matchers
+
+
+@query(ranked_sql("name"))
+def optimistic_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matchers.by_name(*parts(spark, sf_dir)).drop("distance", "matcher")
+
+
+@query(
+    ranked_sql("regexp_replace(regexp_replace(name, '(?s)@@.*', ''), '^__imp_', '')", "kind = 1")
+    .replace("p_name AS name", "'__imp_' || p_name || '@@' || p_brand AS name, CASE p_size % 3 WHEN 0 THEN 0 ELSE p_size % 3 END AS kind")
+)
+def import_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("__imp_"), "name", F.lit("@@"), "p_brand")
+    a, b = (x.withColumns({"name": name, "function_type": F.col("p_size") % 3}) for x in parts(spark, sf_dir))
+    return matchers.by_import(a, b).drop("distance", "matcher")
+
+
+@query(ranked_sql("name", "p_size % 3 = 2"))
+def export_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (x.withColumn("function_type", F.col("p_size") % 3) for x in parts(spark, sf_dir))
+    return matchers.by_export(a, b).drop("distance", "matcher")
+
+
+@query(
+    f"WITH {PARTS_SQL}, u AS (SELECT p_brand, p_type, p_size, min(pk) AS lhs_pk FROM l GROUP BY ALL HAVING count(*) = 1), v AS (SELECT p_brand, p_type, p_size, min(pk) AS rhs_pk FROM r GROUP BY ALL HAVING count(*) = 1) "
+    "SELECT lhs_pk, a.name AS lhs_name, rhs_pk, b.name AS rhs_name, 0.0::DOUBLE AS distance FROM u JOIN v USING (p_brand, p_type, p_size) JOIN l a ON a.pk = lhs_pk JOIN r b ON b.pk = rhs_pk"
+)
+def exact_singleton_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matchers.exact_singleton(*parts(spark, sf_dir), ["p_brand", "p_type", "p_size"]).drop("matcher")
+
+
+@query(
+    r"""
+WITH c AS (SELECT doc_id, ascii(ch)::BIGINT AS code, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents WHERE regexp_full_match(text, '(?s)[\x00-\x7F]*')) WHERE ch <> '' GROUP BY ALL),
+v AS (SELECT d.doc_id, coalesce(string_agg(code || ':' || n, ',' ORDER BY code), '') AS v FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY d.doc_id),
+u AS (SELECT v, doc_id % 2 AS side, min(doc_id) AS pk FROM v GROUP BY ALL HAVING count(*) = 1)
+SELECT a.pk AS lhs_pk, b.pk AS rhs_pk FROM u a JOIN u b ON a.v = b.v AND a.side = 0 AND b.side = 1
+"""
+)
+def exact_singleton_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("pk"), F.lit("").alias("name"), bags.text_bow(F.col("text")).alias("string_bow"))
+    return matchers.exact_singleton(d.where("pk % 2 = 0"), d.where("pk % 2 = 1"), ["string_bow"]).select("lhs_pk", "rhs_pk")
+
+
+def _visible(rows: DataFrame, prefix: str | None) -> DataFrame:
+    """Only users who click at least as often as they view keep their names."""
+    hidden = F.lit(None).cast("string") if prefix is None else F.concat(F.lit(prefix), "name")
+    return rows.withColumn("name", F.when(F.col("bow")[0] >= F.col("bow")[4], F.col("name")).otherwise(hidden))
+
+
+def _two_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    a, b = users(spark, sf_dir, False), users(spark, sf_dir, True)
+    seeds = matchers.by_name(_visible(a, None), _visible(b, None))
+    return a, b, user_calls(spark, sf_dir, False), user_calls(spark, sf_dir, True), seeds
+
+
+DAYS = FeatureVector((FeatureSpec("days", 1, "point"), FeatureSpec("clicks", 1, "point")))
+
+
+def _with_clicks(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("clicks", F.col("bow")[0])
+
+
+@query(
+    f"""
+WITH {half_calls_sql("le", "<")}, {half_calls_sql("re", ">=")},
+u AS (SELECT user_id AS pk, ts >= TIMESTAMP '{MIDDLE}' AS late, count(DISTINCT ts::DATE) AS days, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY ALL),
+seed AS (SELECT a.pk FROM u a JOIN u b ON a.pk = b.pk AND NOT a.late AND b.late WHERE a.clicks >= a.views AND b.clicks >= b.views),
+la AS (SELECT * FROM u WHERE NOT late AND pk NOT IN (SELECT pk FROM seed)), ra AS (SELECT * FROM u WHERE late AND pk NOT IN (SELECT pk FROM seed)),
+od AS (SELECT src AS v, count(*) AS d FROM le GROUP BY 1), od2 AS (SELECT src AS v, count(*) AS d FROM re GROUP BY 1),
+id AS (SELECT dst AS v, count(*) AS d FROM le GROUP BY 1), id2 AS (SELECT dst AS v, count(*) AS d FROM re GROUP BY 1),
+blocks AS (SELECT od.d AS degree, seed.pk AS s, 0 AS dir FROM seed JOIN od ON od.v = pk JOIN od2 ON od2.v = pk WHERE od.d = od2.d
+  UNION ALL SELECT id.d, seed.pk, 1 FROM seed JOIN id ON id.v = pk JOIN id2 ON id2.v = pk WHERE id.d = id2.d),
+lm AS (SELECT degree, s, dir, days, clicks, min(la.pk) AS pk FROM blocks JOIN le ON (dir = 0 AND le.src = s) OR (dir = 1 AND le.dst = s) JOIN la ON la.pk = CASE WHEN dir = 0 THEN le.dst ELSE le.src END GROUP BY ALL HAVING count(*) = 1),
+rm AS (SELECT degree, s, dir, days, clicks, min(ra.pk) AS pk FROM blocks JOIN re ON (dir = 0 AND re.src = s) OR (dir = 1 AND re.dst = s) JOIN ra ON ra.pk = CASE WHEN dir = 0 THEN re.dst ELSE re.src END GROUP BY ALL HAVING count(*) = 1),
+c AS (SELECT lm.degree, lm.s, lm.dir, lm.pk AS lhs_pk, rm.pk AS rhs_pk FROM lm JOIN rm USING (degree, s, dir, days, clicks)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lhs_pk ORDER BY degree, s, dir, rhs_pk) AS a, row_number() OVER (PARTITION BY rhs_pk ORDER BY degree, s, dir, lhs_pk) AS b FROM c)
+SELECT lhs_pk, rhs_pk FROM k WHERE a = 1 AND b = 1
+"""
+)
+def structural_exact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, le, re, seeds = _two_windows(spark, sf_dir)
+    a, b = _with_clicks(a), _with_clicks(b)
+    found = matchers.structural_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), le, re, DAYS)
+    return found.select("lhs_pk", "rhs_pk")
+
+
+@query()
+def structural_exact_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, le, re, seeds = _two_windows(spark, sf_dir)
+    return matchers.structural(cut(seeds), cut(_with_clicks(a)), cut(_with_clicks(b)), cut(le), cut(re), DAYS, cut)
+
+
+@query()
+def structural_inexact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, le, re, seeds = _two_windows(spark, sf_dir)
+    return matchers.structural_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), le, re, BOW, how="optimal")
+
+
+@query()
+def structural_greedy_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, le, re, seeds = _two_windows(spark, sf_dir)
+    return matchers.structural_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), le, re, BOW, how="greedy")
+
+
+SEEDS_SQL = f"m AS ({ranked_sql('name').replace('WITH ' + PARTS_SQL, '')})"
+GAPS_SQL = """
+g AS (SELECT lhs_pk, rhs_pk, lag(lhs_pk) OVER o AS lo, lag(rhs_pk) OVER o AS ro FROM m WINDOW o AS (ORDER BY lhs_pk)),
+w AS (SELECT lo, ro, least(lhs_pk - lo, rhs_pk - ro) AS w FROM g WHERE rhs_pk > ro)
+"""
+
+
+@query(f"WITH {PARTS_SQL}, {SEEDS_SQL}, {GAPS_SQL} SELECT lo, ro, w FROM w")
+def monotonic_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matchers.windows(matchers.by_name(*parts(spark, sf_dir)))
+
+
+KIND = FeatureVector((FeatureSpec("kind", 1, "point"), FeatureSpec("p_size", 1, "point")))
+
+
+@query(
+    f"""
+WITH {PARTS_SQL}, {SEEDS_SQL}, {GAPS_SQL},
+ka AS (SELECT pk, length(p_type) AS kind, p_size FROM l WHERE pk NOT IN (SELECT lhs_pk FROM m)), kb AS (SELECT pk, length(p_type) AS kind, p_size FROM r WHERE pk NOT IN (SELECT rhs_pk FROM m)),
+x AS (SELECT lo, ro, w, kind, p_size, min(pk) AS lhs_pk FROM w JOIN ka ON pk > lo AND pk <= lo + w GROUP BY ALL HAVING count(*) = 1),
+y AS (SELECT lo, ro, w, kind, p_size, min(pk) AS rhs_pk FROM w JOIN kb ON pk > ro AND pk <= ro + w GROUP BY ALL HAVING count(*) = 1),
+c AS (SELECT * FROM x JOIN y USING (lo, ro, w, kind, p_size)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lhs_pk ORDER BY lo, ro, w, rhs_pk) AS a, row_number() OVER (PARTITION BY rhs_pk ORDER BY lo, ro, w, lhs_pk) AS b FROM c)
+SELECT lhs_pk, rhs_pk FROM k WHERE a = 1 AND b = 1
+"""
+)
+def monotonic_exact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (x.withColumn("kind", F.length("p_type")) for x in parts(spark, sf_dir))
+    seeds = matchers.by_name(a, b)
+    found = matchers.monotonic_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), KIND)
+    return found.select("lhs_pk", "rhs_pk")
+
+
+@query()
+def monotonic_inexact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (x.withColumn("kind", F.length("p_type")) for x in parts(spark, sf_dir))
+    seeds = matchers.by_name(a, b)
+    return matchers.monotonic_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), KIND, how="optimal")
+
+
+@query()
+def assignment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW, how="greedy").withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH m AS ({ranked_sql('p_size').replace('WITH', 'WITH', 1)}) SELECT count(*) FILTER (lhs_name = rhs_name) AS n_match, count(*) FILTER (lhs_name <> rhs_name) AS n_mismatch FROM m")
+def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matchers.report(matchers.optimistic(*parts(spark, sf_dir), F.col("p_size")))
+
+
+@query(f"WITH m AS ({ranked_sql('name')}) SELECT p_partkey AS pk, p_name AS name FROM part WHERE p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT lhs_pk FROM m)")
+def unmatched_lhs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parts(spark, sf_dir)
+    return matchers.remaining(a, matchers.by_name(a, b), "lhs").select("pk", "name")
+
+
+@query(f"WITH m AS ({ranked_sql('name')}) SELECT p_partkey AS pk, p_name AS name FROM part WHERE p_partkey % 2 = 1 AND p_partkey NOT IN (SELECT rhs_pk FROM m)")
+def unmatched_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = parts(spark, sf_dir)
+    return matchers.remaining(b, matchers.by_name(a, b), "rhs").select("pk", "name")
+
+
+# -- features
+
+
+@query(
+    r"""
+WITH c AS (SELECT lang, ascii(ch)::INT AS code, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS ch FROM documents WHERE regexp_full_match(text, '(?s)[\x00-\x7F]*')) WHERE ch <> '' GROUP BY ALL)
+SELECT lang, code, n FROM c
+"""
+)
+def string_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bag = bags.string_bow(t(spark, sf_dir, "documents"), ["lang"], "text")
+    return bag.select("lang", F.posexplode("string_bow").alias("code", "k")).where("k > 0").select("lang", "code", F.col("k").cast("bigint").alias("n"))
+
+
+@query("SELECT user_id, (list_position(['click','error','purchase','signup','view'], event_type) - 1)::INT AS class, count(*) AS n FROM events GROUP BY ALL")
+def class_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.expr("shiftleft(1L, cast(array_position(array('click','error','purchase','signup','view'), event_type) - 1 AS int))")
+    bag = bags.insn_bow(t(spark, sf_dir, "events").withColumn("mask", mask), ["user_id"], "mask")
+    return bag.select("user_id", F.posexplode("insn_bow").alias("class", "k")).where("k > 0").select("user_id", "class", F.col("k").cast("bigint").alias("n"))
+
+
+@query(
+    f"""
+WITH {CFG_SQL}, d AS (SELECT DISTINCT * FROM g), v AS (SELECT user_id, bucket, src, count(dst) AS o, count(*) FILTER (dst = src) AS s FROM d GROUP BY ALL)
+SELECT user_id, bucket::BIGINT AS bucket, count(*)::INT AS n_all, count(*) FILTER (o = 0)::INT AS n_exit, count(*) FILTER (o = 1 AND s = 1)::INT AS n_trap, count(*) FILTER (s = 1)::INT AS n_loop FROM v GROUP BY ALL
+"""
+)
+def vertex_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cfg.cfg_features(event_cfgs(spark, sf_dir), ["user_id", "bucket"])
+    v = F.col("vertex_classification")
+    return f.select("user_id", "bucket", v[0].alias("n_all"), v[2].alias("n_exit"), v[3].alias("n_trap"), v[4].alias("n_loop"))
+
+
+@query()
+def cfg_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All traversal features: vertex and edge classes, signatures with their limbs, lumped probabilities."""
+    f = cfg.cfg_features(event_cfgs(spark, sf_dir), ["user_id", "bucket"])
+    return f.withColumns({"cfg_limbs": distance.limbs(F.col("cfg_signature")), "idt_limbs": distance.limbs(F.col("idt_signature"))})
+
+
+@query()
+def cfg_depth_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cfg.cfg_details(event_cfgs(spark, sf_dir), ["user_id", "bucket"])[0]
+
+
+@query()
+def cfg_edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cfg.cfg_details(event_cfgs(spark, sf_dir), ["user_id", "bucket"])[1]
+
+
+# -- clusters and blocking
+
+
+@query(
+    "SELECT c_nationkey, sum(CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 0 END)::BIGINT AS n_building, count(*)::BIGINT AS n_all FROM customer GROUP BY c_nationkey"
+)
+def cluster_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = FeatureVector((FeatureSpec("bag", 2, "euclid"), FeatureSpec("signature", 1, "hamming", summed=False, kind="limbs")))
+    rows = t(spark, sf_dir, "customer").select("c_nationkey", F.array((F.col("c_mktsegment") == "BUILDING").cast("int"), F.lit(1)).alias("bag"), F.array(F.col("c_custkey")).alias("signature"))
+    s = vector_sum(rows, ["c_nationkey"], v)
+    return s.where(F.size("signature") == 0).select("c_nationkey", F.col("bag")[0].cast("bigint").alias("n_building"), F.col("bag")[1].cast("bigint").alias("n_all"))
+
+
+@query(
+    f"""
+WITH {CALLS_SQL}, m AS (SELECT DISTINCT user_id AS pk, user_id // 25 AS grp FROM events), c AS (SELECT grp, min(pk) AS cluster_id, count(*) AS c1 FROM m GROUP BY grp),
+mm AS (SELECT pk, cluster_id FROM m JOIN c USING (grp)),
+leaf AS (SELECT pk, coalesce((SELECT sum(weight) FROM calls WHERE dst = pk), 0) AS wi, coalesce((SELECT sum(weight) FROM calls WHERE src = pk), 0) AS wo FROM m),
+meta AS (SELECT a.cluster_id AS s, b.cluster_id AS d, count(*) AS w FROM calls JOIN mm a ON a.pk = src JOIN mm b ON b.pk = dst GROUP BY ALL)
+SELECT c.cluster_id, c1::INT AS c1, (SELECT sum(wi) FROM leaf JOIN mm USING (pk) WHERE mm.cluster_id = c.cluster_id)::INT AS c2, (SELECT sum(wo) FROM leaf JOIN mm USING (pk) WHERE mm.cluster_id = c.cluster_id)::INT AS c3,
+  coalesce((SELECT sum(w) FROM meta WHERE d = c.cluster_id), 0)::INT AS c4, coalesce((SELECT sum(w) FROM meta WHERE s = c.cluster_id), 0)::INT AS c5 FROM c
+"""
+)
+def cluster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "events").groupBy(F.col("user_id").alias("pk")).agg(F.lit(1).alias("days"))
+    h = blocking.from_groups(user_calls(spark, sf_dir), rows.select("pk", F.floor(F.col("pk") / 25).alias("grp")))
+    v = FeatureVector((FeatureSpec("days", 1, "point"),))
+    return blocking.cluster_features(h, 1, rows, v).select("cluster_id", "c1", "c2", "c3", "c4", "c5")
+
+
+def _geography(spark: SparkSession, sf_dir: str) -> blocking.Hierarchy:
+    """Customers below nations below regions."""
+    c = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("pk"), "n_nationkey", "n_regionkey")
+    levels = [c.select("pk", F.min("pk").over(W.partitionBy(k)).alias("cluster_id")) for k in ("n_regionkey", "n_nationkey")]
+    edges = c.select(F.col("pk").alias("src"), (F.col("pk") + 1).alias("dst"))
+    return blocking.from_levels(edges, levels)
+
+
+GEO_SQL = "m AS (SELECT c_custkey AS pk, min(c_custkey) OVER (PARTITION BY n_regionkey) AS r, min(c_custkey) OVER (PARTITION BY n_nationkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query(f"WITH {GEO_SQL} SELECT 1 AS level, r AS cluster_id, pk FROM m UNION ALL SELECT 2, n, pk FROM m")
+def hierarchy_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geography(spark, sf_dir).membership
+
+
+@query(f"WITH {GEO_SQL} SELECT DISTINCT n AS cluster_id, r AS parent, 'PRIME' AS cluster_type FROM m")
+def clusters_at_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geography(spark, sf_dir).at(2).select("cluster_id", "parent", "cluster_type")
+
+
+@query(f"WITH {GEO_SQL} SELECT DISTINCT NULL::BIGINT AS parent, r AS child, false AS child_is_leaf, 1 AS level FROM m UNION SELECT r, n, false, 2 FROM m UNION SELECT n, pk, true, 3 FROM m")
+def dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geography(spark, sf_dir).dendrogram()
+
+
+@query(f"WITH {CALLS_SQL} SELECT src % 7 AS src, dst % 7 AS dst, count(*) AS weight FROM calls GROUP BY ALL")
+def meta_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.contract(user_calls(spark, sf_dir), user_groups(spark, sf_dir))
+
+
+@query(
+    f"""
+WITH {CALLS_SQL}, w AS (SELECT src % 7 AS a, dst % 7 AS b, weight::DOUBLE AS w FROM calls), m AS (SELECT sum(w) AS m FROM w),
+o AS (SELECT a AS c, sum(w) AS o, sum(w) FILTER (a = b) AS l FROM w GROUP BY 1), i AS (SELECT b AS c, sum(w) AS i FROM w GROUP BY 1)
+SELECT round(sum(coalesce(l, 0)) / max(m) - sum(o * i) / (max(m) * max(m)), 9) AS modularity FROM o JOIN i USING (c), m
+"""
+)
+def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.modularity(user_calls(spark, sf_dir), user_groups(spark, sf_dir)).select(F.round("modularity", 9).alias("modularity"))
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers (even numbers) and their orders (odd): many small components."""
+    return t(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst"))
+
+
+ORDERS_SQL = "e AS (SELECT o_custkey * 2 AS a, o_orderkey * 2 + 1 AS b FROM orders)"
+
+
+@query(
+    f"""
+WITH RECURSIVE {ORDERS_SQL}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, x) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.x)
+SELECT node, min(x) AS component FROM r GROUP BY node
+"""
+)
+def connected_components_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = connected_components(order_edges(spark, sf_dir), "src", "dst", cut)
+    names = roots.groupBy("root").agg(F.min("node").alias("component"))
+    return roots.join(names, "root").select("node", "component")
+
+
+QUERIES["connected_components"] = QUERIES.pop("connected_components_query")
+ORACLE_SQL["connected_components"] = ORACLE_SQL.pop("connected_components_query")
+
+
+@query(
+    f"""
+WITH {ORDERS_SQL}, u AS (SELECT a AS v, b AS n FROM e UNION SELECT b, a FROM e),
+s AS (SELECT v, string_agg(n, ',' ORDER BY n) AS s FROM u GROUP BY v), c AS (SELECT v, string_agg(n, ',' ORDER BY n) AS s FROM (SELECT * FROM u UNION SELECT v, v FROM u) GROUP BY v),
+f AS (SELECT 'PARALLEL' AS kind, v, min(v) OVER (PARTITION BY s) AS module, count(*) OVER (PARTITION BY s) AS k FROM s UNION ALL SELECT 'SERIES', v, min(v) OVER (PARTITION BY s), count(*) OVER (PARTITION BY s) FROM c)
+SELECT v, kind, module FROM f WHERE k > 1
+"""
+)
+def twin_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.twins(order_edges(spark, sf_dir))
+
+
+PLANES = [[(k * k + 3 * d * k + d * d + k * d * d) % 17 - 8 for d in range(64)] for k in range(1, 17)]
+
+
+@query(
+    "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings) SELECT vec_id, ("
+    + " + ".join(f"CASE WHEN list_inner_product(v, {p}::DOUBLE[]) >= 0 THEN {1 << k} ELSE 0 END" for k, p in enumerate(PLANES))
+    + ")::INT AS bucket FROM v"
+)
+def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    return t(spark, sf_dir, "embeddings").select("vec_id", blocking.lsh_bucket(v, [[float(x) for x in p] for p in PLANES]).alias("bucket"))
+
+
+@query()
+def louvain_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the graph of consecutive users, at every level."""
+    h = blocking.louvain_consensus(user_calls(spark, sf_dir), cut)
+    return h.membership if h else spark.createDataFrame([], "level int, cluster_id bigint, pk bigint")
+
+
+@query()
+def modular_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modular.modules(order_edges(spark, sf_dir), cut)
+
+
+# -- whole diffs
+
+
+@query()
+def diff_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff(*user_sides(spark, sf_dir), Options(imports=False), cut, BOW).matches
+
+
+@query()
+def diff_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some users keep their names on both sides; the rest follows from them."""
+    a, b = user_sides(spark, sf_dir)
+    a.rows, b.rows = _visible(a.rows, "l"), _visible(b.rows, "r")
+    return diff(a, b, Options(imports=False, names=True), cut, BOW).matches
+
+
+@query()
+def diff_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff(*user_sides(spark, sf_dir), Options(imports=False, hierarchy="groups"), cut, BOW).matches
