@@ -100,13 +100,13 @@ WITH pg AS (
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 top AS (SELECT (coalesce(sum(bad), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS r0 FROM suffixes),
-k1 AS (SELECT greatest(0.001, least(0.999, coalesce((sum(n * (bad::DOUBLE / n - r0) * (bad::DOUBLE / n - r0)) - sum(r0 * (1 - r0))) / nullif(sum(r0 * (1 - r0) * (n - 1)), 0), 0.5))) AS rho FROM suffixes, top),
+k1 AS (SELECT greatest(0.001, least(0.5, coalesce((sum(n * (bad::DOUBLE / n - r0) * (bad::DOUBLE / n - r0)) - sum(r0 * (1 - r0))) / nullif(sum(r0 * (1 - r0) * (n - 1)), 0), 0.5))) AS rho FROM suffixes, top),
 s AS (SELECT suffix, ((1 / rho - 1) * r0 + bad) / (1 / rho - 1 + n) AS r1 FROM suffixes, top, k1),
 ds AS (SELECT * FROM domains JOIN s USING (suffix)),
-k2 AS (SELECT greatest(0.001, least(0.999, coalesce((sum(n * (bad::DOUBLE / n - r1) * (bad::DOUBLE / n - r1)) - sum(r1 * (1 - r1))) / nullif(sum(r1 * (1 - r1) * (n - 1)), 0), 0.5))) AS rho FROM ds),
+k2 AS (SELECT greatest(0.001, least(0.5, coalesce((sum(n * (bad::DOUBLE / n - r1) * (bad::DOUBLE / n - r1)) - sum(r1 * (1 - r1))) / nullif(sum(r1 * (1 - r1) * (n - 1)), 0), 0.5))) AS rho FROM ds),
 d AS (SELECT domain, ((1 / rho - 1) * r1 + bad) / (1 / rho - 1 + n) AS r2 FROM ds, k2),
 hd AS (SELECT * FROM hosts JOIN d USING (domain)),
-k3 AS (SELECT 1 / greatest(0.001, least(0.999, coalesce((sum(n * (bad::DOUBLE / n - r2) * (bad::DOUBLE / n - r2)) - sum(r2 * (1 - r2))) / nullif(sum(r2 * (1 - r2) * (n - 1)), 0), 0.5))) - 1 AS kappa FROM hd),
+k3 AS (SELECT 1 / greatest(0.001, least(0.5, coalesce((sum(n * (bad::DOUBLE / n - r2) * (bad::DOUBLE / n - r2)) - sum(r2 * (1 - r2))) / nullif(sum(r2 * (1 - r2) * (n - 1)), 0), 0.5))) - 1 AS kappa FROM hd),
 j AS (
   SELECT pg.*, kappa * coalesce(r2, r1, r0) + coalesce(h.bad, 0) AS a, kappa * (1 - coalesce(r2, r1, r0)) + coalesce(h.n, 0) - coalesce(h.bad, 0) AS b
   FROM pg LEFT JOIN hosts h ON pg.host = h.host

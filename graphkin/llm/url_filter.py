@@ -4,7 +4,7 @@ Labelled page outcomes (good or bad) are counted by host.  Three beta-binomial
 levels shrink them: a suffix towards the global rate, a registered domain
 towards its suffix, a host towards its domain.  The concentration of each level
 is estimated from how its children scatter around their parents (method of
-moments).  A page is blocked when the lower posterior bound of its host's bad
+moments; at least one pseudo-outcome, so that a single label decides nothing).  A page is blocked when the lower posterior bound of its host's bad
 rate lies above ``max_bad``.
 
 Everything is a DataFrame aggregate or join: hot hosts are pre-aggregated
@@ -60,7 +60,7 @@ def _concentration(children: DataFrame, parent_rate: str) -> DataFrame:
     p, n, k = F.col(parent_rate), F.col("n").cast("double"), F.col("bad").cast("double")
     spread = p * (1 - p)
     rho = (F.sum(n * (k / n - p) * (k / n - p)) - F.sum(spread)) / F.nullif(F.sum(spread * (n - 1)), F.lit(0.0))
-    return children.agg(F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.coalesce(rho, F.lit(0.5)))).alias("rho")).select((1 / F.col("rho") - 1).alias("kappa"))
+    return children.agg(F.greatest(F.lit(0.001), F.least(F.lit(0.5), F.coalesce(rho, F.lit(0.5)))).alias("rho")).select((1 / F.col("rho") - 1).alias("kappa"))
 
 
 def host_reputation(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
