@@ -121,7 +121,7 @@ class Index:
             w = self.weight_of.get(h, self.unknown)
             mine += w * c
             both += w * min(c, bag.get(h, 0))
-        return both / (mine + self.mass[item] - both)
+        return round(both / (mine + self.mass[item] - both), 9)
 
     def _weigh(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(weights, which of them some item has)."""

@@ -216,3 +216,22 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN head <> page_id THEN head END AS refers_to FROM f
 """
+ORACLE_SQL["op4_decontaminate"] = rf"""
+WITH iw AS (SELECT item_id, regexp_extract_all({LOWER_SQL}, {WORD_SQL}) AS ws FROM benchmark),
+i AS (SELECT row_number() OVER (ORDER BY item_id, ws) AS k, item_id, ws, len(ws) AS m, least(5, len(ws)) AS n FROM iw WHERE len(ws) > 0),
+ish AS (SELECT k, m, n, array_to_string(ws[p:p+n-1], ' ') AS s FROM (SELECT *, unnest(range(1, m - n + 2)) AS p FROM i)),
+w AS (SELECT n, s, 1 + ln((SELECT count(*) FROM i) / count(DISTINCT k)::DOUBLE) AS weight FROM ish GROUP BY n, s),
+bag AS (SELECT k, m, n, s, count(*) AS c, any_value(weight) AS weight FROM ish JOIN w USING (n, s) GROUP BY k, m, n, s),
+mass AS (SELECT k, sum(c * weight) AS mass FROM bag GROUP BY k),
+dw AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, {WORD_SQL}) AS ws FROM documents),
+dsh AS (SELECT doc_id, n, len(ws) AS l, p, array_to_string(ws[p:p+n-1], ' ') AS s FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM dw, (SELECT DISTINCT n FROM i))),
+st AS (SELECT DISTINCT doc_id, k, m, n, unnest(range(greatest(1, p - (m - n)), least(p, greatest(1, l - m + 1)) + 1)) AS start FROM dsh JOIN bag USING (n, s)),
+win AS (SELECT st.doc_id, st.k, st.m, st.n, start, dsh.s, count(*) AS c FROM st JOIN dsh ON dsh.doc_id = st.doc_id AND dsh.n = st.n AND p BETWEEN start AND start + st.m - st.n GROUP BY ALL),
+sim AS (
+  SELECT win.doc_id, win.k, win.m, start, sum(least(win.c, coalesce(bag.c, 0)) * coalesce(bag.weight, 0)) AS both_w,
+    sum(win.c * coalesce(w.weight, 1 + ln((SELECT count(*) FROM i)::DOUBLE))) AS own_w
+  FROM win LEFT JOIN bag ON bag.k = win.k AND bag.s = win.s LEFT JOIN w ON w.n = win.n AND w.s = win.s GROUP BY ALL
+), r AS (SELECT doc_id, item_id, start, sim.m, round(both_w / (own_w + mass - both_w), 9) AS v FROM sim JOIN mass USING (k) JOIN i USING (k))
+SELECT doc_id, item_id, start - 1 AS start_word, m AS n_words, round(v, 6) AS similarity FROM r WHERE v >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY v DESC, start, m) = 1
+"""
