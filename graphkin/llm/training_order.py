@@ -118,7 +118,7 @@ def materialise(docs: DataFrame, path: str, *, key: int = 0, length: int = LENGT
             yield flush()
 
     sequences = rows.mapInArrow(cut, "shard bigint, place bigint, id bigint, k int, tokens binary")
-    ordered = sequences.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "place", "k", "tokens")
+    ordered = sequences.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place", "k", "tokens")
     done = ordered.mapInArrow(write, "shard bigint, path string, records bigint").collect()  # a row for each file
     base, out = 0, []
     for r in sorted(done, key=lambda r: r["shard"]):
