@@ -13,13 +13,14 @@ similarity p/100 or more share a token of their first ``n - ceil(p n / 100) +
    positions of that token.
 3. The pairs are expanded to their texts and verified on the whole sets.
 
-Only the components matter to the result, so step 2 is run twice.  First each
+Only the components matter to the result, so the pairs are taken in turns.  First each
 token's groups are paired with three of their own (the smallest, and the first
 under two hashes) - linear in the length of the list.  Links found so far merge
-groups; then every pair of groups of one token that are still in different
-components is verified: members outside a token's largest component are paired
-with all its members.  No pair that could be a link between components is left
-out, and no list of k near copies needs k * k pairs.
+groups.  Members outside a token's largest component are then paired with a few
+drawn from it, and those still outside with all members of the list that are in
+other components: pair by pair, or, where a list would give more than ``LARGE``
+pairs, by blocks of sets compared as matrices, so that no row is made for a
+pair.  No pair that could be a link between components is left out.
 
 The list of heavy tokens is the only broadcast: at most ``MAX_HEAVY`` hashes,
 whatever the corpus.  It affects the order, hence speed, never the result.
@@ -43,13 +44,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import textops
-from .common import checkpoint
+from .common import checkpoint, most_frequent
 
 MAX_HEAVY = 1 << 18
 HEAVY_DF = 16  # a token in more documents than this may be heavy
 PIECE = 4 << 20
 HALF = np.uint64(1 << 63)
 MAX_BITS = 1 << 27  # of a sieve
+LARGE = 4096  # pairs of one list beyond which it is verified by blocks
+BLOCK_TOKENS = 1 << 16
+DRAWN = 8  # members of a list's largest component that its other members are compared with first
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -117,7 +121,7 @@ def heavy_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.uin
         return pa.table({"token": token[keep] + base, "df": df[keep]})
 
     counted = docs.select(text).mapInArrow(emit, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(add, "token bigint, df bigint")
-    rows = counted.orderBy(F.desc("df"), "token").limit(MAX_HEAVY).select("token").toPandas()  # bounded by MAX_HEAVY
+    rows = most_frequent(checkpoint(counted), "df", MAX_HEAVY).select("token").toPandas()  # MAX_HEAVY rows at most
     return np.sort(rows["token"].to_numpy().astype(np.uint64)), low
 
 
@@ -157,9 +161,9 @@ def _group(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> tu
 
 
 def _sieve(keys: DataFrame) -> np.ndarray:
-    """A bitmap of (f, key) rows, of 16 bits for each row and MAX_BITS at most: tasks drop most other documents by it.  Exact joins follow."""
+    """A bitmap of the documents' keys, of 16 bits for each and MAX_BITS at most: tasks skip most other documents by it.  Exact joins follow."""
     bits = 1 << min(MAX_BITS.bit_length() - 1, max(16, (16 * keys.count()).bit_length()))
-    at = F.pmod(F.xxhash64(F.concat_ws(":", F.col("f").cast("string"), F.col("key"))), F.lit(bits))
+    at = F.pmod(F.xxhash64("key"), F.lit(bits))
     words = keys.select(at.alias("at")).groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("b"))
     rows = words.toPandas()  # MAX_BITS / 64 rows at most
     out = np.zeros(bits // 64, np.uint64)
@@ -167,9 +171,13 @@ def _sieve(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _passes(sieve: np.ndarray, f: int, key: str) -> bool:
-    at = xxhash.xxh64_intdigest(f"{f}:{key}".encode(), 42) & (len(sieve) * 64 - 1)
-    return bool(int(sieve[at >> 6]) >> (at & 63) & 1)
+def _selected(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose key may be in the sieve, before their texts are looked at."""
+    for batch in batches:
+        at = np.array([xxhash.xxh64_intdigest(k.encode(), 42) & (len(sieve) * 64 - 1) for k in batch.column("key").to_pylist()], np.uint64)
+        keep = (sieve[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        if keep.any():
+            yield batch.filter(pa.array(keep.astype(bool)))
 
 
 def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], leads: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
@@ -178,10 +186,10 @@ def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], leads: DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, low, sieve = shared.value
-        for part in _pieces(batches, "text"):
+        for part in _pieces(_selected(batches, sieve), "text"):
             tokens, groups, sizes, places = [], [], [], []
-            for s, key in zip(_sets(part.column("text"), n), part.column("key").to_pylist(), strict=True):
-                if len(s) and _passes(sieve, textops.fold(s), key):
+            for s in _sets(part.column("text"), n):
+                if len(s):
                     g, prefix = _group(s, often, low, percent)
                     tokens.append(prefix)
                     groups.append(np.full(len(prefix), g, np.int64))
@@ -205,28 +213,85 @@ def _possible(percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & indexed & (F.least(n - i, m - j) >= need)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of texts whose sets are similar enough.  reps: f and the key of one document with that set."""
-    need = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(reps, "f")
+def _whole_sets(need: DataFrame, docs: DataFrame, *, id_col: str, text: str, n: int) -> DataFrame:
+    """f, s: the whole set of each text of need (f and the key of one document with that set)."""
     shared = docs.sparkSession.sparkContext.broadcast(_sieve(need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
-        for part in _pieces(batches, "text"):
-            sets = [(textops.fold(s), s, key) for s, key in zip(_sets(part.column("text"), n), part.column("key").to_pylist(), strict=True)]
-            sets = [x for x in sets if _passes(sieve, x[0], x[2])]
+        for part in _pieces(_selected(batches, sieve), "text"):
+            sets = [s for s in _sets(part.column("text"), n) if len(s)]
             first = np.zeros(len(sets) + 1, np.int64)
-            np.cumsum([len(s) for _, s, _ in sets], out=first[1:])
-            flat = np.concatenate([s for _, s, _ in sets]) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _, _ in sets], pa.int64()), textops.list_array(first, flat)], ["f", "s"])
+            np.cumsum([len(s) for s in sets], out=first[1:])
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([textops.fold(s) for s in sets], pa.int64()), textops.list_array(first, flat)], ["f", "s"])
+
+    return _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, s array<bigint>").join(need.select("f"), "f", "left_semi")
+
 
-    sets = _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, s array<bigint>")
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of texts whose sets are similar enough.  reps: f and the key of one document with that set."""
+    need = checkpoint(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(reps, "f"))
+    sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n)
     x, y = F.col("s"), F.col("s2")
     both = pairs.join(sets, pairs["a"] == sets["f"]).select("a", "b", "s").join(sets.select(F.col("f").alias("f2"), F.col("s").alias("s2")), F.col("b") == F.col("f2"))
     common = F.size(F.array_intersect(x, y))
     return both.where(common * 100 >= (F.size(x) + F.size(y) - common) * percent).select("a", "b").distinct()
 
 
+def _verify_clusters(members: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts of one cluster and different roots, one of them minor, without a row for each pair.
+
+    members: c (cluster), f, n (set size), root, minor.  A cluster is cut by
+    size (steps of the size ratio, so partners are in the same or the next
+    step) and by hash into blocks of about BLOCK_TOKENS; blocks are joined and
+    each pair of blocks is compared as a product of their incidence matrices.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    members = checkpoint(members.withColumn("b", step))
+    parts = members.groupBy("c", "b").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
+    placed = members.join(parts, ["c", "b"]).withColumn("h", F.pmod(F.xxhash64("f"), F.col("parts")))
+    need = checkpoint(members.select("f").distinct().join(reps, "f"))
+    sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n)
+    rows = placed.join(sets, "f").dropDuplicates(["c", "b", "h", "f"]).select("c", "b", "h", "f", "root", "minor", "s")
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = [x.values.to_numpy() for x in table["s"]]
+        blob = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+        minor = table["minor"].to_numpy()
+        return pa.table({"c": table["c"][:1], "b": table["b"][:1], "h": table["h"][:1], "any": pa.array([bool(minor.any())]), "f": blob(table["f"].to_numpy()), "root": blob(table["root"].to_numpy()), "minor": blob(minor.astype(np.uint8)), "len": blob(np.array([len(x) for x in lists], np.int64)), "s": blob(np.concatenate(lists))})
+
+    blobs = "f binary, root binary, minor binary, len binary, s binary"
+    blocks = checkpoint(rows.groupBy("c", "b", "h").applyInArrow(pack, f"c bigint, b int, h bigint, any boolean, {blobs}"))
+    left = blocks.where("any").withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))).select("c", "b", *(F.col(k) for k in ("f", "root", "minor", "len", "s")))
+    right = blocks.select("c", "b", *(F.col(k).alias(f"{k}2") for k in ("f", "root", "minor", "len", "s")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                side = [{k: np.frombuffer(r[k + t], np.uint8 if k == "minor" else np.int64) for k in ("f", "root", "minor", "len", "s")} for t in ("", "2")]
+                both = np.intersect1d(side[0]["s"], side[1]["s"])
+                sizes = [x["len"] for x in side]
+                common = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+                for at in range(0, len(both), 4096):
+                    token, dense = both[at : at + 4096], []
+                    for x in side:
+                        k = np.minimum(np.searchsorted(token, x["s"]), len(token) - 1)
+                        hit = token[k] == x["s"]
+                        m = np.zeros((len(x["len"]), len(token)), np.float32)
+                        m[np.repeat(np.arange(len(x["len"])), x["len"])[hit], k[hit]] = 1
+                        dense.append(m)
+                    common += dense[0] @ dense[1].T
+                union = sizes[0][:, None] + sizes[1][None, :] - common
+                ok = (common * 100.0 >= union * float(percent)) & (side[0]["minor"] > 0)[:, None] & (side[0]["root"][:, None] != side[1]["root"][None, :])
+                i, j = np.nonzero(ok)
+                a, b = side[0]["f"][i], side[1]["f"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return left.join(right, ["c", "b"]).select(*(F.col(f"{k}{t}") for t in ("", "2") for k in ("f", "root", "minor", "len", "s"))).mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles, n_links (verified links of its text that were needed) and component_id, one row for each row of docs."""
     how = {"id_col": id_col, "text": text, "n": n, "percent": percent}
@@ -240,7 +305,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
     post = post.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").select("token", "g", "n", "pos")
     post = checkpoint(post).withColumn("n", F.col("n").cast("bigint")).withColumn("ip", _index_prefix(F.col("n"), percent))
 
-    verify = lambda pairs: _verify(checkpoint(pairs.distinct()), docs, texts.select("f", "key"), **how)
+    verify = lambda pairs: _verify(pairs, docs, texts.select("f", "key"), **how)
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     # first pass: a few centres for each token, and each group's lead for its texts
@@ -253,29 +318,51 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
     lead = leads.select("g", "lead")
     star = star.join(lead.withColumnsRenamed({"g": "a", "lead": "x"}), "a").join(lead.withColumnsRenamed({"g": "b", "lead": "y"}), "b").select(*ordered("x", "y"))
     inner = texts.join(lead, "g").where("f <> lead").select(*ordered("f", "lead"))
-    links = checkpoint(verify(star.union(inner)))
+    first = checkpoint(star.union(inner).distinct())
+    links = checkpoint(verify(first))
     labels = checkpoint(connected_components(links, "a", "b", checkpoint))
 
-    # second pass: what is still in different components
-    named = checkpoint(texts.join(labels, texts["f"] == labels["node"], "left").select("g", "f", F.coalesce("root", "f").alias("root")))
-    by_group = named.groupBy("g").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"))
-    post = checkpoint(post.join(by_group, "g").select("token", "n", "g", "pos", "ip", F.when(F.col("mixed"), F.col("g")).otherwise(F.col("root")).alias("root"), "mixed"))
-    per = post.groupBy("token", "root").agg(F.count("*").alias("k"), F.max("mixed").alias("mixed"))
-    major = per.groupBy("token").agg(F.max(F.struct(F.when(F.col("mixed"), 0).otherwise(F.col("k")).alias("k"), "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("major"))
-    open_lists = checkpoint(post.join(major, "token"))
-    minor = open_lists.where((F.col("root") != F.col("major")) | F.col("mixed")).drop("major")
-    other = open_lists.select("token", F.col("n").alias("n2"), F.col("g").alias("g2"), F.col("pos").alias("pos2"), F.col("ip").alias("ip2"), F.col("root").alias("root2"))
-    pairs = minor.join(other, "token").where((F.col("root") != F.col("root2")) & _possible(percent)).select("g", "g2").distinct()
-    left, right = named.select("g", F.col("f").alias("x"), F.col("root").alias("rx")), named.select(F.col("g").alias("g2"), F.col("f").alias("y"), F.col("root").alias("ry"))
-    across = pairs.join(left, "g").join(right, "g2").where("rx <> ry").select(*ordered("x", "y"))
-    # texts of one group that are not yet together: those outside its largest component against all
-    size = named.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("g", F.col("m.root").alias("major"))
-    outside = named.join(size, "g").where("root <> major").select("g", F.col("f").alias("x"), F.col("root").alias("rx"))
-    within = outside.join(named.select("g", F.col("f").alias("y"), F.col("root").alias("ry")), "g").where("rx <> ry").select(*ordered("x", "y"))
-    more = checkpoint(verify(across.union(within)))
-    all_links = links.union(more)
-    if not more.isEmpty():
-        labels = checkpoint(connected_components(all_links, "a", "b", checkpoint))
+    # then what is still in different components: first against a few members of each list's largest, last against all
+    seen = [first]
+    for last in (False, True):
+        named = checkpoint(texts.join(labels, texts["f"] == labels["node"], "left").select("g", "f", F.coalesce("root", "f").alias("root")))
+        by_group = named.groupBy("g").agg(F.min("root").alias("root"), (F.min("root") != F.max("root")).alias("mixed"))
+        rooted = checkpoint(post.join(by_group, "g").select("token", "n", "g", "pos", "ip", F.when(F.col("mixed"), F.col("g")).otherwise(F.col("root")).alias("root"), "mixed"))
+        per = rooted.groupBy("token", "root").agg(F.count("*").alias("k"), F.max("mixed").alias("mixed"))
+        major = per.groupBy("token").agg(F.max(F.struct(F.when(F.col("mixed"), 0).otherwise(F.col("k")).alias("k"), "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("major"))
+        open_lists = checkpoint(rooted.join(major, "token"))
+        inside = (F.col("root") == F.col("major")) & ~F.col("mixed")
+        minor = open_lists.where(~inside).drop("major")
+        member = F.struct(F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("ip").alias("ip2"), F.col("root").alias("root2"))
+        if last:  # lists with many such pairs are verified by blocks, below
+            large = open_lists.groupBy("token").agg((F.count_if(~inside) * F.count("*") > LARGE).alias("large"))
+            open_lists = checkpoint(open_lists.join(large, "token"))
+            crowd = open_lists.where("large").groupBy(F.col("major").alias("c"), "g").agg(F.max(~inside).alias("minor"), F.max("n").alias("n"))
+            minor = open_lists.where(~inside & ~F.col("large")).drop("major", "large")
+            other = open_lists.where("NOT large").select("token", member.alias("o")).select("token", "o.*")
+        else:
+            drawn = [F.min(F.struct(F.xxhash64("g", F.lit(seed)).alias("h"), member.alias("o"))).alias(f"c{seed}") for seed in range(3, 3 + DRAWN)]
+            other = open_lists.where(inside).groupBy("token").agg(*drawn).select("token", F.explode(F.array(*(F.col(f"c{seed}.o") for seed in range(3, 3 + DRAWN)))).alias("o")).select("token", "o.*").distinct()
+        pairs = minor.join(other, "token").where((F.col("root") != F.col("root2")) & _possible(percent)).select("g", "g2").distinct()
+        left, right = named.select("g", F.col("f").alias("x"), F.col("root").alias("rx")), named.select(F.col("g").alias("g2"), F.col("f").alias("y"), F.col("root").alias("ry"))
+        found = pairs.join(left, "g").join(right, "g2").where("rx <> ry").select(*ordered("x", "y"))
+        if last:  # and texts of one group that are not yet together: those outside its largest component against all
+            size = named.groupBy("g", "root").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("g", F.col("m.root").alias("major"))
+            outside = named.join(size, "g").where("root <> major").select("g", F.col("f").alias("x"), F.col("root").alias("rx"))
+            found = found.union(outside.join(named.select("g", F.col("f").alias("y"), F.col("root").alias("ry")), "g").where("rx <> ry").select(*ordered("x", "y")))
+        found = found.distinct()
+        for done in seen:
+            found = found.join(done, ["a", "b"], "left_anti")
+        found = checkpoint(found)
+        seen.append(found)
+        more = verify(found)
+        if last:
+            more = more.union(_verify_clusters(crowd.join(named, "g").select("c", "f", "n", "root", "minor"), docs, texts.select("f", "key"), **how))
+        more = checkpoint(more)
+        if not more.isEmpty():
+            links = checkpoint(links.union(more).distinct())
+            labels = checkpoint(connected_components(links, "a", "b", checkpoint))
+    all_links = links
     degree = all_links.select(F.col("a").alias("f")).union(all_links.select("b")).groupBy("f").agg(F.count("*").alias("n_links"))
     named = texts.join(labels, texts["f"] == labels["node"], "left").select("f", "id", F.coalesce("root", "f").alias("root"))
     names = named.groupBy("root").agg(F.min("id").alias("component_id"))

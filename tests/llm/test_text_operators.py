@@ -54,9 +54,11 @@ def test_words_and_blocks(monkeypatch):
     assert len(set(whole[1].tolist())) == len(set(flat)) and all((whole[1][i] == whole[1][j]) == (a == b) for i, a in enumerate(flat) for j, b in enumerate(flat))
 
 
-@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 4, 85), (2, 5, 80)])
-def test_ngram_join(spark, monkeypatch, seed, n, percent):
+@pytest.mark.parametrize(("seed", "n", "percent", "large"), [(1, 4, 85, 4096), (2, 5, 80, 0)])
+def test_ngram_join(spark, monkeypatch, seed, n, percent, large):
     monkeypatch.setattr(ngram_join, "HEAVY_DF", 3)
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 200)
     docs = random_docs(seed)
     sets = {i: set(bag(t, n)) for i, t in docs}
     parent = {i: i for i, _ in docs}
