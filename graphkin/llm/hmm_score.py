@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import checkpoint
+from .common import checkpoint, most_frequent
 
 HOT = 1 << 17
 OWN, SHARED = 8192, 2048
@@ -218,7 +218,7 @@ def train(docs: DataFrame, *, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     counts = checkpoint(count_words(docs))
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.count()
-    top = counts.orderBy(F.desc("c"), "h").limit(HOT).toPandas()  # bounded by HOT
+    top = most_frequent(counts, "c", HOT).toPandas().sort_values(["c", "h"], ascending=[False, True])  # HOT rows at most
     model = Model(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(totals["n"] or 0) + ends, int(totals["v"]) + bool(ends), ends)
     spark = docs.sparkSession
     for _ in range(rounds if ends else 0):
