@@ -214,27 +214,35 @@ def _possible(percent: int) -> Column:
 
 
 def _whole_sets(need: DataFrame, docs: DataFrame, *, id_col: str, text: str, n: int) -> DataFrame:
-    """f, s: the whole set of each text of need (f and the key of one document with that set)."""
+    """f, key, s: the whole sets of at least the documents of need (f and the key of one document with that set)."""
     shared = docs.sparkSession.sparkContext.broadcast(_sieve(need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = shared.value
         for part in _pieces(_selected(batches, sieve), "text"):
-            sets = [s for s in _sets(part.column("text"), n) if len(s)]
+            sets = _sets(part.column("text"), n)
             first = np.zeros(len(sets) + 1, np.int64)
             np.cumsum([len(s) for s in sets], out=first[1:])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([textops.fold(s) for s in sets], pa.int64()), textops.list_array(first, flat)], ["f", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([textops.fold(s) for s in sets], pa.int64()), part.column("key"), textops.list_array(first, flat)], ["f", "key", "s"])
 
-    return _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, s array<bigint>").join(need.select("f"), "f", "left_semi")
+    return _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, key string, s array<bigint>").where("size(s) > 0")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of texts whose sets are similar enough.  reps: f and the key of one document with that set."""
-    need = checkpoint(pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct().join(reps, "f"))
+    """The pairs (a, b) of texts whose sets are similar enough.  reps: f and the key of one document with that set.
+
+    Both sides join the same table of sets on the same columns, so its texts are
+    read and its rows are shuffled once; the key leaves out other documents of
+    the same set that passed the sieve.
+    """
+    named = pairs.join(reps.withColumnsRenamed({"f": "a", "key": "ka"}), "a").join(reps.withColumnsRenamed({"f": "b", "key": "kb"}), "b")
+    named = checkpoint(named.select("a", "ka", "b", "kb"))
+    need = checkpoint(named.select(F.col("a").alias("f"), F.col("ka").alias("key")).union(named.select("b", "kb")).distinct())
     sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n)
-    x, y = F.col("s"), F.col("s2")
-    both = pairs.join(sets, pairs["a"] == sets["f"]).select("a", "b", "s").join(sets.select(F.col("f").alias("f2"), F.col("s").alias("s2")), F.col("b") == F.col("f2"))
+    at = lambda side, f, key: (F.col(f) == F.col(f"{side}.f")) & (F.col(key) == F.col(f"{side}.key"))
+    both = named.join(sets.alias("x"), at("x", "a", "ka")).join(sets.alias("y"), at("y", "b", "kb"))
+    x, y = F.col("x.s"), F.col("y.s")
     common = F.size(F.array_intersect(x, y))
     return both.where(common * 100 >= (F.size(x) + F.size(y) - common) * percent).select("a", "b").distinct()
 
@@ -253,7 +261,7 @@ def _verify_clusters(members: DataFrame, docs: DataFrame, reps: DataFrame, *, id
     placed = members.join(parts, ["c", "b"]).withColumn("h", F.pmod(F.xxhash64("f"), F.col("parts")))
     need = checkpoint(members.select("f").distinct().join(reps, "f"))
     sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n)
-    rows = placed.join(sets, "f").dropDuplicates(["c", "b", "h", "f"]).select("c", "b", "h", "f", "root", "minor", "s")
+    rows = placed.join(need, "f").join(sets, ["f", "key"]).dropDuplicates(["c", "b", "h", "f"]).select("c", "b", "h", "f", "root", "minor", "s")
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
