@@ -1,20 +1,19 @@
-"""Optimal and greedy one-to-one assignment on a distance matrix, by blocks."""
+"""Optimal and greedy one-to-one assignment on the distance matrix of each block."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distance import LIMB
 from ..functions.schema import FeatureVector
 
-LARGEST = 1024  # rows of a side that are assigned in one task
+LARGEST = 1024  # rows of a side up to which a task keeps the whole matrix; beyond, it computes rows when it needs them
 
 
-def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def solve(cost: np.ndarray | Costs) -> tuple[np.ndarray, np.ndarray]:
     """(rows, columns) of the assignment of the smaller side with the least total cost, by shortest augmenting paths."""
     if cost.shape[0] > cost.shape[1]:
         c, r = solve(cost.T)
@@ -30,7 +29,7 @@ def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             done[j] = True
             row = owner[j]
             open_ = np.flatnonzero(~done[1:]) + 1
-            reduced = cost[row - 1, open_ - 1] - u[row] - v[open_]
+            reduced = cost[row - 1][open_ - 1] - u[row] - v[open_]
             better = reduced < least[open_]
             least[open_[better]] = reduced[better]
             came[open_[better]] = j
@@ -51,18 +50,32 @@ def solve(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], columns[order]
 
 
-def greedy(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row by row, the column (not yet taken) of the least cost among those with no smaller cost to their right in the row or below in the column."""
-    m, rows, columns = cost.astype(float).copy(), [], []
-    for i in range(len(m)):
-        right = np.minimum.accumulate(m[i][::-1])[::-1]
-        below = m[i:].min(axis=0)
-        ok = np.flatnonzero((m[i] <= right) & (m[i] <= below) & np.isfinite(m[i]))
-        if len(ok):
-            j = ok[np.argmin(m[i, ok])]
-            rows.append(i)
-            columns.append(j)
-            m[:, j] = np.inf
+def greedy(cost: np.ndarray | Costs) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row, the column (not yet taken) of the least cost among those with no smaller cost to their right in the row or below in the column.
+
+    The least cost below each row is kept for one stretch of rows at a time, and
+    for the starts of all stretches.
+    """
+    n, width = cost.shape[0], max(1, int(np.sqrt(cost.shape[0])))
+    starts, least = list(range(0, n, width)), np.full(cost.shape[1], np.inf)
+    after = {}
+    for a in reversed(starts):
+        after[a] = least
+        for i in range(a, min(a + width, n)):
+            least = np.minimum(least, cost[i])
+    free, rows, columns = np.ones(cost.shape[1], dtype=bool), [], []
+    for a in starts:
+        held = [cost[i] for i in range(a, min(a + width, n))]
+        below = np.minimum.accumulate([after[a], *held[::-1]])[1:][::-1]
+        for k, whole in enumerate(held):
+            row = np.where(free, whole, np.inf)
+            right = np.minimum.accumulate(row[::-1])[::-1]
+            ok = np.flatnonzero((row <= right) & (row <= below[k]) & np.isfinite(row))
+            if len(ok):
+                j = ok[np.argmin(row[ok])]
+                rows.append(a + k)
+                columns.append(j)
+                free[j] = False
     return np.array(rows, dtype=int), np.array(columns, dtype=int)
 
 
@@ -70,66 +83,71 @@ def _number(limbs) -> int:
     return sum(int(x) << (LIMB * k) for k, x in enumerate(limbs if limbs is not None else ()))
 
 
+class Costs:
+    """The matrix of the mean of the features' distances for every pair of rows, of which each row is computed when it is asked for."""
+
+    def __init__(self, parts: list[tuple], shape: tuple[int, int]) -> None:
+        self.parts, self.shape = parts, shape
+
+    @classmethod
+    def of(cls, left: pd.DataFrame, right: pd.DataFrame, vector: FeatureVector) -> Costs:
+        def column(values: pd.Series, metric: str) -> tuple:
+            if metric == "point":
+                return values.to_numpy(float), None
+            if metric == "euclid":
+                x = np.array(values.tolist(), float).reshape(len(values), -1)
+                return x, np.sqrt((x * x).sum(1))
+            return [_number(v) for v in values], None
+
+        parts = [(f.metric, column(left[f.name], f.metric), column(right[f.name], f.metric)) for f in vector.features]
+        return cls(parts, (len(left), len(right)))
+
+    @property
+    def T(self) -> Costs:  # noqa: N802
+        return Costs([(metric, b, a) for metric, a, b in self.parts], self.shape[::-1])
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        total = np.zeros(self.shape[1])
+        for metric, (x, x_size), (y, y_size) in self.parts:
+            if metric == "point":
+                top, gap = np.maximum(x[i], y), np.abs(x[i] - y)
+            elif metric == "euclid":
+                top, gap = np.maximum(x_size[i], y_size), np.sqrt(((x[i] - y) ** 2).sum(1))
+            else:
+                d = [x[i] ^ q for q in y]
+                gap, top = np.array([v.bit_count() for v in d], float), np.array([v.bit_length() for v in d], float)
+            total += np.divide(gap, top, out=np.zeros_like(total), where=top != 0)
+        return total / len(self.parts)
+
+    def whole(self) -> np.ndarray:
+        return np.array([self[i] for i in range(self.shape[0])]).reshape(self.shape)
+
+
 def distances(left: pd.DataFrame, right: pd.DataFrame, vector: FeatureVector) -> np.ndarray:
     """The mean of the features' distances for every pair of rows."""
-    total = np.zeros((len(left), len(right)))
-    for f in vector.features:
-        a, b = left[f.name], right[f.name]
-        if f.metric == "point":
-            x, y = a.to_numpy(float)[:, None], b.to_numpy(float)[None, :]
-            top, gap = np.maximum(x, y), np.abs(x - y)
-        elif f.metric == "euclid":
-            x, y = np.array(a.tolist(), float).reshape(len(a), -1), np.array(b.tolist(), float).reshape(len(b), -1)
-            top = np.maximum(np.sqrt((x * x).sum(1))[:, None], np.sqrt((y * y).sum(1))[None, :])
-            gap = np.stack([np.sqrt(((row - y) ** 2).sum(1)) for row in x]) if len(x) else np.zeros((0, len(y)))
-        else:
-            x, y = [_number(v) for v in a], [_number(v) for v in b]
-            d = [[p ^ q for q in y] for p in x]
-            gap = np.array([[v.bit_count() for v in r] for r in d], float).reshape(len(x), len(y))
-            top = np.array([[v.bit_length() for v in r] for r in d], float).reshape(len(x), len(y))
-        total += np.divide(gap, top, out=np.zeros_like(total), where=top != 0)
-    return total / len(vector)
-
-
-def _split(left: DataFrame, right: DataFrame, vector: FeatureVector, largest: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks beyond the limit are cut, on both sides alike, into as many stretches of the order by the vectors' length; the rows of a stretch are assigned among themselves."""
-    size = left.groupBy("block").agg(F.count("*").alias("n")).join(right.groupBy("block").agg(F.count("*").alias("m")), "block")
-    size = size.select("block", F.ceil(F.greatest("n", "m") / largest).cast("int").alias("parts"))
-    weight = F.lit(0.0)
-    for f in vector.features:
-        if f.metric == "point":
-            weight = weight + F.col(f.name)
-        elif f.metric == "euclid":
-            weight = weight + F.sqrt(F.aggregate(F.col(f.name), F.lit(0.0), lambda s, x: s + x * x))
-
-    def cut(side: DataFrame) -> DataFrame:
-        rows = side.join(size, "block")
-        small = rows.where("parts = 1").withColumn("part", F.lit(0).cast("long"))
-        rank = W.partitionBy("block").orderBy("weight", "pk")
-        large = rows.where("parts > 1").withColumn("weight", weight)
-        large = large.withColumn("part", F.floor((F.percent_rank().over(rank)) * F.col("parts") * (1 - 1e-12)).cast("long")).drop("weight")
-        return small.unionByName(large).drop("parts")
-
-    return cut(left), cut(right)
+    return Costs.of(left, right, vector).whole()
 
 
 def assign(left: DataFrame, right: DataFrame, vector: FeatureVector, *, how: str = "optimal", largest: int = LARGEST) -> DataFrame:
     """block, lhs_pk, rhs_pk, distance.  left and right: block (string), pk (bigint), the vector's columns.
 
-    A block of at most ``largest`` rows on each side is assigned exactly, in
-    one task; a larger one by stretches of similar rows (an approximation).
+    Every block is assigned as a whole, in one task.  Up to ``largest`` rows on
+    each side the task keeps the block's matrix; beyond, it computes rows of it
+    again and again, which takes longer and gives the same result.
     """
     names = ["block", "pk", *vector.names]
-    a, b = _split(left.select(*names), right.select(*names), vector, largest)
+    a, b = left.select(*names), right.select(*names)
     rule = solve if how == "optimal" else greedy
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"block": [], "lhs_pk": [], "rhs_pk": [], "distance": []}).astype({"block": object, "lhs_pk": "int64", "rhs_pk": "int64", "distance": float})
         x, y = x.sort_values("pk", ignore_index=True), y.rename(columns=lambda c: c.removeprefix("r_")).sort_values("pk", ignore_index=True)
-        cost = distances(x, y, vector)
+        cost = Costs.of(x, y, vector)
+        if max(cost.shape) <= largest:
+            cost = cost.whole()
         r, c = rule(cost)
-        return pd.DataFrame({"block": x["block"].iloc[0], "lhs_pk": x["pk"].to_numpy()[r], "rhs_pk": y["pk"].to_numpy()[c], "distance": cost[r, c]})
+        return pd.DataFrame({"block": x["block"].iloc[0], "lhs_pk": x["pk"].to_numpy()[r], "rhs_pk": y["pk"].to_numpy()[c], "distance": [cost[i][j] for i, j in zip(r, c, strict=True)]}).astype({"distance": float})
 
     b = b.select(*(F.col(c).alias(f"r_{c}") for c in b.columns))  # both sides may be one table
-    return a.groupBy("block", "part").cogroup(b.groupBy("r_block", "r_part")).applyInPandas(run, "block string, lhs_pk bigint, rhs_pk bigint, distance double")
+    return a.groupBy("block").cogroup(b.groupBy("r_block")).applyInPandas(run, "block string, lhs_pk bigint, rhs_pk bigint, distance double")

@@ -67,6 +67,32 @@ def test_assign_blocks(spark):
     assert all(abs(d[r["i"], r["j"]] - r["d"]) < 1e-9 for r in packed.collect())
 
 
+@pytest.mark.parametrize("how", ["optimal", "greedy"])
+@pytest.mark.parametrize("n, m", [(30, 40), (40, 30)])
+def test_large_blocks_are_assigned_as_a_whole(spark, how, n, m):
+    rng = random.Random(2)
+    a, b = ([(k, "", rng.randrange(50)) for k in range(size)] for size in (n, m))
+    a, b = (side(spark, rows).withColumn("block", F.lit("b")) for rows in (a, b))
+    whole, rows = (sorted(map(tuple, assignment.assign(a, b, V, how=how, largest=k).collect())) for k in (100, 10))
+    assert rows == whole and (how == "greedy" or len(whole) == 30)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 10**6))
+def test_greedy_restated(n, m, seed):
+    cost = np.random.default_rng(seed).integers(0, 9, (n, m)) / 8
+    d, want = cost.copy(), []
+    for i in range(n):
+        least, at = np.inf, -1
+        for j in range(m):
+            if d[i, j] < least and all(d[i + 1 :, j] >= d[i, j]) and all(d[i, j + 1 :] >= d[i, j]):
+                least, at = d[i, j], j
+        if at >= 0:
+            d[:, at] = np.inf
+            want.append((i, at))
+    assert list(zip(*(x.tolist() for x in assignment.greedy(cost)), strict=True)) == want
+
+
 def test_windows_and_monotonic(spark):
     m = spark.createDataFrame([(10, "", 100, ""), (50, "", 180, ""), (60, "", 90, "")], "lhs_pk bigint, lhs_name string, rhs_pk bigint, rhs_name string")
     for buckets in (1, 3, 1024):
