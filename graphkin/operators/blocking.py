@@ -106,11 +106,14 @@ def cluster_vector(vector: FeatureVector) -> FeatureVector:
 # -- community consensus
 
 
-def louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, seed: int, resolution: float = 1.0) -> np.ndarray:
-    """The community of each vertex 0 .. n - 1, by directed modularity: vertices move to the best neighbouring community, then communities become vertices."""
+def louvain(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, seed: int, resolution: float = 1.0, total: float | None = None) -> np.ndarray:
+    """The community of each vertex 0 .. n - 1, by directed modularity: vertices move to the best neighbouring community, then communities become vertices.
+
+    total: the weight of the whole graph, where the edges are only a component of it.
+    """
     rng = np.random.default_rng(seed)
     member = np.arange(n)
-    total = float(weight.sum())
+    total = float(weight.sum()) if total is None else total
     if not total:
         return member
     while True:
@@ -156,10 +159,10 @@ def _runs(edges: DataFrame, runs: int, seed: int, resolution: float) -> DataFram
     """run, v, c: the communities of every run."""
     spark = edges.sparkSession
 
-    def one(pdf: pd.DataFrame, run: int) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, run: int, total: float | None = None) -> pd.DataFrame:
         names, flat = np.unique(np.concatenate([pdf["src"], pdf["dst"]]), return_inverse=True)
         half = len(pdf)
-        c = louvain(flat[:half], flat[half:], pdf["weight"].to_numpy(float), len(names), seed + run, resolution)
+        c = louvain(flat[:half], flat[half:], pdf["weight"].to_numpy(float), len(names), seed + run, resolution, total)
         first = np.full(int(c.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, c, names)
         return pd.DataFrame({"run": run, "v": names, "c": first[c]})
@@ -175,10 +178,11 @@ def _runs(edges: DataFrame, runs: int, seed: int, resolution: float) -> DataFram
                     yield one(shared.value, int(run))
 
         return spark.range(0, runs, 1, min(runs, spark.sparkContext.defaultParallelism)).mapInPandas(every, schema)
-    # else each component for itself
+    # else each component for itself, with the modularity of the whole graph
+    total = plain.agg(F.sum("weight")).first()[0]
     roots = connected_components(plain, "src", "dst", lambda df: df.checkpoint())
     many = plain.join(roots.withColumnRenamed("node", "src"), "src").crossJoin(F.broadcast(spark.range(runs).withColumnRenamed("id", "run")))
-    return many.groupBy("root", "run").applyInPandas(lambda key, pdf: one(pdf.sort_values(["src", "dst"]), int(key[1])), schema)
+    return many.groupBy("root", "run").applyInPandas(lambda key, pdf: one(pdf.sort_values(["src", "dst"]), int(key[1]), total), schema)
 
 
 def agreeing(labels: DataFrame, runs: int, prob: float, cut: Cut) -> DataFrame:

@@ -182,6 +182,21 @@ def test_louvain(spark, cut):
     assert q > 0.4
 
 
+def test_louvain_by_components(spark, cut, monkeypatch):
+    paths = [(10 * p + k, 10 * p + k + 1) for p in range(20) for k in range(7)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in paths], "src bigint, dst bigint, weight bigint")
+
+    def communities():
+        got = {}
+        for r in blocking._runs(edges, 3, 1, 1.0).collect():
+            got.setdefault((r["run"], r["c"]), set()).add(r["v"])
+        return sorted((run, sorted(vs)) for (run, _), vs in got.items())
+
+    whole = communities()
+    monkeypatch.setattr(blocking, "MAX_EDGES", 100)
+    assert communities() == whole == sorted((run, [10 * p + k for k in range(8)]) for p in range(20) for run in range(3))
+
+
 def test_agreeing_vertices(spark, cut):
     rng = random.Random(5)
     labels = [(r, v, (v // 4) if rng.random() < 0.97 else 99) for r in range(40) for v in range(16)]
