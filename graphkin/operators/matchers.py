@@ -174,23 +174,22 @@ def monotonic_round(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, vector:
     return _settle(pairs, by).select("lhs_pk", "rhs_pk", "distance")
 
 
-def fixpoint(step: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame], matches: DataFrame, lhs: DataFrame, rhs: DataFrame, matcher: str, cut: Cut, *, new_only: bool = False, rounds: int = 100) -> DataFrame:
+def fixpoint(step: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame], matches: DataFrame, lhs: DataFrame, rhs: DataFrame, matcher: str, cut: Cut, *, new_only: bool = False) -> DataFrame:
     """All matches after repeating step(matches, newest, lhs, rhs) until it adds nothing.
 
     With new_only the newest matches suffice for a pass; one over all matches
     then makes sure of the end, as a removal can make a vector unique.
     """
     newest, whole = matches, True
-    for _ in range(rounds):
+    while True:  # each round takes rows away, so this ends
         found = cut(_named(step(matches, newest, remaining(lhs, matches, "lhs"), remaining(rhs, matches, "rhs")), lhs, rhs, matcher))
         if found.isEmpty():
             if whole or not new_only:
-                break
+                return matches
             newest, whole = matches, True
             continue
         matches, newest, whole = cut(matches.unionByName(found)), found if new_only else None, not new_only
         newest = matches if newest is None else newest
-    return matches
 
 
 def structural(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, cut: Cut, *, how: str = "exact") -> DataFrame:

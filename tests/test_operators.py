@@ -1,5 +1,6 @@
 import itertools
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from graphkin.functions.schema import FeatureSpec, FeatureVector
 from graphkin.operators import assignment, blocking, dataset, graph, matchers, modular
 from graphkin.operators.components import connected_components
-from graphkin.plans.diff import Options, Side, diff
+from graphkin.plans.diff import Differ, Options, Side, diff
 
 V = FeatureVector((FeatureSpec("x", 1, "point"), FeatureSpec("y", 2, "euclid")))
 
@@ -112,6 +113,19 @@ def test_structural(spark, cut):
     assert pairs(found) == [(k, k) for k in range(5)]
 
 
+def test_fixpoint_has_no_bound(spark):
+    a = side(spark, [(k, "", k) for k in range(106)])
+    cut = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    step = lambda all_, *_: spark.createDataFrame([(k, k, 0.0) for k in [all_.count()] if k < 105], "lhs_pk bigint, rhs_pk bigint, distance double")
+    assert matchers.fixpoint(step, spark.createDataFrame([], matchers.MATCHES), a, a, "m", cut).count() == 105
+
+
+def test_passes_are_repeated_until_nothing_is_found(spark):
+    left = iter([1] * 30 + [0])
+    differ = SimpleNamespace(options=Options(), _left=lambda: (spark.range(1),))
+    assert Differ._repeat(differ, lambda: next(left)) == 30
+
+
 def test_dataset_operators(spark):
     rows = spark.range(1, 7).select(F.col("id").alias("pk"))
     edges = spark.createDataFrame([(1, 2), (1, 9), (3, 1)], "src bigint, dst bigint")
