@@ -16,6 +16,8 @@ the threshold are not fingerprinted.  This loses nothing.
 
 The index covers a block of the benchmark of bounded size (``MAX_CHARS``); a
 larger benchmark is taken in several blocks, one scan of the documents for each.
+Weights are those of the whole benchmark: how many items have each shingle is
+counted once, and every task reads that table (16 bytes a shingle).
 
 Defined cases: items without words match nothing; items shorter than n words are
 one shingle of their own length; a document shorter than an item is one window;
@@ -31,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .common import shared_dir, store
 from .ngram_join import _pieces
 
 BLOCKS = 8
@@ -78,47 +82,51 @@ class _Size:
         return w[ok], self.members[m[ok]]
 
 
+def _item_shingles(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(position, words, shingles) of the items that have words."""
+    first, words = textops.words(texts)
+    for k, m in enumerate(np.diff(first).tolist()):
+        if m:
+            yield k, m, textops.shingles(np.array([0, m]), words[first[k] : first[k + 1]], min(n, m))[1]
+
+
 class Index:
-    """Items (id, text) prepared for look-up."""
+    """Items (id, text) prepared for look-up; whole: (shingles, items that have each, items) of a benchmark of which these are a part."""
 
-    def __init__(self, items: list[tuple[object, str]], n: int, threshold: float) -> None:
+    def __init__(self, items: list[tuple[object, str]], n: int, threshold: float, whole: tuple[np.ndarray, np.ndarray, int] | None = None) -> None:
         self.n, self.threshold = n, threshold
-        first, words = textops.words(pa.array([t or "" for _, t in items], pa.string()))
-        sizes = np.diff(first)
         self.ids, self.bags, by_size = [], [], defaultdict(list)
         has: Counter = Counter()
-        for k, (item, _) in enumerate(items):
-            m = int(sizes[k])
-            if not m:
-                continue
-            one = words[first[k] : first[k + 1]]
-            s = textops.shingles(np.array([0, m]), one, min(n, m))[1]
+        for k, m, s in _item_shingles(pa.array([t or "" for _, t in items], pa.string()), n):
             by_size[m].append(len(self.ids))
-            self.ids.append(item)
+            self.ids.append(items[k][0])
             self.bags.append(Counter(s.tolist()))
-            has.update(set(s.tolist()))
-        total = max(1, len(self.ids))
+            if whole is None:
+                has.update(self.bags[-1].keys())
+        if whole is None:
+            keys = sorted(has)
+            whole = np.array(keys, dtype=np.uint64), np.array([has[h] for h in keys], dtype=np.int64), len(self.ids)
+        self.known, counts, total = whole
+        total = max(1, total)
         self.unknown = 1.0 + float(np.log(total))
-        known = sorted(has)
-        self.known = np.array(known, dtype=np.uint64)
-        self.weights = np.array([1.0 + np.log(total / has[h]) for h in known])
-        self.weight_of = dict(zip(known, self.weights.tolist(), strict=True))
+        self.weights = 1.0 + np.log(total / counts)
         self.sieve = np.zeros(SIEVE, dtype=bool)
         self.sieve[(self.known & np.uint64(SIEVE - 1)).astype(np.int64)] = True
-        self.mass = [sum(self.weight_of[h] * c for h, c in bag.items()) for bag in self.bags]
+        self.mass = [sum(w * c for w, c in zip(self._weigh(np.array(list(bag), dtype=np.uint64))[0].tolist(), bag.values(), strict=True)) for bag in self.bags]
         self.sizes = {m: _Size(members, self._prints(members)) for m, members in by_size.items()}
 
     def _prints(self, members: list[int]) -> np.ndarray:
         out = []
         for k in members:
             s = np.array(list(self.bags[k].elements()), dtype=np.uint64)
-            out.append(_pack((_bits(s) * np.array([self.weight_of[h] for h in s.tolist()], np.float32)[:, None]).sum(axis=0, keepdims=True))[0])
+            out.append(_pack((_bits(s) * self._weigh(s)[0].astype(np.float32)[:, None]).sum(axis=0, keepdims=True))[0])
         return np.array(out, dtype=np.uint64)
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         bag, both, mine = self.bags[item], 0.0, 0.0
-        for h, c in Counter(window.tolist()).items():
-            w = self.weight_of.get(h, self.unknown)
+        counts = Counter(window.tolist())
+        weights = self._weigh(np.array(list(counts), dtype=np.uint64))[0].tolist()
+        for (h, c), w in zip(counts.items(), weights, strict=True):
             mine += w * c
             both += w * min(c, bag.get(h, 0))
         return round(both / (mine + self.mass[item] - both), 9)
@@ -192,22 +200,53 @@ def flag(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // MAX_CHARS) or 1
     names = df.columns
+    whole = _benchmark_counts(items, n) if blocks > 1 else None
     out = df.withColumn("leaks", F.array().cast(leak))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t")
         shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])  # about MAX_CHARS
-        out = _scan(out, names, shared, text, n, threshold, leak)
+        out = _scan(out, names, shared, text, n, threshold, leak, whole)
     return out
 
 
-def _scan(df: DataFrame, names: list[str], shared, text: str, n: int, threshold: float, leak: str) -> DataFrame:
+def _benchmark_counts(items: DataFrame, n: int) -> tuple[str, int]:
+    """(URI of a table of shingles h and the number c of items that have each, number of items with words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(s) for _, _, s in _item_shingles(batch.column("t"), n)]
+            h, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.r_[len(sets), np.zeros(max(0, len(h) - 1), np.int64)][: len(h)])], ["h", "c", "items"])
+
+    uri = shared_dir(items.sparkSession, "benchmark")
+    items.select("t").mapInArrow(run, "h bigint, c bigint, items bigint").groupBy("h").agg(F.sum("c").alias("c"), F.sum("items").alias("items")).write.parquet(uri)
+    return uri, items.sparkSession.read.schema("h bigint, c bigint, items bigint").parquet(uri).agg(F.sum("items")).first()[0] or 0
+
+
+def _read_counts(whole: tuple[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    filesystem, path = store(whole[0])
+    found = pyarrow.dataset.dataset(path, filesystem=filesystem, format="parquet").to_table(columns=["h", "c"])
+    h, c = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order], whole[1]
+
+
+def _best(leaks: list[dict]) -> list[dict]:
+    """The best leak of each item id."""
+    best: dict = {}
+    for x in sorted(leaks, key=lambda x: (-x["similarity"], x["start"], x["n_words"])):
+        best.setdefault(x["item_id"], x)
+    return sorted(best.values(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
+
+
+def _scan(df: DataFrame, names: list[str], shared, text: str, n: int, threshold: float, leak: str, whole: tuple[str, int] | None) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, n, threshold)
+        index = Index(shared.value, n, threshold, whole and _read_counts(whole))
         for part in _pieces(batches, text):
             before = part.column("leaks")
-            found = [(old or []) + new for old, new in zip(before.to_pylist(), index.leaks(part.column(text)), strict=True)]
+            found = [_best(old + new) if old else new for old, new in zip(before.to_pylist(), index.leaks(part.column(text)), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, before.type)], [*names, "leaks"])
 
     return df.mapInArrow(run, f"{fields}, leaks {leak}")

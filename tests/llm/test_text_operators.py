@@ -131,6 +131,26 @@ def test_decontamination(spark):
     assert none.where(F.size("leaks") > 0).count() == 0 and none.count() == len(docs)
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(200)]
+    common = " ".join(rng.choice(vocab) for _ in range(12))
+    items = [(k, common + " " + " ".join(rng.choice(vocab) for _ in range(20))) for k in range(24)]
+    items += [(k, t + f" extra{k}") for k, t in items[:6]] + [(30, ""), (31, None)]
+    docs = []
+    for k in range(60):
+        inside = items[k % 24][1].split()
+        for _ in range(k % 4):
+            inside[rng.randrange(len(inside))] = "other"
+        docs.append((k, " ".join([*(rng.choice(vocab) for _ in range(9)), *inside, *(rng.choice(vocab) for _ in range(9))])))
+    docs, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+    leaks = lambda: {r["doc_id"]: [tuple(x) for x in r["leaks"]] for r in decontaminate.flag(docs, bench).collect()}
+    want = leaks()
+    monkeypatch.setattr(decontaminate, "MAX_CHARS", 900)
+    got = leaks()
+    assert got == want and 15 < sum(map(bool, want.values())) < 60
+
+
 def test_fingerprints_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64)
