@@ -1,21 +1,16 @@
 """Scoring of texts by a hidden Markov language model.
 
 Base: a smoothed unigram, q(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), one unseen
-word included.  The model multiplies it with the emission ratio of the word's
-class in the current state: p(w | s) = q(w) * P(class | s) / Q(class), where
-Q(class) is the unigram mass of the class.  So each state is a distribution over
-all words, and the number of parameters is bounded: the ``HOT`` most frequent
-words have classes (the first ``OWN`` one each, the others ``SHARED`` by hash),
-the end of a text has one, and all the rest, unseen words included, are one.
-
-Training is Baum-Welch: every task adds its expected counts over stretches of at
-most ``STRETCH`` tokens of all training texts, the sums are added across
-partitions, and the driver only sees tables of states x classes.  The likelihood
-of a text is exact, by the scaled forward recursion over the whole of it.
-
-Word counts of the corpus stay in a distributed table.  The hot words' counts
-(at most ``HOT``) are sent to tasks; a text's other words are looked up by a
-join, so no count is left out.
+word included.  The model multiplies it with the word's emission ratio in the
+current state: p(w | s) = q(w) * P(w | s) / q(w) for every word of the training
+texts and their end; unseen words keep q(w) in every state.
+
+Training is Baum-Welch: tasks add their expected counts over stretches of at
+most ``STRETCH`` tokens of all training texts.  Counts of the corpus and expected
+counts by (word, state) stay in distributed tables.  The ``HOT`` most frequent
+words' are sent to tasks; those of a piece's other words come by a join on the
+word.  The model does not depend on ``HOT``.  The likelihood of a text is exact,
+by the scaled forward recursion over the whole of it.
 
 Defined cases: a null or empty text is the end token alone; without training
 texts every token has the unigram probability 1 of the formula; repeated rows
@@ -29,21 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
 from .common import checkpoint, most_frequent
 
-HOT = 1 << 17
-OWN, SHARED = 8192, 2048
+HOT = 1 << 17  # words that tasks hold; the others come by a join, with the same result
+OWN = 8192  # without effect since every word has its own emissions; test_hmm sets it
 STATES = 6
 ROUNDS = 4
 STRETCH = 512
 SHRINK = 500.0  # pseudo-counts of the base distribution
-PIECE = 16 << 20
-END, RARE = 0, 1  # classes
-CLASSES = 2 + OWN + SHARED
+PIECE = 4 << 20
+END, RARE = 0, 1  # classes of the end and of unseen words; each word of the training texts has one of its own
+SUMS = [f"g{s}" for s in range(STATES)]
 _BUCKETS = 1 << 20
 _LN10 = np.log(10.0)
 
@@ -82,56 +78,94 @@ class Lookup:
 
 
 class Model:
-    """Everything that tasks need: hot words by descending count, the totals and the HMM's parameters."""
+    """Hot words by descending count, the totals and the HMM's parameters.
+
+    Tasks hold the hot words only and get the others of their texts by a join.
+    On the driver ``rest`` is the table of the others (h, c, g0 ..), from which
+    ``encode``, ``ratios`` and ``emit`` load all words: for small vocabularies.
+    """
 
     def __init__(self, hot: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int) -> None:
-        self.lookup, self.counts, self.total, self.ends = Lookup(hot), counts, total, ends
+        self.lookup, self.hot, self.counts, self.total, self.distinct, self.ends = Lookup(hot), hot, counts, total, distinct, ends
         self.norm = total + 0.1 * (distinct + 1)
-        rank = np.arange(len(hot))
-        self.classes = np.where(rank < OWN, 2 + rank, 2 + OWN + (hot % np.uint64(SHARED)).astype(np.int64)).astype(np.int32)
-        self.mass = np.bincount(self.classes, weights=(counts + 0.1) / self.norm, minlength=CLASSES)
-        self.mass[END] = (ends + 0.1) / self.norm if ends else 0.0
-        self.mass[RARE] = max(0.0, 1 - self.mass.sum())
-        rng = np.random.default_rng(7)
+        self.mass = np.concatenate([[(ends + 0.1) / self.norm if ends else 0.0, 0.1 / self.norm], (counts + 0.1) / self.norm])
         self.start = np.full(STATES, 1 / STATES)
         self.step = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
-        emit = self.mass * (0.5 + rng.random((STATES, CLASSES)))
-        self.emit = emit / np.maximum(emit.sum(axis=1, keepdims=True), 1e-300)
-
-    def update(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> None:
-        """The parameters of summed expected counts.
-
-        The rest class keeps its base mass in every state, but for a factor that
-        shrinks towards 1: unseen words belong to it and no training text has one.
-        """
-        rare = emit[:, RARE] / max(1.0, emit[:, RARE].sum()) * emit.sum() if emit[:, RARE].sum() else emit.sum(axis=1)
-        factor = (rare + SHRINK) / (emit.sum(axis=1) + SHRINK)
-        known = self.mass.copy()
-        known[RARE] = 0
-        emit = emit.copy()
-        emit[:, RARE] = 0
-        emit += SHRINK * known
-        left = 1 - np.minimum(self.mass[RARE] * factor, 0.99)
-        self.emit = emit / np.maximum(emit.sum(axis=1, keepdims=True), 1e-300) * left[:, None]
-        self.emit[:, RARE] = 1 - left
+        self.sums, self.tokens = np.zeros((len(self.mass), STATES)), None
+        self.first = self.noise_mass(hot, counts) + self.mass[END] * noise(np.array([END], np.uint64))[0]
+        self.rest, self._all = None, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rest": None, "_all": None}
+
+    def noise_mass(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The unigram mass of words times their factors at the start, by state."""
+        return ((counts + 0.1) / self.norm) @ noise(words)
+
+    def update(self, start: np.ndarray, step: np.ndarray, sums: np.ndarray, tokens: np.ndarray) -> None:
+        """The parameters of expected counts: sums [classes, states] of the hot words, tokens [states] of all words."""
+        self.sums, self.tokens = sums, tokens
         self.start = (start + 1) / (start + 1).sum()
         self.step = (step + 1) / (step + 1).sum(axis=1, keepdims=True)
 
+    def ratios_of(self, words: np.ndarray, mass: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """[words, states]: P(word | state) / q(word) of words of the training texts; the unseen word keeps its mass in every state."""
+        known = 1 - self.mass[RARE]
+        if self.tokens is None:
+            return noise(words) * known / np.maximum(self.first, 1e-300)
+        return (sums / mass[:, None] + SHRINK) * known / (self.tokens + SHRINK * known)
+
+    def held(self) -> np.ndarray:
+        """[classes, states] of the hot words; 1 where a class has no mass."""
+        out = np.ones((len(self.mass), STATES))
+        use = np.r_[END, np.arange(2, len(self.mass))] if self.ends else np.arange(2, len(self.mass))
+        out[use] = self.ratios_of(np.concatenate([np.array([END, RARE], np.uint64), self.hot])[use], self.mass[use], self.sums[use])
+        return out
+
+    def whole(self) -> Model:
+        """All words in one model."""
+        if self.rest is None:
+            return self
+        if self._all is None:
+            h, c, g = _columns(self.rest.toArrow())
+            every = Model(np.concatenate([self.hot, h]), np.concatenate([self.counts, c]), self.total, self.distinct, self.ends)
+            every.start, every.step, every.first, every.tokens, every.sums = self.start, self.step, self.first, self.tokens, np.concatenate([self.sums, g])
+            self._all = every
+        return self._all
+
     def ratios(self) -> np.ndarray:
-        """[classes, states]: P(class | state) / Q(class); 1 where a class has no mass."""
-        return np.where(self.mass > 0, self.emit / np.maximum(self.mass, 1e-300), 1.0).T.copy()
+        """[classes, states]: P(class | state) / Q(class)."""
+        return self.whole().held()
+
+    @property
+    def emit(self) -> np.ndarray:
+        """[states, classes]."""
+        return (self.ratios() * self.whole().mass[:, None]).T
 
     def encode(self, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, classes with an end for each text, rank of each word or -1)."""
-        rank = self.lookup(words)
-        classes = np.where(rank >= 0, self.classes[rank] if len(self.classes) else RARE, RARE)
+        rank = self.whole().lookup(words)
         out_first = first + np.arange(len(first))
         out = np.full(int(out_first[-1]), END, np.int32)
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        out[np.arange(len(words)) + owner] = classes
+        out[np.arange(len(words)) + owner] = np.where(rank >= 0, rank + 2, RARE)
         return out_first, out if self.ends else np.where(out == END, RARE, out), rank
 
 
+def noise(words: np.ndarray) -> np.ndarray:
+    """[words, states]: the factors, in [0.5, 1.5), by which states differ at the start; they only depend on the word."""
+    salt = np.arange(1, STATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return 0.5 + (textops.mix(words[:, None] ^ salt[None, :]) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words in ascending order, counts, expected counts [words, states]) of a table (h, c, g0 ..); missing numbers are 0."""
+    numpy = lambda name, kind: table[name].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+    h = numpy("h", np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], numpy("c", np.int64)[order], np.stack([numpy(g, float) for g in SUMS], axis=1)[order]
+
+
 def _by_time(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sequences by descending length, number of sequences longer than t)."""
     size = np.diff(first)
@@ -140,9 +174,9 @@ def _by_time(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, live
 
 
-def forward(first: np.ndarray, classes: np.ndarray, model: Model) -> np.ndarray:
+def forward(first: np.ndarray, classes: np.ndarray, model: Model, ratio: np.ndarray) -> np.ndarray:
     """Natural logarithm of the likelihood of each sequence over the base model's."""
-    ratio, out = model.ratios(), np.zeros(len(first) - 1)
+    out = np.zeros(len(first) - 1)
     order, live = _by_time(first)
     at = first[:-1][order]
     log = np.zeros(len(order))
@@ -156,9 +190,9 @@ def forward(first: np.ndarray, classes: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-def expectations(first: np.ndarray, classes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expectations(first: np.ndarray, classes: np.ndarray, model: Model, ratio: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts (start, step, emit [states, classes]) by the forward-backward algorithm."""
-    ratio = model.ratios()
+    ratio = model.ratios() if ratio is None else ratio
     cut = [np.arange(a, b, STRETCH) for a, b in zip(first[:-1], first[1:], strict=True)]
     first = np.append(np.concatenate(cut), first[-1]) if cut else first
     order, live = _by_time(first)
@@ -183,7 +217,7 @@ def expectations(first: np.ndarray, classes: np.ndarray, model: Model) -> tuple[
         beta = full
         g = alphas[t] * beta
         gamma[at[:n] + t] = g / g.sum(axis=1, keepdims=True)
-    emit = np.stack([np.bincount(classes, weights=gamma[:, s], minlength=CLASSES) for s in range(STATES)])
+    emit = np.stack([np.bincount(classes, weights=gamma[:, s], minlength=len(ratio)) for s in range(STATES)])
     return gamma[first[:-1]].sum(axis=0) if len(first) > 1 else np.zeros(STATES), step * model.step, emit
 
 
@@ -213,64 +247,117 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _encoded(docs: DataFrame, model: Model, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces of docs(id, text): (chunk, ids, first, codes), and the words of each that are not hot (chunk, h, c); their codes follow those of the hot ones in the order of h."""
+    kind = docs.schema["id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, base = shared.value, TaskContext.get().partitionId() << 32
+        for k, (part, first, words) in enumerate(_pieces(batches)):
+            f, codes, rank = model.encode(first, words)
+            cold, at = np.unique(words[rank < 0], return_inverse=True)
+            owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            codes[(np.arange(len(words)) + owner)[rank < 0]] = len(model.mass) + at
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([base + k]),
+                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id")),
+                    pa.array([f.astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([codes.astype(np.int32).tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(cold)], pa.int32()), pa.array(cold.view(np.int64))),
+                ],
+                ["chunk", "ids", "first", "codes", "cold"],
+            )
+
+    rows = checkpoint(docs.select("id", "text").mapInArrow(run, f"chunk bigint, ids array<{kind}>, first binary, codes binary, cold array<bigint>"))
+    cold = checkpoint(rows.select("chunk", F.explode("cold").alias("h")).join(counts, "h", "left").select("chunk", "h", "c"))
+    return rows.drop("cold"), cold
+
+
+def _on_pieces(rows: DataFrame, cold: DataFrame, sums: DataFrame | None, model: Model, work, schema: str) -> DataFrame:
+    """work(model, ids, first, codes, ratios, counts of the words that are not hot, those words) on every piece."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    if sums is None:
+        cold = cold.select("*", *(F.lit(0.0).alias(g) for g in SUMS))
+    else:
+        cold = cold.join(sums, "h", "left")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = shared.value
+        h, c, g = _columns(right)
+        ratio = np.ones((len(h), STATES))
+        seen = c > 0
+        ratio[seen] = model.ratios_of(h[seen], (c[seen] + 0.1) / model.norm, g[seen])
+        first, codes = (np.frombuffer(left[x][0].as_buffer(), t) for x, t in (("first", np.int64), ("codes", np.int32)))
+        return work(model, left["ids"].combine_chunks().flatten(), first, codes, np.concatenate([model.held(), ratio]), c, h)
+
+    return rows.groupBy("chunk").cogroup(cold.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def _expected(model: Model, ids: pa.Array, first: np.ndarray, codes: np.ndarray, ratio: np.ndarray, c: np.ndarray, h: np.ndarray) -> pa.Table:
+    """kind, h, g0 ..: 0 a word's expected counts, 1 those of a hot word by its class, 2 the start, the step from each state, and all tokens."""
+    start, step, emit = expectations(first, codes, model, ratio)
+    emit, n = emit.T, len(model.mass)
+    used = np.flatnonzero(emit[:n].any(axis=1))
+    keys = np.concatenate([h.view(np.int64), used, np.arange(STATES + 2)])
+    kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(h), len(used), STATES + 2])
+    values = np.concatenate([emit[n:], emit[used], start[None, :], step, emit.sum(axis=0)[None, :]])
+    return pa.table([pa.array(kinds), pa.array(keys), *(pa.array(values[:, s].copy()) for s in range(STATES))], ["kind", "h", *SUMS])
+
+
 def train(docs: DataFrame, *, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model of docs(text), and the table of word counts (h, c)."""
     counts = checkpoint(count_words(docs))
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = docs.count()
-    top = most_frequent(counts, "c", HOT).toPandas().sort_values(["c", "h"], ascending=[False, True])  # HOT rows at most
-    model = Model(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(totals["n"] or 0) + ends, int(totals["v"]) + bool(ends), ends)
-    spark = docs.sparkSession
+    top = most_frequent(counts, "c", HOT)
+    hot = top.toPandas().sort_values(["c", "h"], ascending=[False, True])  # HOT rows at most
+    model = Model(hot["h"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64), int(totals["n"] or 0) + ends, int(totals["v"]) + bool(ends), ends)
+    least = int(hot["c"].min()) if len(hot) else None
+    rest = counts if least is None else counts.where(F.col("c") < least)  # hot words are all from some count on
+    model.first = model.first + _rest_noise(rest, model)
+    sums, schema = None, "kind int, h bigint, " + ", ".join(f"{g} double" for g in SUMS)
+    if ends:
+        rows, cold = _encoded(docs.select(F.lit(0).alias("id"), "text"), model, counts)
     for _ in range(rounds if ends else 0):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, start, step, emit = shared.value, np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))
-            for _, first, words in _pieces(batches):
-                f, classes, _ = model.encode(first, words)
-                got = expectations(f, classes, model)
-                start, step, emit = start + got[0], step + got[1], emit + got[2]
-            flat = [start, step.ravel(), *emit]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], ["part", "sums"])
-
-        def add(table: pa.Table) -> pa.Table:
-            whole = np.sum([np.frombuffer(x) for x in sorted(table["sums"].to_pylist())], axis=0)
-            return pa.table({"part": table["part"][:1], "sums": pa.array([whole.tobytes()], pa.binary())})
-
-        rows = docs.select("text").mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()  # STATES + 2 rows
-        sums = {r["part"]: np.frombuffer(r["sums"]) for r in rows}
-        model.update(sums[0], sums[1].reshape(STATES, STATES), np.stack([sums[2 + s] for s in range(STATES)]))
-        shared.unpersist()
+        found = _on_pieces(rows, cold, sums, model, _expected, schema)
+        found = checkpoint(found.groupBy("kind", "h").agg(*(F.sum(g).alias(g) for g in SUMS)))
+        own = found.where("kind > 0").toPandas()  # HOT rows and a few
+        held, few = own[own["kind"] == 1], own[own["kind"] == 2].sort_values("h")[SUMS].to_numpy()
+        dense = np.zeros((len(model.mass), STATES))
+        dense[held["h"].to_numpy()] = held[SUMS].to_numpy()
+        model.update(few[0], few[1:-1], dense, few[-1])
+        sums = found.where("kind = 0").select("h", *SUMS)
+    model.rest = rest.join(sums, "h", "left") if sums is not None else rest.select("*", *(F.lit(0.0).alias(g) for g in SUMS))
     return model, counts
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _rest_noise(rest: DataFrame, model: Model) -> np.ndarray:
+    shared = rest.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        logs = np.log10(model.counts + 0.1)
-        for part, first, words in _pieces(batches):
-            f, classes, rank = model.encode(first, words)
-            gain = forward(f, classes, model) / _LN10
-            n, owner = part.num_rows, np.repeat(np.arange(part.num_rows), np.diff(first))
-            hot = rank >= 0
-            base = np.bincount(owner[hot], weights=logs[rank[hot]], minlength=n) + np.log10(model.ends + 0.1)
-            known = np.bincount(owner[hot], minlength=n) + bool(model.ends)
-            cold = np.zeros(n + 1, np.int64)
-            np.cumsum(np.bincount(owner[~hot], minlength=n), out=cold[1:])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(np.diff(f)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(gain), textops.list_array(cold, words[~hot])],
-                ["id", "n_tokens", "known", "base", "gain", "cold"],
-            )
+        total = np.zeros(STATES)
+        for batch in batches:
+            total += shared.value.noise_mass(batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], SUMS)
+
+    return np.array([x or 0.0 for x in rest.select("h", "c").mapInArrow(run, ", ".join(f"{g} double" for g in SUMS)).agg(*(F.sum(g) for g in SUMS)).first()])
+
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, known bigint, base double, gain double, cold array<bigint>")
-    rows = checkpoint(rows).withColumn("row", F.monotonically_increasing_id())
-    rest = rows.select("row", F.explode("cold").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k")).join(counts, "h", "left")
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("sum"))
-    base = F.col("base") + F.coalesce("sum", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.norm))
-    return rows.drop("cold").join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score")
-    )
+def _scored(model: Model, ids: pa.Array, first: np.ndarray, codes: np.ndarray, ratio: np.ndarray, c: np.ndarray, h: np.ndarray) -> pa.Table:
+    count = np.concatenate([[model.ends, 0], model.counts, c])
+    owner, n = np.repeat(np.arange(len(ids)), np.diff(first)), len(ids)
+    base = np.bincount(owner, weights=np.log10((count + 0.1) / model.norm)[codes], minlength=n)
+    known = np.bincount(owner, weights=(count > 0)[codes], minlength=n).astype(np.int64)
+    score = base + forward(first, codes, model, ratio) / _LN10
+    return pa.table([ids, pa.array(np.diff(first)), pa.array(known), pa.array(np.full(n, model.total, np.int64)), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id_col, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows, cold = _encoded(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), model, counts)
+    sums = model.rest.select("h", *SUMS)
+    schema = f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return _on_pieces(rows, cold, sums, model, _scored, schema).withColumnRenamed("id", id_col)

@@ -230,6 +230,19 @@ def test_hmm(spark, monkeypatch):
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["base_score"]) == (3, 0, 0, 0.0) and abs(got["score"]) < 1e-9
 
 
+def test_hmm_does_not_depend_on_the_hot_words(spark, monkeypatch):
+    rng = random.Random(3)
+    two = [[f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(rng.choice(two), k=30))) for k in range(80)] + [(90, "never seen a1"), (91, None)], DOCS)
+    found = []
+    for hot in (1000, 10, 0):
+        monkeypatch.setattr(hmm_score, "HOT", hot)
+        model, counts = hmm_score.train(docs.where("doc_id < 80"))
+        found.append([tuple(r) for r in hmm_score.score(docs, model, counts).orderBy("doc_id").collect()])
+        assert np.allclose(model.emit.sum(axis=1), 1)
+    assert all(np.allclose(np.array(x, float), np.array(found[0], float), rtol=1e-9) for x in found[1:])
+
+
 def test_expected_counts_add_up():
     model = hmm_score.Model(np.arange(10, dtype=np.uint64) * np.uint64(77), np.arange(20, 10, -1), 200, 11, 5)
     classes = np.random.default_rng(2).integers(0, 12, 1300).astype(np.int32)
