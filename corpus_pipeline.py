@@ -7,8 +7,8 @@ it again for the next.
 
 Defined cases: documents of one id and different texts are documents of their
 own; repeated rows are copies, of which one stays; documents without an id are
-deduplicated by equal texts only; texts that are null or have no letter have no
-language and go in the first stage.
+compared like all others; texts that are null or have no letter have no language
+and go in the first stage.
 """
 
 from __future__ import annotations
@@ -32,11 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8, the one of the smallest doc_id stays."""
-    found = ngram_join.components(docs.select("doc_id", "text"), n=5, percent=80)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """Of each group of documents linked by five-word shingles at 0.8, the one of the smallest doc_id stays; those without an id come last."""
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))  # one for repeated rows
+    found = ngram_join.components(rows.select("_row", "text"), id_col="_row", n=5, percent=80).select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    keep = found.join(rows.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(first).select("first._row")
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,5 +44,16 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs.limit(0), folder).count() == 0
 
 
+def test_near_copies_of_null_and_repeated_ids(spark, folder):
+    rng = random.Random(5)
+    make = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    near = lambda text: text.rsplit(" ", 1)[0] + " changed"
+    a, b, c, d = (make() for _ in range(4))
+    rows = [(1, a), (None, near(a)), (None, b), (None, near(b)), (7, c), (8, near(c)), (8, d), (8, d), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()]
+    assert len(got) == 6 and {(1, a), (7, c), (8, d), (9, None), (None, "")} < set(got) and {b, near(b)} & {t for _, t in got}
+
+
 def test_names():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
