@@ -123,5 +123,5 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, id_col: str = "vec_id", v
         some = rows.mapInArrow(run, "query_id bigint, id bigint, score bigint")
         found = some if found is None else found.union(some)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -28,6 +28,12 @@ def test_pivot_search(spark, monkeypatch):
     assert pivot_search.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_pivot_search_keeps_other_vectors_of_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (5, [0.5, 0.25]), (5, [0.5, 0.75]), (5, [0.5, 0.75]), (6, [0.25, 0.0])]
+    found = pivot_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("id") == 0, k=3)
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in found.orderBy("rank").collect()] == [(1, 5, 128 * 256), (2, 5, 128 * 256), (3, 6, 64 * 256)]
+
+
 @pytest.mark.parametrize("size", [1, 2, 5, 64, 1000])
 def test_feistel_is_a_permutation(size):
     assert sorted(training_order.feistel(np.arange(size), size, 42).tolist()) == list(range(size))
