@@ -7,7 +7,9 @@ fingerprints: a distance of at most ``RADIUS`` means that some block differs in
 at most RADIUS // BLOCKS bits, so probing each block within that many bits finds
 every fingerprint within the radius.  Candidates are verified by exact weighted
 similarity: the sum of the smaller over the sum of the larger weights, with
-multiplicities.  A shingle weighs 1 + log(items / items that have it); one that
+multiplicities.  Items beyond the radius are found by the shingles that they
+share with a window: all whose shared weight can reach the threshold are verified
+too, so none is missed.  A shingle weighs 1 + log(items / items that have it); one that
 no item has weighs 1 + log(items).
 
 A window's similarity to any item is at most the weight of its shingles that
@@ -58,11 +60,12 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 
 
 class _Size:
-    """The items of one number of words: their fingerprints, by blocks."""
+    """The items of one number of words: their fingerprints, by blocks, and the items of each known shingle."""
 
     def __init__(self, members: list[int], prints: np.ndarray) -> None:
         self.members = np.array(members)
         self.prints = prints
+        self.shingles, self.first, self.owners, self.mass = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(members))
         width = 64 // BLOCKS
         values = np.arange(1 << width, dtype=np.uint64)
         near = []
@@ -81,6 +84,22 @@ class _Size:
         ok = np.bitwise_count(prints[w] ^ self.prints[m]) <= RADIUS
         return w[ok], self.members[m[ok]]
 
+    def post(self, bags: list[Counter], mass: list[float]) -> None:
+        keys = np.array([h for bag in bags for h in bag], dtype=np.uint64)
+        owners = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+        order = np.argsort(keys, kind="stable")
+        self.shingles, first = np.unique(keys[order], return_index=True)
+        self.first, self.owners, self.mass = np.append(first, len(keys)), owners[order], np.array(mass)
+
+    def sharing(self, window: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
+        """Members whose similarity to the window can reach the threshold by the weight of the window's shingles that they have."""
+        at = np.minimum(np.searchsorted(self.shingles, window), len(self.shingles) - 1)
+        ok = self.shingles[at] == window
+        at, size = at[ok], self.first[at[ok] + 1] - self.first[at[ok]]
+        flat = np.arange(int(size.sum())) + np.repeat(self.first[at] - np.cumsum(size) + size, size)
+        both = np.bincount(self.owners[flat], weights=np.repeat(weight[ok], size), minlength=len(self.members))
+        return self.members[both >= (threshold - 1e-8) * (weight.sum() + self.mass - both)]
+
 
 def _item_shingles(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(position, words, shingles) of the items that have words."""
@@ -114,6 +133,8 @@ class Index:
         self.sieve[(self.known & np.uint64(SIEVE - 1)).astype(np.int64)] = True
         self.mass = [sum(w * c for w, c in zip(self._weigh(np.array(list(bag), dtype=np.uint64))[0].tolist(), bag.values(), strict=True)) for bag in self.bags]
         self.sizes = {m: _Size(members, self._prints(members)) for m, members in by_size.items()}
+        for size in self.sizes.values():
+            size.post([self.bags[k] for k in size.members], [self.mass[k] for k in size.members])
 
     def _prints(self, members: list[int]) -> np.ndarray:
         out = []
@@ -183,7 +204,10 @@ class Index:
                 if sums is None:
                     sums = np.zeros((hi - lo + 1, 64))
                     np.cumsum(_bits(s[lo:hi]) * w[:, None], axis=0, out=sums[1:])
-                for x, item in zip(*self.sizes[m].candidates(_pack(sums[starts + span] - sums[starts])), strict=True):
+                pairs = set(zip(*(x.tolist() for x in self.sizes[m].candidates(_pack(sums[starts + span] - sums[starts]))), strict=True))
+                for x, at in enumerate(starts.tolist()):
+                    pairs.update((x, item) for item in self.sizes[m].sharing(s[lo + at : lo + at + span], w[at : at + span], self.threshold).tolist())
+                for x, item in sorted(pairs):
                     start = lo + int(starts[x])
                     sim = self.similarity(s[start : start + span], int(item))
                     key = (d, self.ids[item])

@@ -131,6 +131,24 @@ def test_decontamination(spark):
     assert none.where(F.size("leaks") > 0).count() == 0 and none.count() == len(docs)
 
 
+def test_decontamination_of_items_with_boilerplate(spark, monkeypatch):
+    common = [f"c{k}" for k in range(60)]
+    items = [(k, " ".join([*common, *(f"i{k}x{j}" for j in range(6))])) for k in range(12)]
+    docs = []
+    for k in range(24):
+        words = items[k % 12][1].split()
+        words[-1 - k % 3] = "changed"
+        docs.append((k, " ".join(["before", *words, "after"])))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_leaks(docs, items)
+    for radius in (decontaminate.RADIUS, 0):  # candidates do not depend on the fingerprints
+        monkeypatch.setattr(decontaminate, "RADIUS", radius)
+        index = decontaminate.Index(items, 5, 0.8)
+        got = {(d, x["item_id"]): round(x["similarity"], 6) for (d, _), found in zip(docs, index.leaks(pa.array([t for _, t in docs])), strict=True) for x in found}
+        assert got == want and want
+    assert decontaminate.flag(spark.createDataFrame(docs, DOCS), bench).where(F.size("leaks") > 0).count() == len({d for d, _ in want})
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(200)]
