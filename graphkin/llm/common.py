@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,13 +38,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, "step")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._step = path  # for tidy()
+    return out
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """The URI of a new folder below the shared one."""
     root = shared_root(spark)
-    return f"{root if '://' in root else 'file://' + root}/{name}-{uuid.uuid4().hex}"
+    return new_path(f"{root if '://' in root else 'file://' + root}", name)
+
+
+def new_path(folder: str, name: str = "part") -> str:
+    """A URI of its own in the folder; for tasks too."""
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def tidy(spark: SparkSession, *done: DataFrame | str | None) -> None:
+    """Delete checkpointed tables and folders that no later step reads.
+
+    The driver's collectors run as well: Spark's cleaner deletes the shuffle
+    files of finished steps only once their plans are collected, which a driver
+    with little to do may put off until the disks are full.
+    """
+    for one in done:
+        uri = one if isinstance(one, str) else getattr(one, "_step", None)
+        if uri:
+            path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def store(uri: str):

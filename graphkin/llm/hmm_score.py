@@ -5,12 +5,22 @@ word included.  The model multiplies it with the word's emission ratio in the
 current state: p(w | s) = q(w) * P(w | s) / q(w) for every word of the training
 texts and their end; unseen words keep q(w) in every state.
 
-Training is Baum-Welch: tasks add their expected counts over stretches of at
-most ``STRETCH`` tokens of all training texts.  Counts of the corpus and expected
-counts by (word, state) stay in distributed tables.  The ``HOT`` most frequent
-words' are sent to tasks; those of a piece's other words come by a join on the
-word.  The model does not depend on ``HOT``.  The likelihood of a text is exact,
-by the scaled forward recursion over the whole of it.
+Training is Baum-Welch over the whole of every training text.  Texts are encoded
+once, in chunks of at most ``CHUNK`` bytes (or one text) with a dictionary of
+their own, and stay in the shared folder.  The words of all chunks are dealt to
+buckets by ranges of their hashes.  In each round a chunk's task gets the factors
+of its words from the buckets, runs the forward-backward algorithm and sends its
+expected counts back; a bucket's task adds them up over the chunks.  So counts of
+the corpus and expected counts by (word, state) are distributed tables that grow
+with the corpus; the driver only holds the start, the steps and four totals.
+
+Long texts: a text is cut into stretches of ``STRETCH`` tokens.  The product of
+a stretch's step matrices carries the forward vector from its one end to the
+other and the backward vector back, so all stretches are worked on at once and
+the recursions are those of the whole text.
+
+Numbers by word and state are exchanged and kept in single precision; sums and
+recursions are in double precision.
 
 Defined cases: a null or empty text is the end token alone; without training
 texts every token has the unigram probability 1 of the formula; repeated rows
@@ -24,340 +34,515 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import checkpoint, most_frequent
+from .common import checkpoint, new_path, put, shared_dir, store, tidy
 
-HOT = 1 << 17  # words that tasks hold; the others come by a join, with the same result
-OWN = 8192  # without effect since every word has its own emissions; test_hmm sets it
 STATES = 6
 ROUNDS = 4
-STRETCH = 512
+STRETCH = 512  # tokens whose recursions are one sequence of NumPy steps
 SHRINK = 500.0  # pseudo-counts of the base distribution
-PIECE = 4 << 20
-END, RARE = 0, 1  # classes of the end and of unseen words; each word of the training texts has one of its own
-SUMS = [f"g{s}" for s in range(STATES)]
-_BUCKETS = 1 << 20
+CHUNK = 48 << 20  # bytes of text that share a dictionary
+PIECE = 1 << 20  # bytes of text that are worked on at a time
+PAIRS = 400_000  # words of chunks that a bucket gets
+END, RARE = 0, 1  # classes of the end and of unseen words in a whole vocabulary; words follow
 _LN10 = np.log(10.0)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        ends, at = np.cumsum(np.diff(textops.utf8(batch.column("text"))[0])), 0
-        while at < batch.num_rows:
-            done = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
-            part = batch.slice(at, to - at)
-            yield part, *textops.words(part.column("text"))
-            at = to
-
-
-class Lookup:
-    """A hash table from word hashes to their rank among the hot words, or -1."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.order = np.argsort(keys & np.uint64(_BUCKETS - 1), kind="stable")
-        self.keys = keys[self.order]
-        slot = (self.keys & np.uint64(_BUCKETS - 1)).astype(np.int64)
-        self.start = np.searchsorted(slot, np.arange(_BUCKETS + 1)).astype(np.int32)
-        self.depth = int(np.diff(self.start).max(initial=0))
-
-    def __call__(self, words: np.ndarray) -> np.ndarray:
-        out = np.full(len(words), -1, np.int32)
-        if not len(self.keys):
-            return out
-        at = self.start[(words & np.uint64(_BUCKETS - 1)).astype(np.int64)]
-        for k in range(self.depth):
-            i = np.minimum(at + k, len(self.keys) - 1)
-            ok = self.keys[i] == words
-            out[ok] = self.order[i[ok]]
-        return out
+def noise(words: np.ndarray) -> np.ndarray:
+    """[words, states]: the factors, in [0.5, 1.5), by which states differ at the start; they only depend on the word."""
+    salt = np.arange(1, STATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return 0.5 + (textops.mix(words[:, None] ^ salt[None, :]) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+_END_NOISE = noise(np.array([END], np.uint64))[0]
 
 
 class Model:
-    """Hot words by descending count, the totals and the HMM's parameters.
+    """Totals of the training texts and the parameters of the HMM.
 
-    Tasks hold the hot words only and get the others of their texts by a join.
-    On the driver ``rest`` is the table of the others (h, c, g0 ..), from which
-    ``encode``, ``ratios`` and ``emit`` load all words: for small vocabularies.
+    ``table`` has a row for each bucket: h, c and x, the words, their counts and
+    their expected counts by state over their unigram mass.  ``ratios``, ``emit``
+    and ``encode`` load all words on the driver: for small vocabularies.
     """
 
-    def __init__(self, hot: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int) -> None:
-        self.lookup, self.hot, self.counts, self.total, self.distinct, self.ends = Lookup(hot), hot, counts, total, distinct, ends
+    def __init__(self, total: int, distinct: int, ends: int, buckets: int = 1) -> None:
+        self.total, self.distinct, self.ends, self.buckets = total, distinct, ends, buckets
         self.norm = total + 0.1 * (distinct + 1)
-        self.mass = np.concatenate([[(ends + 0.1) / self.norm if ends else 0.0, 0.1 / self.norm], (counts + 0.1) / self.norm])
+        self.unseen = 0.1 / self.norm
+        self.end_mass = (ends + 0.1) / self.norm if ends else self.unseen
         self.start = np.full(STATES, 1 / STATES)
         self.step = np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1))
-        self.sums, self.tokens = np.zeros((len(self.mass), STATES)), None
-        self.first = self.noise_mass(hot, counts) + self.mass[END] * noise(np.array([END], np.uint64))[0]
-        self.rest, self._all = None, None
+        self.first, self.tokens, self.end = np.ones(STATES), None, np.zeros(STATES)
+        self.table, self._all = None, None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rest": None, "_all": None}
+        return self.__dict__ | {"table": None, "_all": None}
 
-    def noise_mass(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The unigram mass of words times their factors at the start, by state."""
-        return ((counts + 0.1) / self.norm) @ noise(words)
+    def begin(self, mass: np.ndarray) -> None:
+        """mass: of all words, the unigram mass times the noise, by state."""
+        self.first = mass + (self.end_mass * _END_NOISE if self.ends else 0.0)
 
-    def update(self, start: np.ndarray, step: np.ndarray, sums: np.ndarray, tokens: np.ndarray) -> None:
-        """The parameters of expected counts: sums [classes, states] of the hot words, tokens [states] of all words."""
-        self.sums, self.tokens = sums, tokens
+    def update(self, start: np.ndarray, step: np.ndarray, tokens: np.ndarray, end: np.ndarray) -> None:
+        """The parameters of expected counts: tokens and end by state, of all tokens and of the end."""
+        self.tokens, self.end = tokens, end
         self.start = (start + 1) / (start + 1).sum()
         self.step = (step + 1) / (step + 1).sum(axis=1, keepdims=True)
 
-    def ratios_of(self, words: np.ndarray, mass: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """[words, states]: P(word | state) / q(word) of words of the training texts; the unseen word keeps its mass in every state."""
-        known = 1 - self.mass[RARE]
-        if self.tokens is None:
-            return noise(words) * known / np.maximum(self.first, 1e-300)
-        return (sums / mass[:, None] + SHRINK) * known / (self.tokens + SHRINK * known)
-
-    def held(self) -> np.ndarray:
-        """[classes, states] of the hot words; 1 where a class has no mass."""
-        out = np.ones((len(self.mass), STATES))
-        use = np.r_[END, np.arange(2, len(self.mass))] if self.ends else np.arange(2, len(self.mass))
-        out[use] = self.ratios_of(np.concatenate([np.array([END, RARE], np.uint64), self.hot])[use], self.mass[use], self.sums[use])
+    def factors(self, words: np.ndarray, x: np.ndarray | None, seen: np.ndarray | None = None) -> np.ndarray:
+        """[end and words, states]: P(word | state) / q(word).  x: expected counts over unigram mass (None: before the first round); unseen words have 1."""
+        known = 1 - self.unseen
+        every = np.r_[END, words].astype(np.uint64)
+        if self.tokens is None or x is None:
+            out = noise(every) * known / np.maximum(self.first, 1e-300)
+        else:
+            out = (np.concatenate([self.end[None, :] / self.end_mass, x]) + SHRINK) * known / (self.tokens + SHRINK * known)
+        if seen is not None:
+            out[1:][~seen] = 1.0
+        if not self.ends:
+            out[0] = 1.0
         return out
 
-    def whole(self) -> Model:
-        """All words in one model."""
-        if self.rest is None:
-            return self
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words in ascending order, counts, ratios [end, unseen and words, states])."""
         if self._all is None:
-            h, c, g = _columns(self.rest.toArrow())
-            every = Model(np.concatenate([self.hot, h]), np.concatenate([self.counts, c]), self.total, self.distinct, self.ends)
-            every.start, every.step, every.first, every.tokens, every.sums = self.start, self.step, self.first, self.tokens, np.concatenate([self.sums, g])
-            self._all = every
+            h, c, x = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, STATES))]
+            for r in self.table.orderBy("bucket").collect() if self.table is not None else []:
+                h.append(np.frombuffer(r["h"], np.uint64))
+                c.append(np.frombuffer(r["c"], np.int64))
+                x.append(_by_state(r["x"]))
+            h, c, x = (np.concatenate(y) for y in (h, c, x))
+            f = self.factors(h, x)
+            self._all = h, c, np.concatenate([f[:1], np.ones((1, STATES)), f[1:]])
         return self._all
 
     def ratios(self) -> np.ndarray:
         """[classes, states]: P(class | state) / Q(class)."""
-        return self.whole().held()
+        return self.whole()[2]
 
     @property
     def emit(self) -> np.ndarray:
         """[states, classes]."""
-        return (self.ratios() * self.whole().mass[:, None]).T
+        mass = np.concatenate([[self.end_mass if self.ends else 0.0, self.unseen], (self.whole()[1] + 0.1) / self.norm])
+        return (self.ratios() * mass[:, None]).T
 
-    def encode(self, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first, classes with an end for each text, rank of each word or -1)."""
-        rank = self.whole().lookup(words)
-        out_first = first + np.arange(len(first))
-        out = np.full(int(out_first[-1]), END, np.int32)
-        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        out[np.arange(len(words)) + owner] = np.where(rank >= 0, rank + 2, RARE)
-        return out_first, out if self.ends else np.where(out == END, RARE, out), rank
+    def encode(self, first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, classes with an end for each text)."""
+        h = self.whole()[0]
+        at = np.minimum(np.searchsorted(h, words), max(0, len(h) - 1))
+        known = h[at] == words if len(h) else np.zeros(len(words), bool)
+        return _ended(first, np.where(known, at + 2, RARE).astype(np.int32))
 
 
-def noise(words: np.ndarray) -> np.ndarray:
-    """[words, states]: the factors, in [0.5, 1.5), by which states differ at the start; they only depend on the word."""
-    salt = np.arange(1, STATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return 0.5 + (textops.mix(words[:, None] ^ salt[None, :]) >> np.uint64(11)).astype(float) / (1 << 53)
+def _by_state(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.float32).reshape(-1, STATES).astype(float)
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words in ascending order, counts, expected counts [words, states]) of a table (h, c, g0 ..); missing numbers are 0."""
-    numpy = lambda name, kind: table[name].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
-    h = numpy("h", np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], numpy("c", np.int64)[order], np.stack([numpy(g, float) for g in SUMS], axis=1)[order]
+def _ended(first: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, codes) with an end after each text."""
+    out_first = first + np.arange(len(first))
+    out = np.full(int(out_first[-1]), END, np.int32)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out[np.arange(len(codes)) + owner] = codes
+    return out_first, out
 
 
-def _by_time(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sequences by descending length, number of sequences longer than t)."""
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    live = len(size) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), side="right")
-    return order, live
+class Stretches:
+    """Texts cut into stretches, and the forward and backward vectors at the cuts.
 
+    ``enter`` holds the state probabilities before the first token of each
+    stretch, ``leave`` the normalised forward vector behind its last.
+    """
 
-def forward(first: np.ndarray, classes: np.ndarray, model: Model, ratio: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the likelihood of each sequence over the base model's."""
-    out = np.zeros(len(first) - 1)
-    order, live = _by_time(first)
-    at = first[:-1][order]
-    log = np.zeros(len(order))
-    alpha = np.tile(model.start, (len(order), 1))
-    for t, n in enumerate(live):
-        a = (alpha[:n] if t == 0 else alpha[:n] @ model.step) * ratio[classes[at[:n] + t]]
+    def __init__(self, first: np.ndarray, codes: np.ndarray, model: Model, ratio: np.ndarray) -> None:
+        size = np.diff(first)
+        self.model, self.ratio, self.codes = model, ratio, codes
+        self.parts = -(-size // STRETCH)  # of each text; none without tokens
+        self.text = np.repeat(np.arange(len(size)), self.parts)
+        self.at = np.cumsum(self.parts) - self.parts  # first stretch of each text
+        place = np.arange(len(self.text)) - self.at[self.text]
+        self.begin = first[:-1][self.text] + place * STRETCH
+        self.size = np.minimum(size[self.text] - place * STRETCH, STRETCH)
+        self.order = np.argsort(-self.size, kind="stable")
+        short = np.sort(self.size)
+        self.live = len(short) - np.searchsorted(short, np.arange(short.max(initial=0)), side="right")
+        self.enter = np.tile(model.start, (len(self.text), 1))
+        self.long = np.flatnonzero(self.parts > 1)
+        self.inner = np.flatnonzero(self.parts[self.text] > 1)
+        self.products = self._products() if len(self.inner) else None
+        self._along()
+
+    def _products(self) -> np.ndarray:
+        """[stretches of long texts, states, states]: from the state before a stretch's first token to behind its last, up to a factor."""
+        inner = self.inner[np.argsort(-self.size[self.inner], kind="stable")]
+        short = np.sort(self.size[inner])
+        live = len(short) - np.searchsorted(short, np.arange(short.max(initial=0)), side="right")
+        m = np.zeros((len(inner), STATES, STATES))
+        for t, n in enumerate(live):
+            r = self.ratio[self.codes[self.begin[inner[:n]] + t]]
+            if t == 0:
+                m[:n] = np.eye(STATES) * r[:, None, :]
+                continue
+            x = (m[:n].reshape(-1, STATES) @ self.model.step).reshape(n, STATES, STATES)
+            x *= r[:, None, :]
+            if t % 16 == 15 or t + 1 == len(live) or live[t + 1] < n:
+                x /= x.max(axis=(1, 2), keepdims=True)
+            m[:n] = x
+        out = np.zeros((len(self.text), STATES, STATES))
+        out[inner] = m
+        return out
+
+    def _along(self) -> None:
+        step, texts, k = self.model.step, self.long, 0
+        while len(texts):  # a step for each stretch of the longest text
+            now = self.at[texts] + k
+            ahead = texts[self.parts[texts] > k + 1]
+            now = self.at[ahead] + k
+            v = np.einsum("ni,nij->nj", self.enter[now], self.products[now])
+            self.enter[now + 1] = (v / v.sum(axis=1, keepdims=True)) @ step
+            texts, k = ahead, k + 1
+
+    def behind(self) -> np.ndarray:
+        """[stretches, states]: the backward vector behind the last token of each stretch, up to a factor."""
+        out = np.ones((len(self.text), STATES))
+        if len(self.long):
+            for k in range(int(self.parts.max()) - 1, 0, -1):
+                now = self.at[self.long[self.parts[self.long] > k]] + k
+                v = np.einsum("nij,nj->ni", self.products[now], out[now]) @ self.model.step.T
+                out[now - 1] = v / v.sum(axis=1, keepdims=True)
+        return out
+
+
+def forward(first: np.ndarray, codes: np.ndarray, model: Model, ratio: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the likelihood of each text over the base model's."""
+    s = Stretches(first, codes, model, ratio)
+    at, log = s.begin[s.order], np.zeros(len(s.order))
+    alpha = s.enter[s.order]
+    for t, n in enumerate(s.live):
+        a = (alpha[:n] if t == 0 else alpha[:n] @ model.step) * ratio[codes[at[:n] + t]]
         scale = a.sum(axis=1)
         alpha = a / scale[:, None]
         log[:n] += np.log(scale)
-    out[order] = log
-    return out
-
-
-def expectations(first: np.ndarray, classes: np.ndarray, model: Model, ratio: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, step, emit [states, classes]) by the forward-backward algorithm."""
-    ratio = model.ratios() if ratio is None else ratio
-    cut = [np.arange(a, b, STRETCH) for a, b in zip(first[:-1], first[1:], strict=True)]
-    first = np.append(np.concatenate(cut), first[-1]) if cut else first
-    order, live = _by_time(first)
-    at = first[:-1][order]
-    total = int(first[-1])
+    return np.bincount(s.text[s.order], weights=log, minlength=len(first) - 1)
+
+
+def expectations(first: np.ndarray, codes: np.ndarray, model: Model, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts (start, step, emit [classes, states]) of whole texts by the forward-backward algorithm."""
+    s = Stretches(first, codes, model, ratio)
+    at, total = s.begin[s.order], len(codes)
     gamma = np.zeros((total, STATES))
     alphas, scales = [], []
-    for t, n in enumerate(live):
-        a = (np.tile(model.start, (n, 1)) if t == 0 else alphas[-1][:n] @ model.step) * ratio[classes[at[:n] + t]]
+    for t, n in enumerate(s.live):
+        a = (s.enter[s.order] if t == 0 else alphas[-1][:n] @ model.step) * ratio[codes[at[:n] + t]]
         scales.append(a.sum(axis=1, keepdims=True))
-        alphas.append(a / scales[-1])
-    step = np.zeros((STATES, STATES))
-    beta = np.zeros((0, STATES))
-    for t in range(len(live) - 1, -1, -1):
-        n = live[t]
-        full = np.ones((n, STATES))
-        if t + 1 < len(live):
-            m = live[t + 1]
-            ahead = ratio[classes[at[:m] + t + 1]] * beta / scales[t + 1]
-            step += alphas[t][:m].T @ ahead
+        a /= scales[-1]
+        alphas.append(a)
+    end, into = s.behind()[s.order], np.zeros((len(s.order), STATES))
+    step, beta = np.zeros((STATES, STATES)), np.zeros((0, STATES))
+    last = np.zeros((len(s.order), STATES))
+    for t in range(len(s.live) - 1, -1, -1):
+        n, a = s.live[t], alphas[t]
+        m = s.live[t + 1] if t + 1 < len(s.live) else 0
+        full = np.empty((n, STATES))
+        if m:
+            ahead = ratio[codes[at[:m] + t + 1]] * beta / scales[t + 1]
+            step += a[:m].T @ ahead
             full[:m] = ahead @ model.step.T
+        if n > m:  # these end here
+            last[m:n] = a[m:n]
+            full[m:n] = end[m:n] / (a[m:n] * end[m:n]).sum(axis=1, keepdims=True)
         beta = full
-        g = alphas[t] * beta
-        gamma[at[:n] + t] = g / g.sum(axis=1, keepdims=True)
-    emit = np.stack([np.bincount(classes, weights=gamma[:, s], minlength=len(ratio)) for s in range(STATES)])
-    return gamma[first[:-1]].sum(axis=0) if len(first) > 1 else np.zeros(STATES), step * model.step, emit
-
-
-def count_words(docs: DataFrame) -> DataFrame:
-    """h, c: the corpus' word counts, distributed; each task sums its own before the shuffle."""
+        gamma[at[:n] + t] = a * beta
+        if t == 0:
+            into = ratio[codes[at]] * beta / scales[0]
+        alphas[t] = None
+    # the steps from one stretch of a text to the next
+    where = np.empty(len(s.order), np.int64)
+    where[s.order] = np.arange(len(s.order))
+    later = np.flatnonzero(np.arange(len(s.text)) > s.at[s.text])
+    step += last[where[later - 1]].T @ into[where[later]]
+    emit = np.stack([np.bincount(codes, weights=gamma[:, k], minlength=len(ratio)) for k in range(STATES)], axis=1)
+    return gamma[first[:-1][np.diff(first) > 0]].sum(axis=0), step * model.step, emit
+
+
+def _encoded(docs: DataFrame, folder: str) -> DataFrame:
+    """docs(id, text) written as chunks; rows (path, texts, tokens, words): a file of codes by text and one of the words, ascending, at each path."""
+    chunk, piece = CHUNK, PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], np.concatenate([c for _, c in held])[order]
-            at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-            total = np.add.reduceat(counts, at) if len(at) else counts
-            return pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(total.astype(np.int64))], ["h", "c"])
-
-        for _, _, words in _pieces(batches):
-            held.append(np.unique(words, return_counts=True))
-            size += len(held[-1][0])
-            if size > 4_000_000:
-                yield flush()
-                held, size = [], 0
+            words = np.unique(np.concatenate([own for _, _, own, _ in held]))
+            path = new_path(folder)
+            kind = pa.schema([("id", held[0][0].type), ("codes", pa.list_(pa.int32()))])
+            sink, tokens = pa.BufferOutputStream(), 0
+            with pa.ipc.new_stream(sink, kind, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for ids, first, own, at in held:
+                    f, codes = _ended(first, (np.searchsorted(words, own).astype(np.int32) + 1)[at])
+                    tokens += len(codes)
+                    out.write_batch(pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(f.astype(np.int32)), pa.array(codes))], schema=kind))
+            put(f"{path}.codes", [sink.getvalue()])
+            put(f"{path}.words", [words.tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([sum(len(x[0]) for x in held)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([len(words)], pa.int64())], ["path", "texts", "tokens", "words"])
+
+        for batch in batches:
+            ends, at = np.cumsum(np.diff(textops.utf8(batch.column("text"))[0])), 0
+            while at < batch.num_rows:
+                done = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + piece, side="right")))
+                part = batch.slice(at, to - at)
+                if held and size + int(ends[to - 1]) - done > chunk:
+                    yield flush()
+                    held, size = [], 0
+                first, words = textops.words(part.column("text"))
+                own, code = np.unique(words, return_inverse=True)
+                held.append((pa.concat_arrays([part.column("id")]), first, own, code.astype(np.int32)))
+                size += int(ends[to - 1]) - done
+                at = to
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return checkpoint(docs.select("id", "text").mapInArrow(run, "path string, texts bigint, tokens bigint, words bigint"))
 
 
-def _encoded(docs: DataFrame, model: Model, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pieces of docs(id, text): (chunk, ids, first, codes), and the words of each that are not hot (chunk, h, c); their codes follow those of the hot ones in the order of h."""
-    kind = docs.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _read(path: str) -> np.ndarray:
+    fs, where = store(path)
+    with fs.open_input_stream(where, compression=None) as f:
+        return np.frombuffer(f.read(), np.uint64)
+
+
+def _texts(path: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, first, codes) of a chunk, by pieces; 0 is the end, the chunk's words follow."""
+    fs, where = store(path)
+    with fs.open_input_stream(where, compression=None) as f, pa.ipc.open_stream(f) as batches:
+        for batch in batches:
+            codes = batch.column("codes")
+            yield batch.column("id"), codes.offsets.to_numpy().astype(np.int64), codes.values.to_numpy()
+
+
+def _cut(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Bounds of the buckets in ascending words: equal ranges of the hashes."""
+    edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+    return np.concatenate([[0], np.searchsorted(words, edges), [len(words)]]).astype(np.int64)
+
+
+def _parcels(path: str, bounds: np.ndarray, columns: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+    """Columns of path, bucket and the columns' parts, a row for each bucket that has words."""
+    full = np.flatnonzero(np.diff(bounds))
+    blobs = {k: pa.array([np.ascontiguousarray(x[bounds[b] : bounds[b + 1]]).tobytes() for b in full], pa.binary()) for k, x in columns.items()}
+    return {"path": pa.array([path] * len(full), pa.string()), "bucket": pa.array(full, pa.int64()), **blobs}
+
+
+def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
+    """path, bucket, h: the words of the chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base = shared.value, TaskContext.get().partitionId() << 32
-        for k, (part, first, words) in enumerate(_pieces(batches)):
-            f, codes, rank = model.encode(first, words)
-            cold, at = np.unique(words[rank < 0], return_inverse=True)
-            owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            codes[(np.arange(len(words)) + owner)[rank < 0]] = len(model.mass) + at
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([base + k]),
-                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id")),
-                    pa.array([f.astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([codes.astype(np.int32).tobytes()], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(cold)], pa.int32()), pa.array(cold.view(np.int64))),
-                ],
-                ["chunk", "ids", "first", "codes", "cold"],
-            )
-
-    rows = checkpoint(docs.select("id", "text").mapInArrow(run, f"chunk bigint, ids array<{kind}>, first binary, codes binary, cold array<bigint>"))
-    cold = checkpoint(rows.select("chunk", F.explode("cold").alias("h")).join(counts, "h", "left").select("chunk", "h", "c"))
-    return rows.drop("cold"), cold
-
-
-def _on_pieces(rows: DataFrame, cold: DataFrame, sums: DataFrame | None, model: Model, work, schema: str) -> DataFrame:
-    """work(model, ids, first, codes, ratios, counts of the words that are not hot, those words) on every piece."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    if sums is None:
-        cold = cold.select("*", *(F.lit(0.0).alias(g) for g in SUMS))
-    else:
-        cold = cold.join(sums, "h", "left")
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                words = _read(f"{path}.words")
+                yield pa.RecordBatch.from_pydict(_parcels(path, _cut(words, buckets), {"h": words}))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = shared.value
-        h, c, g = _columns(right)
-        ratio = np.ones((len(h), STATES))
-        seen = c > 0
-        ratio[seen] = model.ratios_of(h[seen], (c[seen] + 0.1) / model.norm, g[seen])
-        first, codes = (np.frombuffer(left[x][0].as_buffer(), t) for x, t in (("first", np.int64), ("codes", np.int32)))
-        return work(model, left["ids"].combine_chunks().flatten(), first, codes, np.concatenate([model.held(), ratio]), c, h)
+    return _dealt(chunks).mapInArrow(run, "path string, bucket bigint, h binary")
 
-    return rows.groupBy("chunk").cogroup(cold.groupBy("chunk")).applyInArrow(run, schema)
 
+def _dealt(chunks: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Rows by path: each chunk stands for much work, however few bytes its rows have."""
+    parts = min(chunks.count(), int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return (chunks.select("path") if rows is None else rows).repartition(max(1, parts), "path")
 
-def _expected(model: Model, ids: pa.Array, first: np.ndarray, codes: np.ndarray, ratio: np.ndarray, c: np.ndarray, h: np.ndarray) -> pa.Table:
-    """kind, h, g0 ..: 0 a word's expected counts, 1 those of a hot word by its class, 2 the start, the step from each state, and all tokens."""
-    start, step, emit = expectations(first, codes, model, ratio)
-    emit, n = emit.T, len(model.mass)
-    used = np.flatnonzero(emit[:n].any(axis=1))
-    keys = np.concatenate([h.view(np.int64), used, np.arange(STATES + 2)])
-    kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(h), len(used), STATES + 2])
-    values = np.concatenate([emit[n:], emit[used], start[None, :], step, emit.sum(axis=0)[None, :]])
-    return pa.table([pa.array(kinds), pa.array(keys), *(pa.array(values[:, s].copy()) for s in range(STATES))], ["kind", "h", *SUMS])
 
+def _vocabulary(chunks: DataFrame, buckets: int, folder: str) -> DataFrame:
+    """bucket, h, c, mass, seen: the words of each bucket, ascending, and their counts over all chunks; the place of each chunk's words goes to a file of the bucket."""
 
-def train(docs: DataFrame, *, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of docs(text), and the table of word counts (h, c)."""
-    counts = checkpoint(count_words(docs))
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    ends = docs.count()
-    top = most_frequent(counts, "c", HOT)
-    hot = top.toPandas().sort_values(["c", "h"], ascending=[False, True])  # HOT rows at most
-    model = Model(hot["h"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64), int(totals["n"] or 0) + ends, int(totals["v"]) + bool(ends), ends)
-    least = int(hot["c"].min()) if len(hot) else None
-    rest = counts if least is None else counts.where(F.col("c") < least)  # hot words are all from some count on
-    model.first = model.first + _rest_noise(rest, model)
-    sums, schema = None, "kind int, h bigint, " + ", ".join(f"{g} double" for g in SUMS)
-    if ends:
-        rows, cold = _encoded(docs.select(F.lit(0).alias("id"), "text"), model, counts)
-    for _ in range(rounds if ends else 0):
-        found = _on_pieces(rows, cold, sums, model, _expected, schema)
-        found = checkpoint(found.groupBy("kind", "h").agg(*(F.sum(g).alias(g) for g in SUMS)))
-        own = found.where("kind > 0").toPandas()  # HOT rows and a few
-        held, few = own[own["kind"] == 1], own[own["kind"] == 2].sort_values("h")[SUMS].to_numpy()
-        dense = np.zeros((len(model.mass), STATES))
-        dense[held["h"].to_numpy()] = held[SUMS].to_numpy()
-        model.update(few[0], few[1:-1], dense, few[-1])
-        sums = found.where("kind = 0").select("h", *SUMS)
-    model.rest = rest.join(sums, "h", "left") if sums is not None else rest.select("*", *(F.lit(0.0).alias(g) for g in SUMS))
-    return model, counts
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                words = _read(f"{path}.words")
+                own = np.zeros(len(words) + 1, np.int64)
+                for _, _, codes in _texts(f"{path}.codes"):
+                    own += np.bincount(codes, minlength=len(own))
+                yield pa.RecordBatch.from_pydict(_parcels(path, _cut(words, buckets), {"h": words, "n": own[1:].astype(np.int32)}))
+
+    def add(table: pa.Table) -> pa.Table:
+        bucket, parts = table["bucket"][0].as_py(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table["h"]]
+        h, at = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table["n"]])
+        c = np.bincount(at, weights=n, minlength=len(h)).astype(np.int64)
+        ends = np.cumsum([len(p) for p in parts]).tolist()
+        index = pa.table({"path": table["path"], "at": pa.array([x.astype(np.int32).tobytes() for x in np.split(at, ends[:-1])], pa.binary())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, index.schema) as out:
+            out.write_table(index)
+        put(f"{folder}/bucket-{bucket}", [sink.getvalue()])
+        return pa.table({"bucket": table["bucket"][:1], "h": pa.array([h.tobytes()], pa.binary()), "c": pa.array([c.tobytes()], pa.binary()), "words": pa.array([len(h)], pa.int64()), "n": pa.array([int(c.sum())], pa.int64())})
+
+    rows = _dealt(chunks).mapInArrow(count, "path string, bucket bigint, h binary, n binary")
+    return checkpoint(rows.groupBy("bucket").applyInArrow(add, "bucket bigint, h binary, c binary, words bigint, n bigint"))
+
+
+def _places(folder: str, bucket: int) -> dict[str, np.ndarray]:
+    fs, where = store(f"{folder}/bucket-{bucket}")
+    with fs.open_input_stream(where, compression=None) as f, pa.ipc.open_stream(f) as batches:
+        return {p: np.frombuffer(a, np.int32) for b in batches for p, a in zip(b["path"].to_pylist(), b["at"].to_pylist(), strict=True)}
+
+
+def _round(chunks: DataFrame, words: DataFrame, table: DataFrame | None, model: Model, folder: str) -> DataFrame:
+    """The table after one more round: bucket, h, c, x and sums, the buckets' shares of start, step, tokens and end."""
+    buckets, whole = model.buckets, words.sparkSession.sparkContext.broadcast(model)
+
+    def worked(path: str, x: np.ndarray | None) -> dict[str, pa.Array]:
+        model, h = whole.value, _read(f"{path}.words")
+        ratio = model.factors(h, x)
+        emit, start, step = np.zeros((len(h) + 1, STATES)), np.zeros(STATES), np.zeros((STATES, STATES))
+        for _, first, codes in _texts(f"{path}.codes"):
+            a, b, c = expectations(first, codes, model, ratio)
+            start, step, emit = start + a, step + b, emit + c
+        out = _parcels(path, _cut(h, buckets), {"g": emit[1:].astype(np.float32)})
+        sums = np.concatenate([start[None, :], step, emit.sum(axis=0)[None, :], emit[:1]]).ravel().tolist()
+        mine = textops.fold(np.frombuffer(path.encode(), np.uint8).astype(np.uint64)) % buckets  # spread over the buckets
+        n = len(out["bucket"])
+        return {
+            "path": pa.concat_arrays([out["path"], pa.array([path])]),
+            "bucket": pa.concat_arrays([out["bucket"], pa.array([mine], pa.int64())]),
+            "g": pa.concat_arrays([out["g"], pa.array([None], pa.binary())]),
+            "sums": pa.array([None] * n + [sums], pa.list_(pa.float64())),
+        }
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield pa.RecordBatch.from_pydict(worked(path, None))
 
+    def again(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        return pa.table(worked(table["path"][0].as_py(), np.concatenate([_by_state(x.as_buffer()) for x in table["x"]])))
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, x in zip(batch.column("bucket").to_pylist(), batch.column("x"), strict=True):
+                each = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, STATES)
+                for path, at in _places(folder, bucket).items():
+                    yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "bucket": pa.array([bucket], pa.int64()), "x": pa.array([each[at].tobytes()], pa.binary())})
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, sums = whole.value, np.zeros((STATES + 3, STATES))
+        for row in left["sums"]:
+            if row.is_valid:
+                sums += np.array(row.as_py()).reshape(sums.shape)
+        bucket = (right if right.num_rows else left)["bucket"][:1]
+        h, c = (right[k][0].as_py() if right.num_rows else b"" for k in ("h", "c"))
+        mass = (np.frombuffer(c, np.int64) + 0.1) / model.norm
+        total = np.zeros((len(mass), STATES))
+        if right.num_rows:
+            places = _places(folder, bucket[0].as_py())
+            for path, g in zip(left["path"].to_pylist(), left["g"], strict=True):
+                if g.is_valid:  # a chunk has a word once
+                    total[places[path]] += np.frombuffer(g.as_buffer(), np.float32).reshape(-1, STATES)
+        x = (total / mass[:, None]).astype(np.float32)
+        return pa.table({"bucket": bucket, **{k: pa.array([v], pa.binary()) for k, v in (("h", h), ("c", c), ("x", x.tobytes()))}, "sums": pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))})
+
+    schema = "path string, bucket bigint, g binary, sums array<double>"
+    if table is None:
+        rows = _dealt(chunks).mapInArrow(fresh, schema)
+    else:
+        known = table.where("length(x) > 0").select("bucket", "x").mapInArrow(expand, "path string, bucket bigint, x binary")
+        # chunks without a word get nothing from the buckets
+        known = known.unionByName(chunks.where("words = 0").select("path", F.lit(-1).cast("long").alias("bucket"), F.lit(b"").alias("x")))
+        rows = _dealt(chunks, known).groupBy("path").applyInArrow(again, schema)
+    added = rows.groupBy("bucket").cogroup(words.select("bucket", "h", "c").groupBy("bucket")).applyInArrow(add, "bucket bigint, h binary, c binary, x binary, sums array<double>")
+    return checkpoint(added)
 
-def _rest_noise(rest: DataFrame, model: Model) -> np.ndarray:
-    shared = rest.sparkSession.sparkContext.broadcast(model)
+
+def train(docs: DataFrame, *, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model of docs(text), and its table of words by bucket (h and c: the words and their counts)."""
+    spark = docs.sparkSession
+    folder = shared_dir(spark, "hmm")
+    chunks = _encoded(docs.select(F.lit(0).alias("id"), "text"), folder)
+    size = chunks.agg(F.sum("texts").alias("texts"), F.sum("words").alias("words")).first()
+    ends = int(size["texts"] or 0)
+    buckets = max(1, -(-int(size["words"] or 0) // PAIRS))
+    words = _vocabulary(chunks, buckets, folder)
+    facts = words.agg(F.sum("n").alias("n"), F.sum("words").alias("v")).first()
+    model = Model(int(facts["n"] or 0) + ends, int(facts["v"] or 0) + bool(ends), ends, buckets)
+    model.begin(_noise_mass(words, model))
+    table = None
+    for _ in range(rounds if ends else 0):
+        old, table = table, _round(chunks, words, table, model, folder)
+        sums = np.zeros((STATES + 3) * STATES)
+        for r in table.select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():  # a few numbers
+            sums[r["k"]] = r["v"]
+        sums = sums.reshape(-1, STATES)
+        model.update(sums[0], sums[1:-2], sums[-2], sums[-1])
+        tidy(spark, old)
+    model.table = words.select("bucket", "h", "c", F.lit(None).cast("binary").alias("x")) if table is None else table.where("length(h) > 0").select("bucket", "h", "c", "x")
+    tidy(spark, folder, None if table is None else words)
+    return model, model.table
+
+
+def _noise_mass(words: DataFrame, model: Model) -> np.ndarray:
+    """The unigram mass of words times their factors at the start, by state."""
+    norm = model.norm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(STATES)
         for batch in batches:
-            total += shared.value.noise_mass(batch.column("h").to_numpy().view(np.uint64), batch.column("c").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], SUMS)
-
-    return np.array([x or 0.0 for x in rest.select("h", "c").mapInArrow(run, ", ".join(f"{g} double" for g in SUMS)).agg(*(F.sum(g) for g in SUMS)).first()])
-
+            for h, c in zip(batch.column("h"), batch.column("c"), strict=True):
+                total += ((np.frombuffer(c.as_buffer(), np.int64) + 0.1) / norm) @ noise(np.frombuffer(h.as_buffer(), np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"g{s}" for s in range(STATES)])
 
-def _scored(model: Model, ids: pa.Array, first: np.ndarray, codes: np.ndarray, ratio: np.ndarray, c: np.ndarray, h: np.ndarray) -> pa.Table:
-    count = np.concatenate([[model.ends, 0], model.counts, c])
-    owner, n = np.repeat(np.arange(len(ids)), np.diff(first)), len(ids)
-    base = np.bincount(owner, weights=np.log10((count + 0.1) / model.norm)[codes], minlength=n)
-    known = np.bincount(owner, weights=(count > 0)[codes], minlength=n).astype(np.int64)
-    score = base + forward(first, codes, model, ratio) / _LN10
-    return pa.table([ids, pa.array(np.diff(first)), pa.array(known), pa.array(np.full(n, model.total, np.int64)), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    names = [f"g{s}" for s in range(STATES)]
+    found = words.select("h", "c").mapInArrow(run, ", ".join(f"{g} double" for g in names)).agg(*(F.sum(g) for g in names)).first()
+    return np.array([x or 0.0 for x in found])
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, table: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
+    spark: SparkSession = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows, cold = _encoded(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), model, counts)
-    sums = model.rest.select("h", *SUMS)
+    chunks = _encoded(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), shared_dir(spark, "hmm"))
+    shared = spark.sparkContext.broadcast(model)
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"path": pa.array([], pa.string()), "bucket": pa.array([], pa.int64()), "c": pa.array([], pa.binary()), "x": pa.array([], pa.binary())})
+        h, c, x = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, STATES), np.float32)
+        if right.num_rows:
+            h, c = np.frombuffer(right["h"][0].as_buffer(), np.uint64), np.frombuffer(right["c"][0].as_buffer(), np.int64)
+            x = np.frombuffer(right["x"][0].as_buffer(), np.float32).reshape(-1, STATES) if right["x"][0].is_valid else np.zeros((len(h), STATES), np.float32)
+        counts, sums = [], []
+        for own in left["h"]:
+            own = np.frombuffer(own.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
+            known = h[at] == own if len(h) else np.zeros(len(own), bool)
+            n, s = np.zeros(len(own), np.int64), np.zeros((len(own), STATES), np.float32)
+            n[known], s[known] = c[at[known]], x[at[known]]
+            counts.append(n.tobytes())
+            sums.append(s.tobytes())
+        return pa.table({"path": left["path"], "bucket": left["bucket"], "c": pa.array(counts, pa.binary()), "x": pa.array(sums, pa.binary())})
+
+    def scored(table: pa.Table) -> pa.Table:
+        model, table = shared.value, table.sort_by("bucket")
+        path = table["path"][0].as_py()
+        words = _read(f"{path}.words")
+        c = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["c"]])
+        x = np.concatenate([_by_state(x.as_buffer()) for x in table["x"]])
+        ratio = model.factors(words, None if model.tokens is None else x, c > 0)
+        count = np.concatenate([[model.ends], c])
+        log = np.log10((count + 0.1) / model.norm)
+        out = []
+        for ids, first, codes in _texts(f"{path}.codes"):
+            owner, n = np.repeat(np.arange(len(ids)), np.diff(first)), len(ids)
+            base = np.bincount(owner, weights=log[codes], minlength=n)
+            known = np.bincount(owner, weights=(count > 0)[codes], minlength=n).astype(np.int64)
+            score = base + forward(first, codes, model, ratio) / _LN10
+            out.append(pa.table([ids, pa.array(np.diff(first)), pa.array(known), pa.array(np.full(n, model.total, np.int64)), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.concat_tables(out)
+
+    asked = _requests(chunks, model.buckets).groupBy("bucket").cogroup(table.select("bucket", "h", "c", "x").groupBy("bucket"))
+    answers = asked.applyInArrow(look_up, "path string, bucket bigint, c binary, x binary")
+    answers = answers.unionByName(chunks.where("words = 0").select("path", F.lit(-1).cast("long").alias("bucket"), F.lit(b"").alias("c"), F.lit(b"").alias("x")))
     schema = f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return _on_pieces(rows, cold, sums, model, _scored, schema).withColumnRenamed("id", id_col)
+    return _dealt(chunks, answers).groupBy("path").applyInArrow(scored, schema).withColumnRenamed("id", id_col)

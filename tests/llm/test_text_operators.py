@@ -216,16 +216,18 @@ def test_bpe_digest(spark):
 
 
 def test_hmm(spark, monkeypatch):
-    monkeypatch.setattr(hmm_score, "HOT", 40)
-    monkeypatch.setattr(hmm_score, "OWN", 20)
+    monkeypatch.setattr(hmm_score, "CHUNK", 2000)
+    monkeypatch.setattr(hmm_score, "PIECE", 500)
+    monkeypatch.setattr(hmm_score, "PAIRS", 100)
     rng = random.Random(9)
     two = [[f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]]
     text = lambda: " ".join(rng.choice(two[rng.random() < 0.5][:n]) for n in [40] * rng.randint(0, 50))
     mono = lambda: " ".join(rng.choices(rng.choice(two), k=rng.randint(1, 50)))
     train = [(k, mono()) for k in range(120)] + [(200, None), (201, "")]
-    test = [(300 + k, mono()) for k in range(30)] + [(400, None), (401, text()), (402, "never seen"), (402, "never seen")]
+    test = [(300 + k, mono()) for k in range(30)] + [(400, None), (401, text()), (402, "never seen"), (402, "never seen"), (403, " ".join(mono() for _ in range(90)))]
     docs = spark.createDataFrame(train, DOCS)
     model, counts = hmm_score.train(docs)
+    assert model.buckets > 1
     rows = {r["doc_id"]: r for r in hmm_score.score(spark.createDataFrame(test, DOCS).withColumn("id", F.lit(1)), model, counts).collect()}
     c = Counter(w for _, t in train for w in [*split(t), "end"])
     n, v = sum(c.values()), len(c)
@@ -234,39 +236,90 @@ def test_hmm(spark, monkeypatch):
         tokens, r = [*split(t), "end"], rows[d]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
         base = sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
-        assert abs(r["base_score"] - base) < 1e-9
+        assert abs(r["base_score"] - base) < 1e-8
         classes = model.encode(*textops.words(pa.array([t])))[1]
         alpha, log = model.start * ratio[classes[0]], 0.0
         for k in classes[1:]:
             alpha = (alpha @ model.step) * ratio[k]
-        assert abs(r["score"] - base - np.log10(alpha.sum()) - log) < 1e-9
+            log, alpha = log + np.log10(alpha.sum()), alpha / alpha.sum()
+        assert abs(r["score"] - base - np.log10(alpha.sum()) - log) < 1e-8
     gain = [rows[300 + k]["score"] - rows[300 + k]["base_score"] for k in range(30)]
     assert sum(gain) > 0
-    assert abs(model.emit.sum(axis=1) - 1).max() < 1e-9 and abs(model.step.sum(axis=1) - 1).max() < 1e-9
+    # expected counts are kept in single precision
+    assert abs(model.emit.sum(axis=1) - 1).max() < 1e-6 and abs(model.step.sum(axis=1) - 1).max() < 1e-9
     empty, none = hmm_score.train(spark.createDataFrame([], DOCS))
     got = hmm_score.score(spark.createDataFrame([(1, "a b")], DOCS), empty, none).first()
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["base_score"]) == (3, 0, 0, 0.0) and abs(got["score"]) < 1e-9
 
 
-def test_hmm_does_not_depend_on_the_hot_words(spark, monkeypatch):
+def plain_baum_welch(texts, rounds):
+    """Start, steps, ratios by word and the log-likelihood of training texts after each round, token by token over whole texts."""
+    texts = [[*split(t), None] for t in texts]
+    c = Counter(w for t in texts for w in t)
+    norm = sum(c.values()) + 0.1 * (len(c) + 1)
+    q = {w: (n + 0.1) / norm for w, n in c.items()}
+    known = 1 - 0.1 / norm
+    word = lambda w: textops.words(pa.array([w.decode()]))[1][0] if w is not None else np.uint64(0)
+    noise = {w: hmm_score.noise(np.array([word(w)], np.uint64))[0] for w in c}
+    states = hmm_score.STATES
+    ratio = {w: noise[w] * known / sum(q[x] * noise[x] for x in c) for w in c}
+    start, step = np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1)) + np.eye(states) * (0.9 - 0.1 / (states - 1))
+    logs = []
+    for _ in range(rounds):
+        s, a, g, log = np.zeros(states), np.zeros((states, states)), {w: np.zeros(states) for w in c}, 0.0
+        for t in texts:
+            alphas = [start * ratio[t[0]]]
+            for w in t[1:]:
+                alphas.append((alphas[-1] / alphas[-1].sum()) @ step * ratio[w])
+            log += sum(np.log(x.sum()) for x in alphas)
+            beta = np.ones(states)
+            for k in range(len(t) - 1, -1, -1):
+                post = alphas[k] * beta
+                g[t[k]] += post / post.sum()
+                if k:
+                    pair = alphas[k - 1][:, None] * step * (ratio[t[k]] * beta)[None, :]
+                    a += pair / pair.sum()
+                    beta = step @ (ratio[t[k]] * beta)
+                    beta /= beta.sum()
+                else:
+                    s += post / post.sum()
+        logs.append(log)
+        tokens = sum(g.values())
+        start, step = (s + 1) / (s + 1).sum(), (a + 1) / (a + 1).sum(axis=1, keepdims=True)
+        ratio = {w: (g[w] / q[w] + hmm_score.SHRINK) * known / (tokens + hmm_score.SHRINK * known) for w in c}
+    return start, step, {word(w): r for w, r in ratio.items()}, logs
+
+
+@pytest.mark.parametrize(("stretch", "chunk", "pairs"), [(7, 600, 20), (512, 1 << 20, 1 << 20)])
+def test_hmm_training_is_baum_welch(spark, monkeypatch, stretch, chunk, pairs):
+    """Against a plain restatement; stretches, chunks and buckets change nothing."""
+    for name, value in (("CHUNK", chunk), ("PIECE", 300), ("PAIRS", pairs)):
+        monkeypatch.setattr(hmm_score, name, value)
     rng = random.Random(3)
-    two = [[f"a{k}" for k in range(40)], [f"b{k}" for k in range(40)]]
-    docs = spark.createDataFrame([(k, " ".join(rng.choices(rng.choice(two), k=30))) for k in range(80)] + [(90, "never seen a1"), (91, None)], DOCS)
-    found = []
-    for hot in (1000, 10, 0):
-        monkeypatch.setattr(hmm_score, "HOT", hot)
-        model, counts = hmm_score.train(docs.where("doc_id < 80"))
-        found.append([tuple(r) for r in hmm_score.score(docs, model, counts).orderBy("doc_id").collect()])
-        assert np.allclose(model.emit.sum(axis=1), 1)
-    assert all(np.allclose(np.array(x, float), np.array(found[0], float), rtol=1e-9) for x in found[1:])
+    two = [[f"a{k}" for k in range(12)], [f"b{k}" for k in range(12)]]
+    texts = [" ".join(w for _ in range(rng.randint(0, 4)) for w in rng.choices(rng.choice(two), k=15)) for _ in range(40)]
+    start, step, ratio, logs = plain_baum_welch(texts, 3)
+    assert logs == sorted(logs)
+    model, _ = hmm_score.train(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], DOCS), rounds=3)
+    h, _, got = model.whole()
+    assert np.allclose(model.start, start, rtol=1e-4) and np.allclose(model.step, step, rtol=1e-4)
+    assert np.allclose(got[0], ratio[np.uint64(0)], rtol=1e-4) and set(h.tolist()) | {0} == {int(k) for k in ratio}
+    assert all(np.allclose(got[k + 2], ratio[w], rtol=1e-4) for k, w in enumerate(h))
+    monkeypatch.setattr(hmm_score, "STRETCH", stretch)
+    first, codes = model.encode(*textops.words(pa.array(texts)))
+    one = hmm_score.expectations(first, codes, model, got)
+    logs = hmm_score.forward(first, codes, model, got)
+    monkeypatch.setattr(hmm_score, "STRETCH", 1 << 20)
+    assert all(np.allclose(x, y, rtol=1e-9, atol=1e-12) for x, y in zip(one, hmm_score.expectations(first, codes, model, got), strict=True))
+    assert np.allclose(logs, hmm_score.forward(first, codes, model, got), rtol=1e-9)
 
 
 def test_expected_counts_add_up():
-    model = hmm_score.Model(np.arange(10, dtype=np.uint64) * np.uint64(77), np.arange(20, 10, -1), 200, 11, 5)
-    classes = np.random.default_rng(2).integers(0, 12, 1300).astype(np.int32)
-    start, step, emit = hmm_score.expectations(np.array([0, 5, 5, 1300]), classes, model)
-    sequences = 1 + -(-1295 // hmm_score.STRETCH)
-    assert abs(start.sum() - sequences) < 1e-6 and abs(emit.sum() - 1300) < 1e-6 and abs(step.sum() - (1300 - sequences)) < 1e-6
+    model = hmm_score.Model(200, 11, 5)
+    rng = np.random.default_rng(2)
+    classes, ratio = rng.integers(0, 12, 1300).astype(np.int32), rng.uniform(0.1, 3, (12, hmm_score.STATES))
+    start, step, emit = hmm_score.expectations(np.array([0, 5, 5, 1300]), classes, model, ratio)
+    assert abs(start.sum() - 2) < 1e-6 and abs(emit.sum() - 1300) < 1e-6 and abs(step.sum() - 1298) < 1e-6
 
 
 def test_language_id(spark):
