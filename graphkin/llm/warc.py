@@ -6,15 +6,19 @@ task), finds the first record of each and marks the others as revisits.
 ``write`` then writes archives, gzipped record by record and rolled at
 ``ROLL`` bytes of payload, with fresh headers: a revisit has no payload and
 refers to its response.  Files go to a folder that driver and executors share,
-each renamed when whole, so a repeated task replaces its file by an equal one.
-``read`` parses every record of the archives that the manifest names;
+each under a name of its own and renamed when whole.  The manifest is a written
+table: archives are made once, and those of a task that failed are in no
+manifest.  ``read`` parses every record of the archives that the manifest names;
 ``resolve_revisits`` joins revisit records to the responses by digest.
 
+A record is the unit of work: a very long payload is held whole by its task.
+
 Defined cases: a null payload is empty; payloads of under ``min_bytes`` are
 always responses; rows that repeat the id of a response with its payload are
 responses as well; a null url gives an empty target; rows with
 a null id are records as well (never a response that others refer to, if a row
-with an id has the same payload); other columns are ignored.
+with an id has the same payload); a revisit whose response is in no archive has
+a null length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put, shared_dir, store
+from .common import checkpoint, new_path, put, shared_dir, store
 
 ROLL = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -45,18 +50,27 @@ def resolve(pages: DataFrame, *, id_col: str = "page_id", html: str = "html", mi
     return headers.join(heads, "digest", "left")
 
 
+def _urn(page: object) -> str:
+    return f"<urn:page:{'' if page is None else 'id:' + quote(str(page), safe='')}>"
+
+
+def _page(urn: str | None) -> str | None:
+    text = urn[len("<urn:page:") : -1] if urn else ""
+    return unquote(text[3:]) if text else None
+
+
 def _record(kind: str, page: object, url: str, digest: str, size: int, refers: object, body: bytes) -> bytes:
     clean = url.replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page}>",
+        f"WARC-Record-ID: {_urn(page)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers)}"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + body
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -72,12 +86,10 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     """Archives of records (id, url, body binary, digest, first) in the folder; a manifest row (path, records, bytes) for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, held, size, number = TaskContext.get().partitionId(), [], 0, 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            path = f"{folder}/part-{task:06d}-{number:05d}.warc.gz"
+            path = new_path(folder) + ".warc.gz"
             n = put(path, held)
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(held)], pa.int64()), pa.array([n], pa.int64())], ["path", "records", "bytes"])
 
@@ -89,11 +101,11 @@ def write(records: DataFrame, folder: str) -> DataFrame:
                 size += len(held[-1])
                 if size >= ROLL:
                     yield flush()
-                    held, size, number = [], 0, number + 1
+                    held, size = [], 0
         if held:
             yield flush()
 
-    return records.mapInArrow(run, "path string, records bigint, bytes bigint")
+    return checkpoint(records.mapInArrow(run, "path string, records bigint, bytes bigint"))
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,15 +138,11 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def read(manifest: DataFrame) -> DataFrame:
+def read(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """page_id, record_type, payload_digest (of the header), refers_to, url, payload (null for revisits) of each record in the archives."""
 
-    def page(urn: str | None) -> int | None:
-        text = urn[len("<urn:page:") : -1] if urn else "None"
-        return None if text == "None" else int(text)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema([("page_id", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, where = store(path)
@@ -146,7 +154,7 @@ def read(manifest: DataFrame) -> DataFrame:
                         digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
                         if body is not None and hashlib.sha256(body).hexdigest() != digest:
                             raise ValueError(f"a payload of {path} differs from its digest")
-                        rows.append({"page_id": page(h["WARC-Record-ID"]), "record_type": kind, "payload_digest": digest, "refers_to": page(h.get("WARC-Refers-To")), "url": h["WARC-Target-URI"], "payload": body})
+                        rows.append({"page_id": _page(h["WARC-Record-ID"]), "record_type": kind, "payload_digest": digest, "refers_to": _page(h.get("WARC-Refers-To")), "url": h["WARC-Target-URI"], "payload": body})
                         size += len(block)
                         if size > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -154,15 +162,19 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return manifest.select("path").mapInArrow(run, "page_id bigint, record_type string, payload_digest string, refers_to bigint, url string, payload binary")
+    # a row of the manifest stands for a whole archive
+    paths = manifest.select("path").repartition(max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "path")
+    found = paths.mapInArrow(run, "page_id string, record_type string, payload_digest string, refers_to string, url string, payload binary")
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits get the length from the response of their digest."""
-    headers = records.select("page_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("own"))
+    # archives are read once: the headers are small
+    headers = checkpoint(records.select("page_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("own")))
     originals = headers.where((F.col("record_type") == "response")).groupBy("payload_digest").agg(F.max("own").alias("original"))
     used = headers.where(F.col("record_type") == "revisit")
-    resolved = used.join(originals, "payload_digest").select("page_id", F.col("original").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    resolved = used.join(originals, "payload_digest", "left").select("page_id", F.col("original").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return headers.where(F.col("record_type") == "response").select("page_id", F.col("own").alias("payload_bytes"), "payload_digest", "record_type", "refers_to").unionByName(resolved)
 
 

@@ -168,6 +168,24 @@ def test_warc(spark):
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")
 
 
+def test_archives_are_written_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    pages = spark.createDataFrame([(k, "u", "x" * 200 if k % 3 else f"page {k} " * 40) for k in range(90)], "page_id bigint, url string, html string").repartition(5)
+    manifest = warc.archive(pages, folder=folder)
+    for _ in range(2):
+        assert warc.resolve_revisits(warc.read(manifest)).count() == 90
+    assert sorted(f"file://{p}" for p in (tmp_path / "warc").iterdir()) == sorted(r["path"] for r in manifest.collect())
+
+
+def test_warc_of_text_ids_and_lost_responses(spark):
+    long = "y" * 300
+    pages = spark.createDataFrame([("b/1 é", "u", long), ("a>\r\n", "u", long), ("", "u", "short"), (None, "u", "z")], "page_id string, url string, html string")
+    records = warc.read(warc.archive(pages), "string")
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in records.collect()}
+    assert got == {("a>\r\n", "response", None), ("b/1 é", "revisit", "a>\r\n"), ("", "response", None), (None, "response", None)}
+    assert [r["payload_bytes"] for r in warc.resolve_revisits(records.where("record_type = 'revisit'")).collect()] == [None]
+
+
 def test_many_records_in_one_archive(spark, tmp_path):
     folder = shared_dir(spark, "many")
     pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat(F.col("id").cast("string"), F.lit("-")), 200).alias("html")).coalesce(1)
