@@ -6,8 +6,9 @@ training documents; its size is fixed: languages x BINS.  The number of
 languages is that of distinct training labels, at most ``MAX_LANGUAGES``.
 
 Prediction: a word's likelihood under a language is the product over its
-n-grams.  Expectation-maximisation over the words of a document estimates the
-proportions of the languages; the set is then chosen by penalised likelihood
+n-grams.  Expectation-maximisation over the words of a document (in a long one,
+its distinct words and how often each occurs) estimates the proportions of the
+languages; the set is then chosen by penalised likelihood
 (log-likelihood less half a logarithm of the number of words for each language
 more than one): single languages against the EM fit on those that hold at least
 ``MIN_SHARE``.  ``lang_pred`` is the language of the largest share in the chosen
@@ -15,7 +16,9 @@ set, ``score`` that share, ``languages`` the set.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if no document could be learned from.  Ties go to the
-language that sorts first.  Nulls in lang are not learned from.
+language that sorts first.  Nulls in lang are not learned from.  Repeated rows
+count each.  A very long text is taken in stretches that share its words; memory
+grows with its distinct words.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ BINS = 1 << 16
 MAX_LANGUAGES = 1024
 MIN_SHARE = 0.02
 ROUNDS = 8
-PIECE = 8 << 20  # bytes of text that are held as n-grams at a time
+PIECE = 1 << 20  # bytes of text that are held as n-grams at a time
 
 
 def _ngrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,15 +55,15 @@ def _ngrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return slot[np.cumsum(inside[:-1]) > 0], first
 
 
-def _spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(owner of each word, n-gram slots, first slot of each word, words' documents) by stretches of text."""
+def _spans(column: pa.Array, hashed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(document of each word, n-gram slots, first slot of each word, their number, words' hashes if asked for) by stretches of text."""
     offsets, raw = textops.utf8(column)
     for a, b in textops._cuts(offsets, raw):
         lo, hi = np.searchsorted(offsets, a, side="left"), np.searchsorted(offsets, b, side="left")
         starts, ends = textops._bounds(raw[a:b], offsets[lo:hi] - a)
         if len(starts):
             slots, first = _ngrams(raw[a:b], starts, ends)
-            yield np.searchsorted(offsets, starts + a, side="right") - 1, slots, first, ends - starts
+            yield np.searchsorted(offsets, starts + a, side="right") - 1, slots, first, ends - starts, textops._hash_span(raw[a:b], starts, ends) if hashed else None
 
 
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -71,70 +74,90 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[l
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for owner, slots, _, lens in _spans(batch.column("text")):
+            for owner, slots, _, lens, _ in _spans(batch.column("text")):
                 of = langs[owner]
                 for one in set(of):
                     got = np.bincount(slots[np.repeat(of == one, lens)], minlength=BINS)
                     sums[one] = sums.get(one, 0) + got
         for one, total in sums.items():
             cut = np.split(total.astype(np.int64), 16)
-            yield pa.RecordBatch.from_arrays([pa.array([one] * 16), pa.array(range(16), pa.int32()), pa.array([x.tolist() for x in cut], pa.list_(pa.int64()))], ["lang", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([one] * 16), pa.array(range(16), pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary())], ["lang", "part", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        whole = np.sum([np.asarray(x) for x in table["counts"].to_pylist()], axis=0)
-        return pa.table({"lang": table["lang"][:1], "part": table["part"][:1], "counts": pa.array([whole.tolist()], pa.list_(pa.int64()))})
+        whole = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table["counts"]], axis=0)
+        return pa.table({"lang": table["lang"][:1], "part": table["part"][:1], "counts": pa.array([whole.tobytes()], pa.binary())})
 
-    schema = "lang string, part int, counts array<bigint>"
+    schema = "lang string, part int, counts binary"
     rows = labelled.mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(total, schema).take(16 * MAX_LANGUAGES + 1)
     names = sorted({r["lang"] for r in rows})
     if len(rows) > 16 * MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.zeros((BINS, len(names)))
+    counts, column = np.zeros((BINS, len(names))), {name: k for k, name in enumerate(names)}
     for r in rows:
         at = r["part"] * (BINS // 16)
-        counts[at : at + BINS // 16, names.index(r["lang"])] = r["counts"]
+        counts[at : at + BINS // 16, column[r["lang"]]] = np.frombuffer(r["counts"], np.int64)
     return names, np.log((counts + 0.05) / (counts.sum(axis=0) + 0.05 * BINS)) if names else counts
 
 
-def _mixture(owner: np.ndarray, ll: np.ndarray, n: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions [n, languages], log-likelihood [n]) after ROUNDS of EM among the languages allowed to each document."""
+def _mixture(owner: np.ndarray, ll: np.ndarray, times: np.ndarray, n: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions [n, languages], log-likelihood [n]) after ROUNDS of EM among the languages allowed to each document; times: how often each word occurs."""
     share = allowed / np.maximum(1, allowed.sum(axis=1, keepdims=True))
     top = ll.max(axis=1, keepdims=True)
     lik = np.exp(np.maximum(ll - top, -60.0))
     bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    docs, size = owner[bounds], np.diff(np.r_[bounds, len(owner)])[:, None]
+    docs, size = owner[bounds], np.add.reduceat(times, bounds)[:, None]
     for _ in range(ROUNDS):
         w = lik * share[owner]
-        w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+        w *= (times / np.maximum(w.sum(axis=1), 1e-300))[:, None]
         share[docs] = np.add.reduceat(w, bounds, axis=0) / size
     fit = np.zeros(n)
-    fit[docs] = np.add.reduceat(np.log(np.maximum((lik * share[owner]).sum(axis=1), 1e-300)) + top[:, 0], bounds)
+    fit[docs] = np.add.reduceat(times * (np.log(np.maximum((lik * share[owner]).sum(axis=1), 1e-300)) + top[:, 0]), bounds)
     return share, fit
 
 
-def _classify(column: pa.Array, names: list[str], model: np.ndarray) -> tuple[list, np.ndarray, list]:
+def _words_of_long(column: pa.Array, model: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(log-likelihoods, times) of the distinct words of one text, in the order of their hashes."""
+    known, ll, times = np.zeros(0, np.uint64), np.zeros((0, model.shape[1])), np.zeros(0)
+    for _, slots, first, _, hashes in _spans(column, hashed=True):
+        each, at, count = np.unique(hashes, return_index=True, return_counts=True)
+        own = np.add.reduceat(model[slots], first, axis=0)[at]
+        known, index, inverse = np.unique(np.concatenate([known, each]), return_index=True, return_inverse=True)
+        ll = np.concatenate([ll, own])[index]
+        times = np.bincount(inverse, weights=np.concatenate([times, count]), minlength=len(known))
+    if len(known):
+        yield ll, times
+
+
+def _classify(column: pa.Array, names: list[str], model: np.ndarray, long: bool = False) -> tuple[list, np.ndarray, list]:
     n = len(column)
     letters = pc.match_substring_regex(column.cast(pa.large_string()), r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
     if not names:
         return ["und"] * n, np.zeros(n), [[] for _ in range(n)]
-    owners, lls = [], []
-    for owner, slots, first, _ in _spans(column):
-        owners.append(owner)
-        lls.append(np.add.reduceat(model[slots], first, axis=0))
+    owners, lls, counts = [], [], []
+    if long:
+        for ll, times in _words_of_long(column, model):
+            owners.append(np.zeros(len(ll), np.int64))
+            lls.append(ll)
+            counts.append(times)
+    else:
+        for owner, slots, first, _, _ in _spans(column):
+            owners.append(owner)
+            lls.append(np.add.reduceat(model[slots], first, axis=0).astype(np.float64))
+            counts.append(np.ones(len(owner)))
     share, multi = np.zeros((n, len(names))), np.zeros(n, dtype=bool)
     single = np.zeros((n, len(names)))
     if owners:
-        owner, ll = np.concatenate(owners), np.concatenate(lls)
+        owner, ll, times = np.concatenate(owners), np.concatenate(lls), np.concatenate(counts)
         bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        single[owner[bounds]] = np.add.reduceat(ll, bounds, axis=0)
-        words = np.bincount(owner, minlength=n)
-        share, _ = _mixture(owner, ll, n, np.ones((n, len(names))))
+        single[owner[bounds]] = np.add.reduceat(ll * times[:, None], bounds, axis=0)
+        words = np.bincount(owner, weights=times, minlength=n)
+        share, _ = _mixture(owner, ll, times, n, np.ones((n, len(names))))
         chosen = share >= MIN_SHARE
         chosen[np.arange(n), share.argmax(axis=1)] = True
         several = chosen.sum(axis=1) > 1
         at = several[owner]
         if at.any():
-            refit, fit = _mixture(owner[at], ll[at], n, chosen.astype(float))
+            refit, fit = _mixture(owner[at], ll[at], times[at], n, chosen.astype(float))
             better = fit - 0.5 * np.log(np.maximum(words, 1)) * (chosen.sum(axis=1) - 1) > single.max(axis=1)
             multi = several & better
             share[multi] = refit[multi]
@@ -152,17 +175,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str
     kept = docs.drop(*(c for c in docs.columns if c.lower() in new and c != text))
     if len({c.lower() for c in kept.columns}) < len(kept.columns):
         raise ValueError("column names differ in case only")
-    names, weights = model
+    (names, weights), most = model, PIECE
     shared = docs.sparkSession.sparkContext.broadcast((names, weights.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
         for batch in batches:
-            size, at = np.diff(textops.utf8(batch.column(text))[0]), 0
+            ends, at = np.cumsum(np.diff(textops.utf8(batch.column(text))[0])), 0
             while at < batch.num_rows:  # at most PIECE bytes, or one document
-                to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), PIECE, side="right")) + at)
+                done = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
                 part = batch.slice(at, to - at)
-                pred, score, sets = _classify(part.column(text), names, weights)
+                pred, score, sets = _classify(part.column(text), names, weights, int(ends[to - 1]) - done > most)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], [*part.schema.names, "lang_pred", "score", "languages"])
                 at = to
 

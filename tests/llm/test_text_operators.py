@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphkin.llm import bpe, decontaminate, hmm_score, language_id, ngram_join, textops
-from graphkin.llm.queries import vocabulary
+from graphkin.llm.queries import QUERIES, vocabulary
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string"
@@ -336,3 +337,63 @@ def test_language_id(spark):
     assert got[3]["languages"] == ["aa", "bb"] and 0.55 < got[3]["score"] < 0.8 and got[1]["score"] == 1 and got[4]["score"] == 0
     none = language_id.train(spark.createDataFrame([], "doc_id bigint, text string, lang string"))
     assert language_id.identify(df, none).where("lang_pred = 'und'").count() == len(tests)
+
+
+def plain_language_id(train, texts):
+    """Language, score and set of each text, word by word."""
+    grams = lambda w: [bytes((b" " + w + b" ")[i : i + 3]) for i in range(len(w))]
+    slot = lambda g: ((g[0] * 0x1F35 ^ g[1] * 0x9E3779B1 & 0xFFFFFFFF ^ g[2] * 0x85EBCA77 & 0xFFFFFFFF) * 0xC2B2AE35 & 0xFFFFFFFF) >> 16
+    counts = {}
+    for t, lang in train:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(slot(g) for w in split(t) for g in grams(w))
+    names = sorted(counts)
+    log = lambda g, lang: np.log((counts[lang][slot(g)] + 0.05) / (sum(counts[lang].values()) + 0.05 * language_id.BINS))
+    out = []
+    for t in texts:
+        if not any(ch.isalpha() for ch in t or ""):
+            out.append(("und", 0.0, []))
+            continue
+        words = [np.array([sum(log(g, lang) for g in grams(w)) for lang in names]) for w in split(t)]
+
+        def fit(allowed, words=words):
+            share = np.array(allowed, float) / sum(allowed)
+            lik = [np.exp(np.maximum(w - w.max(), -60)) for w in words]
+            for _ in range(language_id.ROUNDS):
+                share = sum(x * share / (x * share).sum() for x in lik) / len(lik)
+            return share, sum(np.log((x * share).sum()) + w.max() for x, w in zip(lik, words, strict=True))
+
+        whole, share = sum(words), fit([1] * len(names))[0]
+        chosen = [s >= language_id.MIN_SHARE or s == max(share) for s in share]
+        best, score, found = names[int(whole.argmax())], 1.0, None
+        if sum(chosen) > 1:
+            share, log_fit = fit(chosen)
+            if log_fit - 0.5 * np.log(len(words)) * (sum(chosen) - 1) > whole.max():
+                best, score, found = names[int(share.argmax())], share.max(), [x for x, s in zip(names, share, strict=True) if s >= language_id.MIN_SHARE]
+        out.append((best, score, found or [best]))
+    return out
+
+
+@pytest.mark.parametrize("piece", [60, 1 << 20])
+def test_language_id_is_the_mixture(spark, monkeypatch, piece):
+    """Against a plain restatement; how texts are cut changes nothing."""
+    monkeypatch.setattr(language_id, "PIECE", piece)
+    rng = random.Random(16)
+    stems = {"aa": ["wen", "lor", "fi", "dak"], "bb": ["chi", "zu", "qua", "lor"], "cc": ["fi", "ßü", "ka", "dak"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(stems[lang], k=2)) for _ in range(n))
+    train = [(make(lang, 12), lang) for _ in range(8) for lang in stems] + [("zzz", None), (None, "aa")]
+    texts = [make(rng.choice(list(stems)), rng.randint(1, 9)) for _ in range(15)] + [make("aa", 12) + " " + make("bb", rng.randint(1, 30)) for _ in range(15)] + [make("cc", 5) + " " + make("bb", 6) + " " + make("aa", 7), None, "", "12", "Lor " * 30]
+    model = language_id.train(spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(train)], "doc_id bigint, text string, lang string"))
+    rows = language_id.identify(spark.createDataFrame(list(enumerate(texts)), DOCS), model).orderBy("doc_id").collect()
+    want = plain_language_id(train, texts)
+    assert [(r["lang_pred"], r["languages"]) for r in rows] == [(x[0], x[2]) for x in want]
+    assert np.allclose([r["score"] for r in rows], [x[1] for x in want], atol=1e-4) and any(0 < x[1] < 1 for x in want)
+
+
+def test_language_id_of_held_out_documents(spark):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no tables here")
+    got = QUERIES["op10_language_id"](spark, str(folder)).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    share = got.where("held_out AND lang IS NOT NULL").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert share[1] > 100 and share[0] >= 0.98
