@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -18,20 +19,30 @@ def test_pivot_search(spark, monkeypatch):
     rows = [(k, [float(x) for x in np.round(rng.normal(size=6), 2 if k % 3 else 0)]) for k in range(220)]
     rows += [(300, rows[50][1]), (301, rows[50][1]), (300, rows[50][1]), (302, None), (303, [float("nan")] * 6), (304, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (305, [float("inf")] * 6), (306, [1.0]), (350, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("id", F.lit("x"))
-    ok = {k: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for k, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in (k for k in ok if k % 50 == 0):
-        best = sorted((-int(ok[q] @ v), k) for k, v in ok.items() if k != q and len(v) == len(ok[q]))[:5]
-        want |= {(q, r, k, -s) for r, (s, k) in enumerate(best, 1)}
-    got = {tuple(r) for r in pivot_search.top_k(df, F.col("id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect()}
-    assert got == want
+    ok = [(k, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for k, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
+    want = Counter()
+    for i, (q, own) in enumerate(ok):
+        if q % 50 == 0:
+            best = sorted((-int(own @ v), k) for j, (k, v) in enumerate(ok) if j != i and len(v) == len(own))[:5]
+            want.update((q, r, k, -s) for r, (s, k) in enumerate(best, 1))
+    for pivots in (0, 3, 64):
+        found = pivot_search.top_k(df, F.col("id") % 50 == 0, pivots=pivots)
+        assert Counter(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == want
     assert pivot_search.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
-def test_pivot_search_keeps_other_vectors_of_one_id(spark):
+def test_pivots_eliminate(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(8, 48))
+    df = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8) @ base]) for k in range(3000)], "vec_id bigint, embedding array<float>")
+    share = lambda pivots: pivot_search.top_k(df, F.col("id") % 50 == 0, pivots=pivots).agg(F.avg("evaluated")).first()[0] / 3000
+    assert share(8) < 0.05 < share(1)
+
+
+def test_pivot_search_keeps_other_rows_of_one_id(spark):
     rows = [(0, [1.0, 0.0]), (5, [0.5, 0.25]), (5, [0.5, 0.75]), (5, [0.5, 0.75]), (6, [0.25, 0.0])]
-    found = pivot_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("id") == 0, k=3)
-    assert [(r["rank"], r["vec_id"], r["score"]) for r in found.orderBy("rank").collect()] == [(1, 5, 128 * 256), (2, 5, 128 * 256), (3, 6, 64 * 256)]
+    found = pivot_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("id") == 0, k=4)
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in found.orderBy("rank").collect()] == [(k, 5, 128 * 256) for k in (1, 2, 3)] + [(4, 6, 64 * 256)]
 
 
 @pytest.mark.parametrize("size", [1, 2, 5, 64, 1000])
