@@ -10,10 +10,13 @@ the window.  If they never agree the window grows to both halves whole, which
 is exact as well.  Strings of special tokens are cut out first, as the library
 does, and leaves never cut one.
 
+Long texts are known by their SHA-256, so equal ones are encoded once.
+
 Defined cases: a null text is empty and has no tokens; decoding no tokens gives
 an empty text; ids outside the vocabulary are an error; rows, repeated ones
 included, come back one for one with all their columns (columns named like the
-results are replaced).
+results are replaced).  A file whose merges, splitter or normaliser are not the
+byte-level ones that this codec implements is refused.
 """
 
 from __future__ import annotations
@@ -27,11 +30,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fields
+
 LEAF = 1 << 16
 AGREE = 4
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _check(spec: dict) -> None:
+    """Raise unless merges come in the order of the ids they make and texts are split and joined as this codec does."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not a plain byte-pair model")
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("texts are not split and joined by the plain byte-level rule")
+    if any(x.get("single_word") or x.get("lstrip") or x.get("rstrip") for x in spec["added_tokens"]):
+        raise ValueError("added tokens with conditions on their neighbours")
+    made = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in made or any(a >= b for a, b in zip(made, made[1:])):  # noqa: B905
+        raise ValueError("merges are not in the order of their ids")
+    single = [i for token, i in model["vocab"].items() if len(token) == 1]
+    if len(made) + len(single) + sum(x["content"] in model["vocab"] for x in spec["added_tokens"]) != len(model["vocab"]) or made and max(single) > made[0]:
+        raise ValueError("tokens that no merge makes")
+
+
 class Codec:
     """A byte-level BPE vocabulary file (tokenizer JSON)."""
 
@@ -40,6 +62,7 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         alphabet = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -118,7 +141,7 @@ def codec(path: str) -> Codec:
 
 
 def _fields(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return fields(df.schema)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -177,11 +200,14 @@ def encode(docs: DataFrame, path: str, *, text: str = "text", leaf: int = LEAF)
 
     is_long = F.coalesce(F.length(text) > leaf, F.lit(False))
     short = kept.where(~is_long).mapInArrow(whole, schema)
-    long = kept.where(is_long).withColumn("_key", F.monotonically_increasing_id())
-    pieces = long.select("_key", F.col(text).alias("_text")).mapInArrow(leaves, "_key bigint, _segment int, _leaf int, _text string, _after int")
-    ids = pieces.repartition("_key", "_segment", "_leaf").mapInArrow(each, "_key bigint, _segment int, _leaf int, _after int, ids array<int>")
-    ids = ids.groupBy("_key").applyInArrow(joined, "_key bigint, ids array<int>")
-    return short.unionByName(long.join(ids, "_key").drop("_key").select(*kept.columns, "ids"))
+    long = kept.where(is_long).select(F.sha2(F.col(text).cast("binary"), 256).alias("_key"), F.struct(*(F.col(f"`{c}`") for c in kept.columns)).alias("_row"))
+    texts = long.select("_key", F.col(f"_row.`{text}`").alias("_text"))
+    pieces = texts.mapInArrow(leaves, "_key string, _segment int, _leaf int, _text string, _after int")
+    # the same piece of equal texts is encoded once
+    pieces = pieces.repartition("_key", "_segment", "_leaf").dropDuplicates(["_key", "_segment", "_leaf"])
+    ids = pieces.mapInArrow(each, "_key string, _segment int, _leaf int, _after int, ids array<int>")
+    ids = ids.groupBy("_key").applyInArrow(joined, "_key string, ids array<int>")
+    return short.unionByName(long.join(ids, "_key").select(*(F.col(f"_row.`{c}`").alias(c) for c in kept.columns), "ids"))
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:

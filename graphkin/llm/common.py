@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 #: The separators of words, as a character class of both Java's and RE2's syntax.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,6 +92,26 @@ def put(uri: str, blob_parts) -> int:
     return size
 
 
+def ddl(kind: DataType) -> str:
+    """A type as Spark's parser reads it, names of nested fields quoted."""
+    if isinstance(kind, StructType):
+        return f"struct<{', '.join(f'{_quoted(f.name)}: {ddl(f.dataType)}' for f in kind)}>"
+    if isinstance(kind, ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{ddl(kind.keyType)}, {ddl(kind.valueType)}>"
+    return kind.simpleString()
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fields(columns: list[StructField] | StructType) -> str:
+    """The columns of a schema for mapInArrow."""
+    return ", ".join(f"{_quoted(f.name)} {ddl(f.dataType)}" for f in columns)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

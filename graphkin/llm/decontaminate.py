@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import shared_dir, store
+from .common import fields, shared_dir, store
 from .ngram_join import _pieces
 
 BLOCKS = 8
@@ -264,7 +264,7 @@ def _best(leaks: list[dict]) -> list[dict]:
 
 
 def _scan(df: DataFrame, names: list[str], shared, text: str, n: int, threshold: float, leak: str, whole: tuple[str, int] | None) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+    columns = fields([f for f in df.schema if f.name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value, n, threshold, whole and _read_counts(whole))
@@ -273,4 +273,4 @@ def _scan(df: DataFrame, names: list[str], shared, text: str, n: int, threshold:
             found = [_best(old + new) if old else new for old, new in zip(before.to_pylist(), index.leaks(part.column(text)), strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(found, before.type)], [*names, "leaks"])
 
-    return df.mapInArrow(run, f"{fields}, leaks {leak}")
+    return df.mapInArrow(run, f"{columns}, leaks {leak}")

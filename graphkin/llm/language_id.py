@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
+from .common import fields
 
 BINS = 1 << 16
 MAX_LANGUAGES = 1024
@@ -190,5 +191,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], [*part.schema.names, "lang_pred", "score", "languages"])
                 at = to
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages array<string>")
+    return kept.mapInArrow(run, f"{fields(kept.schema)}, lang_pred string, score double, languages array<string>")

@@ -199,14 +199,25 @@ PIECES = ["a", "e", "é", "'", "'s", "re", " ", "  ", "\n", "\t", "1", "23", "!"
 def test_bpe(spark, leaf):
     rng = random.Random(leaf)
     texts = [None, "", "<|endoftext|>", "x" * 500, "ab" * 300, " " * 200] + ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 120))) for _ in range(150)]
-    df = spark.createDataFrame(list(enumerate(texts)) + [(1, "")], DOCS).withColumn("ids", F.lit(0)).withColumn("decoded", F.lit(0))
+    df = spark.createDataFrame([*enumerate(texts), (1, ""), (3, texts[3]), (None, texts[4])], DOCS).withColumns({"ids": F.lit(0), "decoded": F.lit(0), "_key": F.lit("x"), "_text": F.lit(1), "a b": F.struct(F.lit(1).alias("x y"))})
     tok, back = library(), bpe.decode(bpe.encode(df, vocabulary(), leaf=leaf), vocabulary()).collect()
-    assert len(back) == len(texts) + 1
+    assert len(back) == len(texts) + 3 and all(r['_key'] == 'x' and r["a b"]["x y"] == 1 for r in back)
     for r in back:
         want = tok.encode(r["text"] or "", add_special_tokens=False).ids
         assert list(r["ids"]) == want and r["decoded"] == tok.decode(want, skip_special_tokens=False)
 
 
+def test_other_vocabulary_files_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(Path(vocabulary()).read_text(encoding="utf-8"))
+    swapped = [spec["model"]["merges"][1], spec["model"]["merges"][0], *spec["model"]["merges"][2:]]
+    for k, change in enumerate(({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"merges": swapped}})):
+        (tmp_path / f"{k}.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Codec(str(tmp_path / f"{k}.json"))
+
+
 def test_bpe_digest(spark):
     import hashlib
 
