@@ -4,9 +4,9 @@ Every window of a document that has as many words as a benchmark item gets a
 64-bit SimHash of its weighted n-word shingles, from prefix sums over the
 document.  Items of that size are looked up by ``BLOCKS`` blocks of their
 fingerprints: a distance of at most ``RADIUS`` means that some block differs in
-at most RADIUS // BLOCKS bits, so probing each block within that many bits finds
-every fingerprint within the radius.  Candidates are verified by exact weighted
-similarity: the sum of the smaller over the sum of the larger weights, with
+two bits at most, so looking up each block within two bits finds every
+fingerprint within the radius, and one random item in 120 besides.  Candidates
+are verified by exact weighted similarity: the sum of the smaller over the sum of the larger weights, with
 multiplicities.  Items beyond the radius are found by the shingles that they
 share with a window: all whose shared weight can reach the threshold are verified
 too, so none is missed.  A shingle weighs 1 + log(items / items that have it); one that
@@ -17,7 +17,8 @@ some item has over the weight of all; windows for which that bound lies below
 the threshold are not fingerprinted.  This loses nothing.
 
 The index covers a block of the benchmark of bounded size (``MAX_CHARS``); a
-larger benchmark is taken in several blocks, one scan of the documents for each.
+larger benchmark is taken in several blocks, one after the other, with one scan
+of the documents for each; only the block at hand is held.
 Weights are those of the whole benchmark: how many items have each shingle is
 counted once, and every task reads that table (16 bytes a shingle).
 
@@ -30,6 +31,7 @@ as null; columns named ``leaks`` are replaced, all others pass through.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -40,13 +42,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import fields, shared_dir, store
+from .common import checkpoint, fields, shared_dir, store, tidy
 from .ngram_join import _pieces
 
-BLOCKS = 8
-RADIUS = 23
+BLOCKS = 4
+WIDTH = 64 // BLOCKS
+RADIUS = 3 * BLOCKS - 1  # so that some block differs in two bits at most
 MAX_CHARS = 16 << 20
 SIEVE = 1 << 20
+SPAN = 1 << 15  # words of a text whose fingerprints are summed at a time
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -60,27 +64,40 @@ def _pack(sums: np.ndarray) -> np.ndarray:
 
 
 class _Size:
-    """The items of one number of words: their fingerprints, by blocks, and the items of each known shingle."""
+    """The items of one number of words: their fingerprints, by blocks, and the items of each known shingle.
+
+    Two blocks within two bits of each other have a value within one bit of both
+    in common, so items and windows stand for 1 + WIDTH values of each block.
+    """
 
     def __init__(self, members: list[int], prints: np.ndarray) -> None:
         self.members = np.array(members)
         self.prints = prints
         self.shingles, self.first, self.owners, self.mass = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(members))
-        width = 64 // BLOCKS
-        values = np.arange(1 << width, dtype=np.uint64)
-        near = []
+        self.blocks = []
         for b in range(BLOCKS):
-            own = (prints >> np.uint64(width * b)) & np.uint64((1 << width) - 1)
-            near.append(np.bitwise_count(values[:, None] ^ own[None, :]) <= RADIUS // BLOCKS)
-        self.near = near
+            values = self._near(prints, b)
+            order = np.argsort(values.ravel(), kind="stable")
+            self.blocks.append((values.ravel()[order], order // (1 + WIDTH)))
+
+    @staticmethod
+    def _near(prints: np.ndarray, b: int) -> np.ndarray:
+        """[prints, 1 + WIDTH]: a block's value, and all at one bit."""
+        own = ((prints >> np.uint64(WIDTH * b)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
+        return own[:, None] ^ np.r_[0, 1 << np.arange(WIDTH)][None, :]
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, member) pairs within the radius."""
-        width = 64 // BLOCKS
-        hit = np.zeros((len(prints), len(self.members)), dtype=bool)
-        for b in range(BLOCKS):
-            hit |= self.near[b][((prints >> np.uint64(width * b)) & np.uint64((1 << width) - 1)).astype(np.int64)]
-        w, m = np.nonzero(hit)
+        pairs = [np.zeros(0, np.int64)]
+        for b, (values, owners) in enumerate(self.blocks):
+            probes = self._near(prints, b).ravel()
+            lo, hi = np.searchsorted(values, probes, side="left"), np.searchsorted(values, probes, side="right")
+            some = np.flatnonzero(hi > lo)
+            size = (hi - lo)[some]
+            flat = np.arange(int(size.sum())) + np.repeat(lo[some] - np.cumsum(size) + size, size)
+            pairs.append(np.repeat(some // (1 + WIDTH), size) * len(self.members) + owners[flat])
+        both = np.unique(np.concatenate(pairs))
+        w, m = both // len(self.members), both % len(self.members)
         ok = np.bitwise_count(prints[w] ^ self.prints[m]) <= RADIUS
         return w[ok], self.members[m[ok]]
 
@@ -190,29 +207,34 @@ class Index:
         cuts = np.flatnonzero(np.diff(at) > 2 * widest) + 1
         for run in np.split(at, cuts):  # stretches around known shingles
             lo, hi = max(0, int(run[0]) - widest), min(len(s), int(run[-1]) + widest + 1)
-            w, k = weight[lo:hi], known[lo:hi]
-            total, hits = np.r_[0.0, np.cumsum(w)], np.r_[0.0, np.cumsum(w * k)]
-            sums = None
-            for m in sizes:
-                span = min(m - n + 1, len(s))
-                if span > hi - lo:
-                    continue
-                mass, hit = total[span:] - total[:-span], hits[span:] - hits[:-span]
-                starts = np.flatnonzero((hit >= self.threshold * mass - 1e-9) & (hit > 0))
-                if not len(starts):
-                    continue
-                if sums is None:
-                    sums = np.zeros((hi - lo + 1, 64))
-                    np.cumsum(_bits(s[lo:hi]) * w[:, None], axis=0, out=sums[1:])
-                pairs = set(zip(*(x.tolist() for x in self.sizes[m].candidates(_pack(sums[starts + span] - sums[starts]))), strict=True))
-                for x, at in enumerate(starts.tolist()):
-                    pairs.update((x, item) for item in self.sizes[m].sharing(s[lo + at : lo + at + span], w[at : at + span], self.threshold).tolist())
-                for x, item in sorted(pairs):
-                    start = lo + int(starts[x])
-                    sim = self.similarity(s[start : start + span], int(item))
-                    key = (d, self.ids[item])
-                    if sim >= self.threshold and (key not in best or (-sim, start, m) < (-best[key][3], best[key][1], best[key][2])):
-                        best[key] = (int(item), start, m, sim)
+            for a in range(lo, hi, SPAN):
+                self._stretch(d, s, weight, known, a, min(hi, a + SPAN + widest), a + SPAN if a + SPAN < hi else hi, sizes, n, best)
+
+    def _stretch(self, d: int, s: np.ndarray, weight: np.ndarray, known: np.ndarray, lo: int, hi: int, stop: int, sizes: list[int], n: int, best: dict) -> None:
+        """The windows that lie in lo .. hi and start before stop."""
+        w, k = weight[lo:hi], known[lo:hi]
+        total, hits = np.r_[0.0, np.cumsum(w)], np.r_[0.0, np.cumsum(w * k)]
+        sums = None
+        for m in sizes:
+            span = min(m - n + 1, len(s))
+            if span > hi - lo:
+                continue
+            mass, hit = (total[span:] - total[:-span])[: stop - lo], (hits[span:] - hits[:-span])[: stop - lo]
+            starts = np.flatnonzero((hit >= self.threshold * mass - 1e-9) & (hit > 0))
+            if not len(starts):
+                continue
+            if sums is None:
+                sums = np.zeros((hi - lo + 1, 64))
+                np.cumsum(_bits(s[lo:hi]) * w[:, None], axis=0, out=sums[1:])
+            pairs = set(zip(*(x.tolist() for x in self.sizes[m].candidates(_pack(sums[starts + span] - sums[starts]))), strict=True))
+            for x, at in enumerate(starts.tolist()):
+                pairs.update((x, item) for item in self.sizes[m].sharing(s[lo + at : lo + at + span], w[at : at + span], self.threshold).tolist())
+            for x, item in sorted(pairs):
+                start = lo + int(starts[x])
+                sim = self.similarity(s[start : start + span], int(item))
+                key = (d, self.ids[item])
+                if sim >= self.threshold and (key not in best or (-sim, start, m) < (-best[key][3], best[key][1], best[key][2])):
+                    best[key] = (int(item), start, m, sim)
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -225,11 +247,16 @@ def flag(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     blocks = -(-chars // MAX_CHARS) or 1
     names = df.columns
     whole = _benchmark_counts(items, n) if blocks > 1 else None
-    out = df.withColumn("leaks", F.array().cast(leak))
+    out, last = df.withColumn("leaks", F.array().cast(leak)), None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t")
         shared = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])  # about MAX_CHARS
         out = _scan(out, names, shared, text, n, threshold, leak, whole)
+        if blocks > 1:  # one block at a time
+            out = checkpoint(out)
+            shared.unpersist()
+            tidy(docs.sparkSession, last)
+            last = out
     return out
 
 
@@ -263,11 +290,22 @@ def _best(leaks: list[dict]) -> list[dict]:
     return sorted(best.values(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
 
 
+_HELD: dict[str, Index] = {}
+
+
+def _index(key: str, shared, n: int, threshold: float, whole: tuple[str, int] | None) -> Index:
+    """The index of a scan, made once in each worker."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Index(shared.value, n, threshold, whole and _read_counts(whole))
+    return _HELD[key]
+
+
 def _scan(df: DataFrame, names: list[str], shared, text: str, n: int, threshold: float, leak: str, whole: tuple[str, int] | None) -> DataFrame:
-    columns = fields([f for f in df.schema if f.name in names])
+    columns, key = fields([f for f in df.schema if f.name in names]), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, n, threshold, whole and _read_counts(whole))
+        index = _index(key, shared, n, threshold, whole)
         for part in _pieces(batches, text):
             before = part.column("leaks")
             found = [_best(old + new) if old else new for old, new in zip(before.to_pylist(), index.leaks(part.column(text)), strict=True)]

@@ -170,6 +170,18 @@ def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     assert got == want and 15 < sum(map(bool, want.values())) < 60
 
 
+@pytest.mark.parametrize("span", [16, 1 << 15])
+def test_long_texts_are_cut_without_loss(monkeypatch, span):
+    monkeypatch.setattr(decontaminate, "SPAN", span)
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(30)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(6, 25)))) for k in range(8)]
+    docs = [(k, " ".join(x for _ in range(6) for x in (rng.choice(items)[1], rng.choice(vocab)))) for k in range(6)]
+    index = decontaminate.Index(items, 5, 0.8)
+    got = {(d, x["item_id"]): round(x["similarity"], 6) for (d, _), found in zip(docs, index.leaks(pa.array([t for _, t in docs])), strict=True) for x in found}
+    assert got == brute_leaks(docs, items) and len(got) > 15
+
+
 def test_fingerprints_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64)
