@@ -78,17 +78,30 @@ def store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put(uri: str, blob_parts) -> int:
-    """Write the parts as one file: under a name of its own first, renamed when whole, so that a retried task does no harm."""
-    filesystem, path = store(uri)
-    folder = path.rsplit("/", 1)[0]
-    filesystem.create_dir(folder, recursive=True)
-    draft, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with filesystem.open_output_stream(draft, compression=None) as out:
-        for part in blob_parts:
-            out.write(part)
-            size += len(part)
-    filesystem.move(draft, path)
+class Draft:
+    """A file written under a name of its own and renamed when whole, so that a retried task does no harm."""
+
+    def __init__(self, uri: str) -> None:
+        self.uri, (self.fs, self.path) = uri, store(uri)
+        self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
+        self.draft = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.fs.open_output_stream(self.draft, compression=None, buffer_size=1 << 20)
+
+    def write(self, part: bytes) -> None:
+        self.out.write(part)
+
+    def done(self) -> None:
+        self.out.close()
+        self.fs.move(self.draft, self.path)
+
+
+def put(uri: str, parts) -> int:
+    """Write the parts as one file; its size."""
+    file, size = Draft(uri), 0
+    for part in parts:
+        file.write(part)
+        size += len(part)
+    file.done()
     return size
 
 

@@ -7,7 +7,10 @@ of these numbers, so every sequence gets its place without any exchange.  The
 range is cut into equal parts, one for each shard; a shard's task sorts its
 sequences by place and writes them with a fixed stride.  The manifest's running
 sum of the shards' sizes turns place into the global slot 0, 1, 2, ...: reading
-can start at any slot with one seek.
+can start at any slot with one seek.  The number of shards follows from the bytes
+of their records, estimated at ``TOKEN`` bytes of text a token; where a token has
+less, shards are larger by that factor.  Shards are written as they come, so
+their size takes no memory; a very long text is encoded whole by its task.
 
 Record: id (int64), k (uint32), number of tokens (uint32), ``length`` tokens
 (uint16 where the vocabulary allows, else uint32; the rest of the last sequence
@@ -27,14 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import put, shared_dir, store
+from .common import Draft, checkpoint, new_path, shared_dir, store
 from .textops import U64, mix
 
 LENGTH = 512
 SHARD = 64 << 20
+TOKEN = 4
+GROUP = 1024  # shards whose records are summed together first
 NO_ID = -(1 << 63)
 MOST = 1 << 62
 
@@ -67,16 +73,18 @@ def materialise(docs: DataFrame, path: str, *, key: int = 0, length: int = LENGT
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    facts = rows.agg(F.max(F.octet_length("text")).alias("longest"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.max("id").alias("most"), F.min("id").alias("least")).first()
-    longest, total = facts["longest"] or 0, facts["bytes"] or 0
+    bpe = codec(path)
+    wide, end = bpe.size > 1 << 16, next(iter(bpe.special.values()), 0)
+    kind = np.dtype("<u4" if wide else "<u2")
+    stride = 16 + length * kind.itemsize
+    each = F.expr(f"octet_length(text) div {TOKEN * length}").cast("long") + 1  # records of a text
+    facts = rows.agg(F.max(F.octet_length("text")).alias("longest"), F.sum(each).alias("records"), F.max("id").alias("most"), F.min("id").alias("least")).first()
+    longest, total = facts["longest"] or 0, (facts["records"] or 0) * stride
     width = (longest + 1) // length + 1  # a token has a byte at least
     spread = max(2 * (facts["most"] or 0) + 1, -2 * (facts["least"] or 0)) + 1
     spread = min(spread, MOST // width)
     size = spread * width
     shards = max(1, -(-total // shard_bytes))
-    bpe = codec(path)
-    wide, end = bpe.size > 1 << 16, next(iter(bpe.special.values()), 0)
-    kind = np.dtype("<u4" if wide else "<u2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
@@ -98,39 +106,42 @@ def materialise(docs: DataFrame, path: str, *, key: int = 0, length: int = LENGT
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fill = np.full(length, end, kind).tobytes()
-        current, held, count = None, [], 0
+        current, out, count = None, None, 0
 
         def flush() -> pa.RecordBatch:
-            where = f"{folder}/shard-{current:08d}.bin"
-            put(where, held)
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([where]), pa.array([count], pa.int64())], ["shard", "path", "records"])
+            out.done()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([out.uri]), pa.array([count], pa.int64())], ["shard", "path", "records"])
 
         for batch in batches:
             for shard, d, k, tokens in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "k", "tokens")), strict=True):
-                if shard != current and held:
-                    yield flush()
-                    held, count = [], 0
-                current = shard
-                head = np.array([d], "<i8").tobytes() + np.array([k, len(tokens) // kind.itemsize], "<u4").tobytes()
-                held.append(head + tokens + fill[len(tokens) :])
+                if shard != current:
+                    if out:
+                        yield flush()
+                    current, out, count = shard, Draft(f"{new_path(folder, f'shard-{shard:08d}')}.bin"), 0
+                out.write(np.array([d], "<i8").tobytes() + np.array([k, len(tokens) // kind.itemsize], "<u4").tobytes() + tokens + fill[len(tokens) :])
                 count += 1
-        if held:
+        if out:
             yield flush()
 
     sequences = rows.mapInArrow(cut, "shard bigint, place bigint, id bigint, k int, tokens binary")
     ordered = sequences.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place", "k", "tokens")
-    done = ordered.mapInArrow(write, "shard bigint, path string, records bigint").collect()  # a row for each file
-    base, out = 0, []
-    for r in sorted(done, key=lambda r: r["shard"]):
-        out.append((r["shard"], r["path"], r["records"], 16 + length * kind.itemsize, length, base))
-        base += r["records"]
-    return spark.createDataFrame(out, "shard bigint, path string, records bigint, stride int, length int, first_slot bigint")
+    written = checkpoint(ordered.mapInArrow(write, "shard bigint, path string, records bigint"))
+    # running sums: within groups of shards, then over the groups' totals
+    group = F.expr(f"shard div {GROUP}")
+    sums = written.groupBy(group.alias("group")).agg(F.sum("records").alias("n"))
+    before = lambda order: order.rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("group", F.coalesce(F.sum("n").over(before(W.orderBy("group"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("records").over(before(W.partitionBy("group").orderBy("shard"))), F.lit(0))
+    out = written.withColumn("group", group).withColumn("inside", inside).join(sums, "group")
+    return checkpoint(out.select("shard", "path", "records", F.lit(stride).alias("stride"), F.lit(length).alias("length"), (F.col("base") + F.col("inside")).alias("first_slot")))
 
 
 def read_slots(manifest: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
     """slot, id, k, n_tokens, tokens (binary) of the slots start .. stop - 1, each shard read from one offset on."""
     wanted = manifest.where(F.col("first_slot") + F.col("records") > start)
     wanted = wanted if stop is None else wanted.where(F.col("first_slot") < stop)
+    # a row of the manifest stands for a whole shard
+    wanted = wanted.repartition(max(1, min(wanted.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "shard")
     schema = pa.schema([("slot", pa.int64()), ("id", pa.int64()), ("k", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphkin.llm import chat_format, pivot_search, training_order, url_filter, warc
+from graphkin.llm import chat_format, pivot_search, textops, training_order, url_filter, warc
 from graphkin.llm.common import shared_dir, store
 from graphkin.llm.queries import CONTROL_TEXT, URL_RULES, vocabulary
 
@@ -72,6 +72,33 @@ def test_training_order(spark):
     assert make(df.limit(0), 1).count() == 0
 
 
+def test_shards_of_short_texts(spark, monkeypatch):
+    monkeypatch.setattr(training_order, "GROUP", 3)
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(500)], "doc_id bigint, text string")
+    manifest = training_order.materialise(df, vocabulary(), length=64, shard_bytes=50 * (16 + 128))
+    rows = manifest.orderBy("shard").collect()
+    assert len(rows) == 10 and max(r["records"] for r in rows) < 100
+    assert [r["first_slot"] for r in rows] == np.cumsum([0, *(r["records"] for r in rows)])[:-1].tolist()
+    got = training_order.read_slots(manifest).orderBy("slot").collect()
+    assert [r["slot"] for r in got] == list(range(500)) and sorted(r["id"] for r in got) == list(range(500))
+
+
+def test_places_are_those_of_a_plain_feistel():
+    def plain(x, size, key):
+        half = max(1, -(-max(1, (size - 1).bit_length()) // 2))
+        mix = lambda v: int(textops.mix(np.array([v & (2**64 - 1)], np.uint64))[0])
+        while True:
+            left, right = x >> half, x % (1 << half)
+            for r in range(1, 5):
+                left, right = right, left ^ (mix(right + mix(r * 0x9E3779B97F4A7C15 + key)) % (1 << half))
+            x = left << half | right
+            if x < size:
+                return x
+
+    for size, key in ((1000, 7), (37, 123456789)):
+        assert training_order.feistel(np.arange(size), size, key).tolist() == [plain(x, size, key) for x in range(size)]
+
+
 def windows_of(turns, budget, history):
     """A plain restatement of the windows."""
     t = [chat_format.OVERHEAD + len([w for w in x.replace("\x0b", " ").split()]) for _, x in turns]
