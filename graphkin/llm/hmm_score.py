@@ -42,10 +42,10 @@ from .common import checkpoint, new_path, put, shared_dir, store, tidy
 
 STATES = 6
 ROUNDS = 4
-STRETCH = 512  # tokens whose recursions are one sequence of NumPy steps
+STRETCH = 1024  # tokens whose recursions are one sequence of NumPy steps
 SHRINK = 500.0  # pseudo-counts of the base distribution
 CHUNK = 48 << 20  # bytes of text that share a dictionary
-PIECE = 1 << 20  # bytes of text that are worked on at a time
+PIECE = 2 << 20  # bytes of text that are worked on at a time
 PAIRS = 400_000  # words of chunks that a bucket gets
 END, RARE = 0, 1  # classes of the end and of unseen words in a whole vocabulary; words follow
 _LN10 = np.log(10.0)
@@ -149,60 +149,80 @@ def _ended(first: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out_first, out
 
 
+class Steps:
+    """Sequences ordered so that those with a token at step t are contiguous, and so are the tokens of each step."""
+
+    def __init__(self, begin: np.ndarray, size: np.ndarray, codes: np.ndarray, ratio: np.ndarray) -> None:
+        self.order = np.argsort(-size, kind="stable")
+        short = np.sort(size)
+        self.live = len(short) - np.searchsorted(short, np.arange(short.max(initial=0)), side="right")
+        self.at = np.concatenate([[0], np.cumsum(self.live)])
+        step = np.repeat(np.arange(len(self.live)), self.live)
+        self.rank = np.arange(len(step)) - self.at[step]  # place of each token's sequence in the order
+        self.codes = codes[begin[self.order][self.rank] + step]
+        self.ratio = np.ascontiguousarray(ratio[self.codes].T)  # [states, tokens]
+
+    def __iter__(self) -> Iterator[tuple[int, int, slice]]:
+        """(step, sequences that have it, their tokens)."""
+        for t, n in enumerate(self.live.tolist()):
+            yield t, n, slice(int(self.at[t]), int(self.at[t]) + n)
+
+
 class Stretches:
     """Texts cut into stretches, and the forward and backward vectors at the cuts.
 
     ``enter`` holds the state probabilities before the first token of each
-    stretch, ``leave`` the normalised forward vector behind its last.
+    stretch.
     """
 
     def __init__(self, first: np.ndarray, codes: np.ndarray, model: Model, ratio: np.ndarray) -> None:
         size = np.diff(first)
-        self.model, self.ratio, self.codes = model, ratio, codes
+        self.model = model
         self.parts = -(-size // STRETCH)  # of each text; none without tokens
         self.text = np.repeat(np.arange(len(size)), self.parts)
         self.at = np.cumsum(self.parts) - self.parts  # first stretch of each text
         place = np.arange(len(self.text)) - self.at[self.text]
-        self.begin = first[:-1][self.text] + place * STRETCH
-        self.size = np.minimum(size[self.text] - place * STRETCH, STRETCH)
-        self.order = np.argsort(-self.size, kind="stable")
-        short = np.sort(self.size)
-        self.live = len(short) - np.searchsorted(short, np.arange(short.max(initial=0)), side="right")
+        self.later = np.flatnonzero(place)
+        begin = first[:-1][self.text] + place * STRETCH
+        length = np.minimum(size[self.text] - place * STRETCH, STRETCH)
+        self.steps = Steps(begin, length, codes, ratio)
         self.enter = np.tile(model.start, (len(self.text), 1))
         self.long = np.flatnonzero(self.parts > 1)
-        self.inner = np.flatnonzero(self.parts[self.text] > 1)
-        self.products = self._products() if len(self.inner) else None
+        inner = np.flatnonzero(self.parts[self.text] > 1)
+        self.products = np.zeros((len(self.text), STATES, STATES))
+        if len(inner):
+            self._multiply(inner, Steps(begin[inner], length[inner], codes, ratio))
         self._along()
 
-    def _products(self) -> np.ndarray:
-        """[stretches of long texts, states, states]: from the state before a stretch's first token to behind its last, up to a factor."""
-        inner = self.inner[np.argsort(-self.size[self.inner], kind="stable")]
-        short = np.sort(self.size[inner])
-        live = len(short) - np.searchsorted(short, np.arange(short.max(initial=0)), side="right")
-        m = np.zeros((len(inner), STATES, STATES))
-        for t, n in enumerate(live):
-            r = self.ratio[self.codes[self.begin[inner[:n]] + t]]
+    def _multiply(self, inner: np.ndarray, steps: Steps) -> None:
+        """[states, states] for each stretch of long texts: from before its first token to behind its last, up to a factor."""
+        x, back, width = np.zeros((STATES, STATES, 0)), np.ascontiguousarray(self.model.step.T), 0
+        for t, n, tokens in steps:
+            r = steps.ratio[:, None, tokens]
             if t == 0:
-                m[:n] = np.eye(STATES) * r[:, None, :]
-                continue
-            x = (m[:n].reshape(-1, STATES) @ self.model.step).reshape(n, STATES, STATES)
-            x *= r[:, None, :]
-            if t % 16 == 15 or t + 1 == len(live) or live[t + 1] < n:
-                x /= x.max(axis=(1, 2), keepdims=True)
-            m[:n] = x
-        out = np.zeros((len(self.text), STATES, STATES))
-        out[inner] = m
-        return out
+                x = np.eye(STATES)[:, :, None] * r  # [to, from, stretches]
+            else:
+                if n < width:  # some end here
+                    self._keep(inner[steps.order[n:width]], x[:, :, n:])
+                    x = np.ascontiguousarray(x[:, :, :n])
+                x = (back @ x.reshape(STATES, -1)).reshape(STATES, STATES, n)
+                x *= r
+                if t % 16 == 15:
+                    x /= x.max(axis=(0, 1))
+            width = n
+        self._keep(inner[steps.order[:width]], x)
+
+    def _keep(self, which: np.ndarray, x: np.ndarray) -> None:
+        self.products[which] = (x / x.max(axis=(0, 1))).transpose(2, 1, 0)
 
     def _along(self) -> None:
         step, texts, k = self.model.step, self.long, 0
-        while len(texts):  # a step for each stretch of the longest text
+        while len(texts):  # once for each stretch of the longest text
+            texts = texts[self.parts[texts] > k + 1]
             now = self.at[texts] + k
-            ahead = texts[self.parts[texts] > k + 1]
-            now = self.at[ahead] + k
             v = np.einsum("ni,nij->nj", self.enter[now], self.products[now])
             self.enter[now + 1] = (v / v.sum(axis=1, keepdims=True)) @ step
-            texts, k = ahead, k + 1
+            k += 1
 
     def behind(self) -> np.ndarray:
         """[stretches, states]: the backward vector behind the last token of each stretch, up to a factor."""
@@ -214,57 +234,55 @@ class Stretches:
                 out[now - 1] = v / v.sum(axis=1, keepdims=True)
         return out
 
+    def forward(self) -> tuple[np.ndarray, np.ndarray]:
+        """(normalised forward vectors [states, tokens], scales) by steps."""
+        steps, back = self.steps, np.ascontiguousarray(self.model.step.T)
+        alpha, scale = np.empty_like(steps.ratio), np.empty(steps.ratio.shape[1])
+        a = np.ascontiguousarray(self.enter[steps.order].T)
+        for t, n, tokens in steps:
+            if t:
+                a = back @ a[:, :n]
+            a *= steps.ratio[:, tokens]
+            np.add.reduce(a, axis=0, out=scale[tokens])
+            a /= scale[tokens]
+            alpha[:, tokens] = a
+        return alpha, scale
+
 
 def forward(first: np.ndarray, codes: np.ndarray, model: Model, ratio: np.ndarray) -> np.ndarray:
     """Natural logarithm of the likelihood of each text over the base model's."""
     s = Stretches(first, codes, model, ratio)
-    at, log = s.begin[s.order], np.zeros(len(s.order))
-    alpha = s.enter[s.order]
-    for t, n in enumerate(s.live):
-        a = (alpha[:n] if t == 0 else alpha[:n] @ model.step) * ratio[codes[at[:n] + t]]
-        scale = a.sum(axis=1)
-        alpha = a / scale[:, None]
-        log[:n] += np.log(scale)
-    return np.bincount(s.text[s.order], weights=log, minlength=len(first) - 1)
+    return np.bincount(s.text[s.steps.order][s.steps.rank], weights=np.log(s.forward()[1]), minlength=len(first) - 1)
 
 
 def expectations(first: np.ndarray, codes: np.ndarray, model: Model, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, step, emit [classes, states]) of whole texts by the forward-backward algorithm."""
+    """Expected counts (start, step, emit [states, classes]) of whole texts by the forward-backward algorithm."""
     s = Stretches(first, codes, model, ratio)
-    at, total = s.begin[s.order], len(codes)
-    gamma = np.zeros((total, STATES))
-    alphas, scales = [], []
-    for t, n in enumerate(s.live):
-        a = (s.enter[s.order] if t == 0 else alphas[-1][:n] @ model.step) * ratio[codes[at[:n] + t]]
-        scales.append(a.sum(axis=1, keepdims=True))
-        a /= scales[-1]
-        alphas.append(a)
-    end, into = s.behind()[s.order], np.zeros((len(s.order), STATES))
-    step, beta = np.zeros((STATES, STATES)), np.zeros((0, STATES))
-    last = np.zeros((len(s.order), STATES))
-    for t in range(len(s.live) - 1, -1, -1):
-        n, a = s.live[t], alphas[t]
-        m = s.live[t + 1] if t + 1 < len(s.live) else 0
-        full = np.empty((n, STATES))
+    steps, (alpha, scale) = s.steps, s.forward()
+    end = np.ascontiguousarray(s.behind()[steps.order].T)
+    last, into = np.zeros_like(end), np.zeros_like(end)
+    step, beta, m, after = np.zeros((STATES, STATES)), end[:, :0], 0, slice(0, 0)
+    for _, n, tokens in reversed(list(steps)):
+        full = np.empty((STATES, n))
         if m:
-            ahead = ratio[codes[at[:m] + t + 1]] * beta / scales[t + 1]
-            step += a[:m].T @ ahead
-            full[:m] = ahead @ model.step.T
+            beta *= steps.ratio[:, after]
+            beta /= scale[after]
+            step += alpha[:, tokens.start : tokens.start + m] @ beta.T
+            full[:, :m] = model.step @ beta
         if n > m:  # these end here
-            last[m:n] = a[m:n]
-            full[m:n] = end[m:n] / (a[m:n] * end[m:n]).sum(axis=1, keepdims=True)
-        beta = full
-        gamma[at[:n] + t] = a * beta
-        if t == 0:
-            into = ratio[codes[at]] * beta / scales[0]
-        alphas[t] = None
+            a = last[:, m:n] = alpha[:, tokens.start + m : tokens.stop]
+            full[:, m:] = end[:, m:n] / (a * end[:, m:n]).sum(axis=0)
+        alpha[:, tokens] *= full  # the posterior probabilities of the states
+        beta, m, after = full, n, tokens
+    if m:
+        into = beta * steps.ratio[:, after] / scale[after]
     # the steps from one stretch of a text to the next
-    where = np.empty(len(s.order), np.int64)
-    where[s.order] = np.arange(len(s.order))
-    later = np.flatnonzero(np.arange(len(s.text)) > s.at[s.text])
-    step += last[where[later - 1]].T @ into[where[later]]
-    emit = np.stack([np.bincount(codes, weights=gamma[:, k], minlength=len(ratio)) for k in range(STATES)], axis=1)
-    return gamma[first[:-1][np.diff(first) > 0]].sum(axis=0), step * model.step, emit
+    where = np.empty(len(steps.order), np.int64)
+    where[steps.order] = np.arange(len(steps.order))
+    step += last[:, where[s.later - 1]] @ into[:, where[s.later]].T
+    emit = np.stack([np.bincount(steps.codes, weights=a, minlength=len(ratio)) for a in alpha])
+    heads = where[s.at[s.parts > 0]]
+    return alpha[:, heads].sum(axis=1), step * model.step, emit
 
 
 def _encoded(docs: DataFrame, folder: str) -> DataFrame:
@@ -396,10 +414,12 @@ def _round(chunks: DataFrame, words: DataFrame, table: DataFrame | None, model:
     def worked(path: str, x: np.ndarray | None) -> dict[str, pa.Array]:
         model, h = whole.value, _read(f"{path}.words")
         ratio = model.factors(h, x)
-        emit, start, step = np.zeros((len(h) + 1, STATES)), np.zeros(STATES), np.zeros((STATES, STATES))
+        emit, start, step = np.zeros((STATES, len(h) + 1)), np.zeros(STATES), np.zeros((STATES, STATES))
         for _, first, codes in _texts(f"{path}.codes"):
             a, b, c = expectations(first, codes, model, ratio)
-            start, step, emit = start + a, step + b, emit + c
+            start, step = start + a, step + b
+            emit += c
+        emit = emit.T
         out = _parcels(path, _cut(h, buckets), {"g": emit[1:].astype(np.float32)})
         sums = np.concatenate([start[None, :], step, emit.sum(axis=0)[None, :], emit[:1]]).ravel().tolist()
         mine = textops.fold(np.frombuffer(path.encode(), np.uint8).astype(np.uint64)) % buckets  # spread over the buckets
