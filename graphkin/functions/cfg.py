@@ -1,12 +1,19 @@
-"""Features of control-flow graphs: one pass over each graph gives all that depend on its traversal."""
+"""Features of control-flow graphs.
+
+Counts of vertices are aggregates (``vertex_counts``).  What depends on the
+traversal comes from one pass over each graph: graphs are packed into a row each
+and many of them go to a task at a time.
+"""
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ENTER_ROOT, ENTER, BACK, FORWARD, LEAVE = 0, 1, 2, 3, 5
 KEPT = 64
@@ -152,14 +159,17 @@ def lump(graph: Graph, weight: dict[tuple[int, int], float]) -> tuple[list[list[
 
 
 def stationary(q: np.ndarray) -> list[float]:
-    """The largest KEPT stationary probabilities (least squares, 6 digits), descending and padded."""
-    n = len(q)
-    a = q.T - np.eye(n)
-    a[-1] = 1
-    b = np.zeros(n)
-    b[-1] = 1
-    p = np.sort(np.linalg.lstsq(a, b, rcond=None)[0].round(6) + 0.0)[::-1][:KEPT]
-    return [*p.tolist(), *[0.0] * (KEPT - len(p))]
+    """The largest KEPT stationary probabilities, descending and padded with zeros.
+
+    They solve p q = p, of which the last equation gives way to the sum of 1;
+    where that has no or many solutions, the shortest of the nearest vectors
+    counts.  Six digits are kept.
+    """
+    system = np.vstack([(q - np.eye(len(q))).T[:-1], np.ones(len(q))])
+    right = np.eye(len(q))[-1]
+    found = np.round(np.linalg.lstsq(system, right, rcond=None)[0], 6)
+    largest = sorted((float(x) + 0.0 for x in found), reverse=True)[:KEPT]  # + 0.0: no negative zero
+    return largest + [0.0] * (KEPT - len(largest))
 
 
 def features(graph: Graph) -> dict:
@@ -184,52 +194,87 @@ def features(graph: Graph) -> dict:
     for v, d in idom.items():
         tree[d].append(v)
     weight = edge_weights(graph, depth)
+    blocks, q = lump(graph, weight) if graph else ([], np.zeros((0, 0)))
     return {
         "vertex_classification": [len(graph), len(roots), sum(not t for t in graph.values()), sum(t == [v] for v, t in graph.items()), len(loops), len(heads), len(tails)],
         "edge_classification": edges,
         "cfg_signature": octal(events),
         "idt_signature": octal(traverse(tree)[0]),
         "bit_signature": bits(events),
-        "markov_lumping": stationary(lump(graph, weight)[1]) if graph else [0.0] * KEPT,
+        "markov_lumping": stationary(q) if graph else [0.0] * KEPT,
         "depth": depth,
         "idom": idom,
         "weight": weight,
+        "blocks": blocks,
     }
 
 
-def _graphs(pdf: pd.DataFrame) -> Graph:
-    graph: Graph = {int(v): [] for v in pdf["src"].dropna()}
-    for v, w in zip(pdf["src"], pdf["dst"], strict=True):
-        if pd.notna(v) and pd.notna(w):
-            graph.setdefault(int(w), [])
-            graph[int(v)].append(int(w))
-    return {v: sorted(set(t)) for v, t in graph.items()}
+FEATURES = {
+    "vertex_classification": pa.list_(pa.int32()),
+    "edge_classification": pa.list_(pa.int32()),
+    "cfg_signature": pa.string(),
+    "idt_signature": pa.string(),
+    "bit_signature": pa.string(),
+    "markov_lumping": pa.list_(pa.float64()),
+}
+VERTICES = pa.list_(pa.struct([("vertex", pa.int64()), ("depth", pa.int32()), ("idom", pa.int64()), ("block", pa.int64())]))
+WEIGHTS = pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64()), ("weight", pa.float64())]))
 
 
-def cfg_features(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Per graph (keys): the features of its edges (src, dst); a row with a null dst is a vertex.  One graph fits in a task; graphs are spread by key."""
-    kinds = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
+def _graph(src: list, dst: list) -> Graph:
+    graph: dict[int, set[int]] = {v: set() for v in src if v is not None}
+    for v, w in zip(src, dst, strict=True):
+        if v is not None and w is not None:
+            graph.setdefault(w, set())
+            graph[v].add(w)
+    return {v: sorted(t) for v, t in graph.items()}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = features(_graphs(pdf))
-        names = ["vertex_classification", "edge_classification", "cfg_signature", "idt_signature", "bit_signature", "markov_lumping"]
-        return pd.DataFrame([[*key, *(f[n] for n in names)]], columns=[*keys, *names])
 
-    schema = f"{kinds}, vertex_classification array<int>, edge_classification array<int>, cfg_signature string, idt_signature string, bit_signature string, markov_lumping array<double>"
-    return edges.select(*keys, "src", "dst").groupBy(*keys).applyInPandas(run, schema)
+def _passes(edges: DataFrame, keys: list[str], kinds: dict[str, pa.DataType], schema: str, rows) -> DataFrame:
+    """keys and the columns that rows(graph) gives for each graph.  One graph fits in a task; graphs are spread by key."""
+    packed = edges.select(*keys, F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")).distinct()
+    packed = packed.groupBy(*keys).agg(F.collect_list(F.struct("src", "dst")).alias("_edges"))
+    names = [f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_edges")
+            ends = lists.offsets.to_pylist()
+            src, dst = (lists.values.field(k).to_pylist() for k in ("src", "dst"))
+            found = [rows(_graph(src[a:b], dst[a:b])) for a, b in zip(ends, ends[1:])]  # noqa: B905
+            columns = [pa.array([f[name] for f in found], kind) for name, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns], [*keys, *kinds])
+
+    return packed.mapInArrow(run, ", ".join([*names, schema]))
 
-def cfg_details(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(vertices: keys, vertex, depth, idom; edges: keys, src, dst, weight)."""
-    kinds = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
 
-    def vertices(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = features(_graphs(pdf))
-        return pd.DataFrame([[*key, v, d, f["idom"][v]] for v, d in sorted(f["depth"].items())], columns=[*keys, "vertex", "depth", "idom"])
+def cfg_features(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Per graph (keys): the features of its edges (src, dst); a row with a null dst is a vertex."""
+    schema = "vertex_classification array<int>, edge_classification array<int>, cfg_signature string, idt_signature string, bit_signature string, markov_lumping array<double>"
+    return _passes(edges, keys, FEATURES, schema, features)
 
-    def weights(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = features(_graphs(pdf))
-        return pd.DataFrame([[*key, v, w, x] for (v, w), x in sorted(f["weight"].items())], columns=[*keys, "src", "dst", "weight"])
 
-    rows = edges.select(*keys, "src", "dst").groupBy(*keys)
-    return rows.applyInPandas(vertices, f"{kinds}, vertex bigint, depth int, idom bigint"), rows.applyInPandas(weights, f"{kinds}, src bigint, dst bigint, weight double")
+def cfg_details(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(vertices: keys, vertex, depth, idom, block (smallest vertex of the lumped block); edges: keys, src, dst, weight)."""
+
+    def each(graph: Graph) -> dict:
+        f = features(graph)
+        block = {v: members[0] for members in f["blocks"] for v in members}
+        return {
+            "vertices": [{"vertex": v, "depth": d, "idom": f["idom"][v], "block": block[v]} for v, d in sorted(f["depth"].items())],
+            "weights": [{"src": v, "dst": w, "weight": x} for (v, w), x in sorted(f["weight"].items())],
+        }
+
+    schema = "vertices array<struct<vertex: bigint, depth: int, idom: bigint, block: bigint>>, weights array<struct<src: bigint, dst: bigint, weight: double>>"
+    found = _passes(edges, keys, {"vertices": VERTICES, "weights": WEIGHTS}, schema, each)
+    return tuple(found.select(*keys, F.explode(c).alias("_x")).select(*keys, "_x.*") for c in ("vertices", "weights"))
+
+
+def vertex_counts(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Per graph, n_all, n_exit, n_trap and n_loop: vertices, those without a way out, those whose only way leads back, those with a way back to themselves."""
+    pairs = edges.select(*keys, "src", "dst").where("src IS NOT NULL")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("w")), F.struct(F.col("dst").alias("v"), F.lit(None).cast(edges.schema["dst"].dataType).alias("w"))))
+    steps = pairs.select(*keys, ends.alias("e")).select(*keys, "e.v", "e.w").where("v IS NOT NULL").distinct()
+    per = steps.groupBy(*keys, "v").agg(F.count("w").alias("out"), F.max(F.coalesce(F.col("v") == F.col("w"), F.lit(False))).alias("loop"))
+    count = lambda c: F.count_if(c).cast("int")
+    return per.groupBy(*keys).agg(F.count("*").cast("int").alias("n_all"), count(F.col("out") == 0).alias("n_exit"), count((F.col("out") == 1) & F.col("loop")).alias("n_trap"), count(F.col("loop")).alias("n_loop"))

@@ -433,9 +433,72 @@ SELECT user_id, bucket::BIGINT AS bucket, count(*)::INT AS n_all, count(*) FILTE
 """
 )
 def vertex_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = cfg.cfg_features(event_cfgs(spark, sf_dir), ["user_id", "bucket"])
-    v = F.col("vertex_classification")
-    return f.select("user_id", "bucket", v[0].alias("n_all"), v[2].alias("n_exit"), v[3].alias("n_trap"), v[4].alias("n_loop"))
+    return cfg.vertex_counts(event_cfgs(spark, sf_dir), ["user_id", "bucket"])
+
+
+#: The depth-first traversal of all graphs, a row for each graph and step: nb has the neighbours of
+#: vertex v at v + 1, nxt the next neighbour to look at, st 1 for open and 2 for closed vertices.
+DFS_SQL = f"""
+RECURSIVE {CFG_SQL},
+d AS (SELECT DISTINCT user_id, bucket, src, dst FROM g WHERE dst IS NOT NULL),
+vx AS (SELECT user_id, bucket, src AS v FROM g UNION SELECT user_id, bucket, dst FROM d),
+vo AS (SELECT vx.*, EXISTS (SELECT 1 FROM d WHERE d.user_id = vx.user_id AND d.bucket = vx.bucket AND d.dst = vx.v) AS entered FROM vx),
+gr AS (SELECT user_id, bucket, list(v ORDER BY entered, v) AS vs FROM vo GROUP BY ALL),
+na AS (SELECT user_id, bucket, src, list(dst ORDER BY dst) AS ns FROM d GROUP BY ALL),
+nb AS (SELECT gr.user_id, gr.bucket, any_value(vs) AS vs, list(coalesce(ns, []) ORDER BY k) AS nb FROM gr, range(5) r(k) LEFT JOIN na ON na.user_id = gr.user_id AND na.bucket = gr.bucket AND na.src = k GROUP BY gr.user_id, gr.bucket),
+walk(user_id, bucket, vs, nb, nxt, st, stack, code, a, b, step) AS (
+  SELECT user_id, bucket, vs, nb, [1, 1, 1, 1, 1], [0, 0, 0, 0, 0], []::BIGINT[], -1, NULL::BIGINT, NULL::BIGINT, 0 FROM nb
+  UNION ALL
+  SELECT user_id, bucket, vs, nb,
+    CASE WHEN w IS NOT NULL AND v IS NOT NULL THEN list_transform(nxt, lambda x, i: CASE WHEN i = v + 1 THEN x + 1 ELSE x END) ELSE nxt END,
+    CASE WHEN new IS NOT NULL THEN list_transform(st, lambda x, i: CASE WHEN i = new + 1 THEN 1 ELSE x END)
+      WHEN w IS NULL THEN list_transform(st, lambda x, i: CASE WHEN i = v + 1 THEN 2 ELSE x END) ELSE st END,
+    CASE WHEN new IS NOT NULL THEN list_append(stack, new) WHEN w IS NULL THEN stack[1:len(stack) - 1] ELSE stack END,
+    CASE WHEN v IS NULL THEN 0 WHEN w IS NULL THEN 5 WHEN new IS NOT NULL THEN 1 WHEN st[w + 1] = 1 THEN 2 ELSE 3 END,
+    v, w, step + 1
+  FROM (SELECT *, CASE WHEN v IS NULL THEN w WHEN st[w + 1] = 0 THEN w END AS new FROM (
+    SELECT walk.* EXCLUDE (a, b, code), stack[-1] AS v, CASE WHEN len(stack) = 0 THEN list_filter(vs, lambda x: st[x + 1] = 0)[1] ELSE nb[stack[-1] + 1][nxt[stack[-1] + 1]] END AS w FROM walk))
+  WHERE v IS NOT NULL OR w IS NOT NULL
+),
+ev AS (SELECT user_id, bucket, code, a, b, step FROM walk WHERE code >= 0),
+bk AS (SELECT user_id, bucket, a AS src, b AS dst FROM ev WHERE code = 2 AND a <> b),
+fw AS (SELECT * FROM d WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.user_id = d.user_id AND bk.bucket = d.bucket AND bk.src = d.src AND bk.dst = d.dst)),
+paths(user_id, bucket, v, n) AS (SELECT user_id, bucket, v, 0 FROM vx UNION SELECT p.user_id, p.bucket, fw.dst, n + 1 FROM paths p JOIN fw ON fw.user_id = p.user_id AND fw.bucket = p.bucket AND fw.src = p.v),
+dp AS (SELECT user_id, bucket, v, max(n) AS depth FROM paths GROUP BY ALL)
+"""
+#: Dominators by taking vertices away: x is above v if no root leads to v without it.
+DOMINATORS_SQL = """
+rt AS (SELECT user_id, bucket, b AS v FROM ev WHERE code = 0),
+away(user_id, bucket, x, v) AS (
+  SELECT rt.user_id, rt.bucket, vx.v, rt.v FROM rt JOIN vx ON vx.user_id = rt.user_id AND vx.bucket = rt.bucket AND vx.v <> rt.v
+  UNION SELECT w.user_id, w.bucket, w.x, d.dst FROM away w JOIN d ON d.user_id = w.user_id AND d.bucket = w.bucket AND d.src = w.v WHERE d.dst <> w.x),
+above AS (SELECT a.user_id, a.bucket, a.v, b.v AS x FROM vx a JOIN vx b ON a.user_id = b.user_id AND a.bucket = b.bucket AND a.v <> b.v
+  WHERE NOT EXISTS (SELECT 1 FROM away w WHERE w.user_id = a.user_id AND w.bucket = a.bucket AND w.x = b.v AND w.v = a.v)),
+high AS (SELECT user_id, bucket, v, count(*) AS n FROM above GROUP BY ALL),
+im AS (SELECT vx.user_id, vx.bucket, vx.v, coalesce(arg_max(above.x, coalesce(high.n, 0)), -1) AS idom FROM vx
+  LEFT JOIN above ON above.user_id = vx.user_id AND above.bucket = vx.bucket AND above.v = vx.v
+  LEFT JOIN high ON high.user_id = above.user_id AND high.bucket = above.bucket AND high.v = above.x GROUP BY ALL)
+"""
+WEIGHTS_SQL = """
+en AS (SELECT vx.* FROM vx LEFT JOIN d ON d.user_id = vx.user_id AND d.bucket = vx.bucket AND d.src = vx.v GROUP BY ALL HAVING count(d.dst) = 0 OR count(*) = 1 AND max(d.dst) = vx.v),
+far AS (SELECT dp.user_id, dp.bucket, dp.v, CASE WHEN bool_or(en.v = dp.v) OR count(en.v) = 0 THEN 1 ELSE 1 + max(abs(dp.depth - x.depth)) END AS far FROM dp
+  LEFT JOIN en ON en.user_id = dp.user_id AND en.bucket = dp.bucket LEFT JOIN dp x ON x.user_id = en.user_id AND x.bucket = en.bucket AND x.v = en.v GROUP BY ALL),
+wt AS (SELECT d.user_id, d.bucket, d.src, d.dst, far / sum(far) OVER (PARTITION BY d.user_id, d.bucket, d.src)::DOUBLE AS weight FROM d JOIN far ON far.user_id = d.user_id AND far.bucket = d.bucket AND far.v = d.dst)
+"""
+
+
+def _lumped_sql(rounds: int) -> str:
+    """Blocks b0, b1, ...: vertices stay together while they send the same weight to each block.  As many rounds as a graph may have vertices."""
+    out = ["b0 AS (SELECT user_id, bucket, v, '' AS b FROM vx)"]
+    for k in range(rounds):
+        out.append(
+            f"f{k} AS (SELECT wt.user_id, wt.bucket, wt.src AS v, string_agg(b || '=' || w, ',' ORDER BY b) AS f FROM (SELECT wt.user_id, wt.bucket, wt.src, t.b, round(sum(weight), 9)::VARCHAR AS w FROM wt JOIN b{k} t ON t.user_id = wt.user_id AND t.bucket = wt.bucket AND t.v = wt.dst GROUP BY ALL) wt GROUP BY ALL)"
+        )
+        out.append(f"b{k + 1} AS (SELECT s.user_id, s.bucket, s.v, md5(s.b || '|' || coalesce(f, '')) AS b FROM b{k} s LEFT JOIN f{k} f ON f.user_id = s.user_id AND f.bucket = s.bucket AND f.v = s.v)")
+    return ",\n".join(out)
+
+
+GRAPH = "user_id, bucket::BIGINT AS bucket"
 
 
 @query()
@@ -445,14 +508,53 @@ def cfg_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumns({"cfg_limbs": distance.limbs(F.col("cfg_signature")), "idt_limbs": distance.limbs(F.col("idt_signature"))})
 
 
-@query()
+@query(
+    f"""
+WITH {DFS_SQL}, {DOMINATORS_SQL},
+tree(user_id, bucket, v, path) AS (SELECT user_id, bucket, v, [v] FROM im WHERE idom = -1 UNION ALL SELECT im.user_id, im.bucket, im.v, list_append(path, im.v) FROM tree JOIN im ON im.user_id = tree.user_id AND im.bucket = tree.bucket AND im.idom = tree.v),
+te AS (SELECT user_id, bucket, path, '1' AS code FROM tree UNION ALL SELECT user_id, bucket, list_append(path, 9), '5' FROM tree),
+ts AS (SELECT user_id, bucket, string_agg(code, '' ORDER BY path) || '5' AS idt_signature FROM te GROUP BY ALL),
+cs AS (SELECT user_id, bucket, ltrim(string_agg(code::VARCHAR, '' ORDER BY step), '0') AS cfg_signature, string_agg(CASE WHEN code <= 1 THEN '1' ELSE '0' END, '' ORDER BY step) FILTER (code IN (0, 1, 5)) AS bit_signature FROM ev GROUP BY ALL)
+SELECT {GRAPH}, cfg_signature, bit_signature, idt_signature FROM cs JOIN ts USING (user_id, bucket)
+"""
+)
+def cfg_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of the traversal, in full and of entering and leaving only, and of the dominator tree."""
+    return cfg.cfg_features(event_cfgs(spark, sf_dir), ["user_id", "bucket"]).select("user_id", "bucket", "cfg_signature", "bit_signature", "idt_signature")
+
+
+@query(
+    f"""
+WITH {DFS_SQL}, heads AS (SELECT DISTINCT user_id, bucket, dst AS v FROM bk), tails AS (SELECT DISTINCT user_id, bucket, src AS v FROM bk),
+gap AS (SELECT d.*, y.depth - x.depth AS gap, h.v IS NOT NULL AND t.v IS NOT NULL AS back FROM d JOIN dp x ON x.user_id = d.user_id AND x.bucket = d.bucket AND x.v = d.src JOIN dp y ON y.user_id = d.user_id AND y.bucket = d.bucket AND y.v = d.dst
+  LEFT JOIN heads h ON h.user_id = d.user_id AND h.bucket = d.bucket AND h.v = d.dst LEFT JOIN tails t ON t.user_id = d.user_id AND t.bucket = d.bucket AND t.v = d.src),
+ec AS (SELECT user_id, bucket, count(*) FILTER (gap = 1) AS n_tree, count(*) FILTER (gap > 1) AS n_forward, count(*) FILTER (gap < 0 AND back) AS n_back, count(*) FILTER (gap < 0 AND NOT back) AS n_cross FROM gap GROUP BY ALL),
+rc AS (SELECT user_id, bucket, count(*) AS n_entry FROM ev WHERE code = 0 GROUP BY ALL), hc AS (SELECT user_id, bucket, count(*) AS n_head FROM heads GROUP BY ALL), tc AS (SELECT user_id, bucket, count(*) AS n_tail FROM tails GROUP BY ALL)
+SELECT {GRAPH}, n_entry::INT AS n_entry, coalesce(n_head, 0)::INT AS n_head, coalesce(n_tail, 0)::INT AS n_tail, coalesce(n_tree, 0)::INT AS n_tree, coalesce(n_forward, 0)::INT AS n_forward, coalesce(n_back, 0)::INT AS n_back, coalesce(n_cross, 0)::INT AS n_cross
+FROM rc LEFT JOIN hc USING (user_id, bucket) LEFT JOIN tc USING (user_id, bucket) LEFT JOIN ec USING (user_id, bucket)
+"""
+)
+def cfg_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex classes that depend on the traversal, and edge classes."""
+    f = cfg.cfg_features(event_cfgs(spark, sf_dir), ["user_id", "bucket"])
+    v, e = F.col("vertex_classification"), F.col("edge_classification")
+    return f.select("user_id", "bucket", v[1].alias("n_entry"), v[5].alias("n_head"), v[6].alias("n_tail"), e[0].alias("n_tree"), e[1].alias("n_forward"), e[2].alias("n_back"), e[3].alias("n_cross"))
+
+
+@query(f"WITH {DFS_SQL}, {DOMINATORS_SQL} SELECT {GRAPH}, v::BIGINT AS vertex, depth::INT AS depth, idom::BIGINT AS idom FROM im JOIN dp USING (user_id, bucket, v)")
 def cfg_depth_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cfg.cfg_details(event_cfgs(spark, sf_dir), ["user_id", "bucket"])[0]
+    return cfg.cfg_details(event_cfgs(spark, sf_dir), ["user_id", "bucket"])[0].drop("block")
 
 
-@query()
+@query(f"WITH {DFS_SQL}, {WEIGHTS_SQL} SELECT {GRAPH}, src::BIGINT AS src, dst::BIGINT AS dst, round(weight, 9) AS weight FROM wt")
 def cfg_edge_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cfg.cfg_details(event_cfgs(spark, sf_dir), ["user_id", "bucket"])[1]
+    return cfg.cfg_details(event_cfgs(spark, sf_dir), ["user_id", "bucket"])[1].withColumn("weight", F.round("weight", 9))
+
+
+@query(f"WITH {DFS_SQL}, {WEIGHTS_SQL}, {_lumped_sql(5)} SELECT {GRAPH}, v::BIGINT AS vertex, (min(v) OVER (PARTITION BY user_id, bucket, b))::BIGINT AS block FROM b5")
+def markov_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of the lumped chain."""
+    return cfg.cfg_details(event_cfgs(spark, sf_dir), ["user_id", "bucket"])[0].select("user_id", "bucket", "vertex", "block")
 
 
 # -- clusters and blocking
