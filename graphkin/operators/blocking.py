@@ -211,11 +211,11 @@ def agreeing(labels: DataFrame, runs: int, prob: float, cut: Cut) -> DataFrame:
 def louvain_consensus(edges: DataFrame, cut: Cut, *, runs: int = 100, prob: float = 0.95, seed: int = 1, resolution: float = 1.0) -> Hierarchy | None:
     """Communities that the runs agree on, level by level while modularity rises; None where not even one level is gained."""
     base = cut(edges.select("src", "dst", (F.coalesce(F.col("weight"), F.lit(1)) if "weight" in edges.columns else F.lit(1)).cast("bigint").alias("weight")))
-    current, levels, best = base, [], None
+    current, levels, best = base, [], 0.0
     while True:
         found = cut(agreeing(_runs(current, runs, seed, resolution), runs, prob, cut))
         score = graph.modularity(current, found.select("pk", F.col("cluster_id").alias("cluster"))).first()[0]
-        if score is None or best is not None and score <= best:
+        if score is None or score <= best:
             break
         if levels:
             up = found.select(F.col("pk").alias("below"), F.col("cluster_id").alias("above"))

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def chain(rows: DataFrame, vertex: str, order: list[str], stretch: Column) -> DataFrame:
+    """src, dst: the vertex of each row and that of the row after it in a total order; the last row has none.
+
+    stretch rises with the order.  Rows are ordered within each stretch; only the
+    first row of every stretch, one for each, is ordered as a whole.
+    """
+    rows = rows.select(*order, F.col(vertex).alias("src"), stretch.alias("_s"))
+    heads = rows.groupBy("_s").agg(F.min_by("src", F.struct(*order)).alias("_head"))
+    heads = heads.select("_s", F.lead("_head").over(W.orderBy("_s")).alias("_next"))
+    after = F.lead(F.struct("src")).over(W.partitionBy("_s").orderBy(*order))
+    steps = rows.select("_s", "src", after.alias("_after")).join(heads.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")))
+    return steps.select("src", F.when(F.col("_after").isNotNull(), F.col("_after.src")).otherwise(F.col("_next")).alias("dst"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """pk, in_degree, out_degree and the weighted ones, for every endpoint.  Both directions are summed in one shuffle."""
     w = F.coalesce(F.col("weight"), F.lit(1)) if "weight" in edges.columns else F.lit(1)

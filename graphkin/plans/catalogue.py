@@ -73,8 +73,7 @@ def user_calls(spark: SparkSession, sf_dir: str, late: bool | None = None) -> Da
     e = t(spark, sf_dir, "events")
     if late is not None:
         e = e.where(F.col("ts") >= MIDDLE) if late else e.where(F.col("ts") < MIDDLE)
-    # the order over all events is what the graph is made of; only two keys and the time go through it
-    step = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(W.orderBy("ts", "event_id")).alias("dst"))
+    step = graph.chain(e, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts"))
     return step.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
@@ -273,7 +272,8 @@ SELECT a.pk AS lhs_pk, b.pk AS rhs_pk FROM u a JOIN u b ON a.v = b.v AND a.side
 """
 )
 def exact_singleton_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("pk"), F.lit("").alias("name"), bags.text_bow(F.col("text")).alias("string_bow"))
+    d = t(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("pk"), F.lit("").alias("name"), "text")
+    d = bags.text_bow(d, "text").drop("text")
     return matchers.exact_singleton(d.where("pk % 2 = 0"), d.where("pk % 2 = 1"), ["string_bow"]).select("lhs_pk", "rhs_pk")
 
 
@@ -383,9 +383,69 @@ def assignment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+#: The distances d of the i-th user of the first half and the j-th of the second, by key.
+COSTS_SQL = f"""
+u AS (SELECT user_id, ts >= TIMESTAMP '{MIDDLE}' AS late, [{BOW_SQL}] AS v, count(DISTINCT ts::DATE)::DOUBLE AS days FROM events GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY late ORDER BY user_id) AS k FROM u),
+c AS (SELECT a.k AS i, b.k AS j, a.user_id AS x, b.user_id AS y,
+  (list_distance(a.v, b.v) / greatest(sqrt(list_inner_product(a.v, a.v)), sqrt(list_inner_product(b.v, b.v))) + abs(a.days - b.days) / greatest(a.days, b.days)) / 2 AS d FROM o a, o b WHERE NOT a.late AND b.late)
+"""
+
+
+@query(
+    f"""
+WITH RECURSIVE {COSTS_SQL},
+size AS (SELECT max(i) AS n, max(j) AS m FROM c),
+wide AS (SELECT CASE WHEN n <= m THEN i ELSE j END AS r, list(d ORDER BY CASE WHEN n <= m THEN j ELSE i END) AS ds FROM c, size GROUP BY 1),
+s(row, col, u, v, mine, came, near, done, adding) AS (
+  SELECT 1::BIGINT, 0::BIGINT, list_transform(range(least(n, m) + 1), lambda k: 0::DOUBLE), list_transform(range(greatest(n, m) + 1), lambda k: 0::DOUBLE),
+    list_transform(range(greatest(n, m) + 1), lambda k: CASE WHEN k = 0 THEN 1::BIGINT ELSE 0::BIGINT END), list_transform(range(greatest(n, m) + 1), lambda k: 0::BIGINT),
+    list_transform(range(greatest(n, m) + 1), lambda k: 'inf'::DOUBLE), list_transform(range(greatest(n, m) + 1), lambda k: false), false FROM size
+  UNION ALL
+  SELECT
+    CASE WHEN adding AND col = 0 THEN row + 1 ELSE row END,
+    CASE WHEN adding AND col = 0 THEN 0 WHEN adding THEN came[col + 1] ELSE list_position(best, least_) - 1 END,
+    CASE WHEN adding THEN u ELSE list_transform(u, lambda x, k: CASE WHEN list_contains(busy, k - 1) THEN x + least_ ELSE x END) END,
+    CASE WHEN adding THEN v ELSE list_transform(v, lambda x, k: CASE WHEN done2[k] THEN x - least_ ELSE x END) END,
+    CASE WHEN adding AND col = 0 THEN list_transform(mine, lambda x, k: CASE WHEN k = 1 THEN row + 1 ELSE x END)
+      WHEN adding THEN list_transform(mine, lambda x, k: CASE WHEN k = col + 1 THEN mine[came[col + 1] + 1] ELSE x END) ELSE mine END,
+    CASE WHEN adding THEN came ELSE came2 END,
+    CASE WHEN adding AND col = 0 THEN list_transform(near, lambda x: 'inf'::DOUBLE) WHEN adding THEN near ELSE list_transform(near2, lambda x, k: CASE WHEN done2[k] THEN x ELSE x - least_ END) END,
+    CASE WHEN adding AND col = 0 THEN list_transform(done, lambda x: false) WHEN adding THEN done ELSE done2 END,
+    CASE WHEN adding THEN col <> 0 ELSE mine[list_position(best, least_)] = 0 END
+  FROM (SELECT *, list_min(best) AS least_ FROM (SELECT *, list_transform(near2, lambda x, k: CASE WHEN done2[k] THEN 'inf'::DOUBLE ELSE x END) AS best, list_transform(list_filter(mine, lambda x, k: done2[k]), lambda x: x) AS busy FROM (
+    SELECT *, list_transform(near, lambda x, k: CASE WHEN NOT done2[k] AND red[k] < x THEN red[k] ELSE x END) AS near2, list_transform(came, lambda x, k: CASE WHEN NOT done2[k] AND red[k] < near[k] THEN col ELSE x END) AS came2 FROM (
+      SELECT s.*, list_transform(done, lambda x, k: x OR k = col + 1) AS done2, list_transform(v, lambda x, k: CASE WHEN k = 1 THEN 'inf'::DOUBLE ELSE ds[k - 1] - u[mine[col + 1] + 1] - x END) AS red
+      FROM s, size LEFT JOIN wide ON wide.r = mine[col + 1] WHERE row <= least(n, m)))))
+),
+last AS (SELECT mine FROM s, size WHERE row > least(n, m) LIMIT 1),
+chosen AS (SELECT unnest(mine) AS r, unnest(range(len(mine))) AS k FROM last)
+SELECT count(*) AS n_pairs, round(sum(ds[k]), 6) AS cost FROM chosen JOIN wide USING (r) WHERE k > 0
+"""
+)
+def assignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and total distance of the best assignment (which pairs make it up may not be unique)."""
+    found = matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW)
+    return found.agg(F.count("*").alias("n_pairs"), F.round(F.sum("distance"), 6).alias("cost"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {COSTS_SQL},
+b AS (SELECT *, min(d) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM c),
+s(i, taken, j, d) AS (
+  SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::DOUBLE
+  UNION ALL
+  SELECT i, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p.j) END, p.j, p.d FROM (
+    SELECT i, taken, min(struct_pack(d := d, j := j)) FILTER (d <= beside AND d <= below) AS p FROM (
+      SELECT b.i, taken, b.j, b.d, below, min(b.d) OVER (ORDER BY b.j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS beside FROM s JOIN b ON b.i = s.i + 1 AND NOT list_contains(taken, b.j)) GROUP BY i, taken)
+)
+SELECT x AS lhs_pk, x::VARCHAR AS lhs_name, y AS rhs_pk, y::VARCHAR AS rhs_name, round(s.d, 6) AS distance FROM s JOIN c USING (i, j)
+"""
+)
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW, how="greedy").withColumn("distance", F.round("distance", 6))
+    found = matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW, how="greedy")
+    return found.withColumn("distance", F.round("distance", 6)).drop("matcher")
 
 
 @query(f"WITH m AS ({ranked_sql('p_size').replace('WITH', 'WITH', 1)}) SELECT count(*) FILTER (lhs_name = rhs_name) AS n_match, count(*) FILTER (lhs_name <> rhs_name) AS n_mismatch FROM m")

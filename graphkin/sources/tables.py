@@ -28,6 +28,21 @@ def save(matches: DataFrame, unmatched_lhs: DataFrame, unmatched_rhs: DataFrame,
     unmatched_rhs.select("pk", "name").write.mode("overwrite").parquet(f"{path}/unmatched2")
 
 
+#: the tables that ``assemble`` takes
+RAW = ("cfg", "names", "calls", "insns", "strings", "xrefs", "types")
+
+
+def export_raw(spark: SparkSession, source: str, path: str) -> None:
+    """Write the dataset of the tables that a disassembler left in a folder."""
+    raw = {name: spark.read.parquet(f"{source}/{name}") for name in RAW}
+    export(assemble(**raw), raw["calls"].select("src", "dst").distinct(), path)
+
+
+def load_groups(spark: SparkSession, path: str, method: str) -> DataFrame:
+    """(pk, grp): the groups that a recovery method left beside a dataset."""
+    return spark.read.parquet(f"{path}/{method}").select("pk", "grp")
+
+
 def assemble(cfg: DataFrame, names: DataFrame, calls: DataFrame, insns: DataFrame, strings: DataFrame, xrefs: DataFrame, types: DataFrame) -> DataFrame:
     """functions from the tables that a disassembler gives, every row by pk.
 

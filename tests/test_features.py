@@ -109,7 +109,7 @@ def test_bags(spark):
     df = spark.createDataFrame([(1, "aab"), (1, "é"), (2, "ü"), (3, ""), (4, "a\nb")], "k int, s string")
     got = {r["k"]: r["string_bow"] for r in bags.string_bow(df, ["k"], "s").collect()}
     assert got[1][97] == 2 and got[1][98] == 1 and sum(got[1]) == 3 and sum(got[2]) == sum(got[3]) == 0 and sum(got[4]) == 3
-    direct = df.select("k", bags.text_bow(F.col("s")).alias("b")).where("s <> 'é'").collect()
+    direct = bags.text_bow(df, "s", "b").where("s <> 'é'").collect()
     assert all(r["b"] == got[r["k"]] for r in direct)
     insns = spark.createDataFrame([(1, 0b101), (1, 1 << 53), (2, 0)], "k int, m bigint")
     bow = {r["k"]: r["insn_bow"] for r in bags.insn_bow(insns, ["k"], "m").collect()}
