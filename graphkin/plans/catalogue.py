@@ -296,23 +296,41 @@ def _with_clicks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("clicks", F.col("bow")[0])
 
 
-@query(
-    f"""
-WITH {half_calls_sql("le", "<")}, {half_calls_sql("re", ">=")},
-u AS (SELECT user_id AS pk, ts >= TIMESTAMP '{MIDDLE}' AS late, count(DISTINCT ts::DATE) AS days, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY ALL),
+#: Both halves' graphs, the users, those that names match, and the degrees of all.
+HALVES_SQL = f"""
+{half_calls_sql("le", "<")}, {half_calls_sql("re", ">=")},
+u AS (SELECT user_id AS pk, ts >= TIMESTAMP '{MIDDLE}' AS late, count(DISTINCT ts::DATE) AS days, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views, [{BOW_SQL}] AS v FROM events GROUP BY ALL),
 seed AS (SELECT a.pk FROM u a JOIN u b ON a.pk = b.pk AND NOT a.late AND b.late WHERE a.clicks >= a.views AND b.clicks >= b.views),
-la AS (SELECT * FROM u WHERE NOT late AND pk NOT IN (SELECT pk FROM seed)), ra AS (SELECT * FROM u WHERE late AND pk NOT IN (SELECT pk FROM seed)),
 od AS (SELECT src AS v, count(*) AS d FROM le GROUP BY 1), od2 AS (SELECT src AS v, count(*) AS d FROM re GROUP BY 1),
 id AS (SELECT dst AS v, count(*) AS d FROM le GROUP BY 1), id2 AS (SELECT dst AS v, count(*) AS d FROM re GROUP BY 1),
-blocks AS (SELECT od.d AS degree, seed.pk AS s, 0 AS dir FROM seed JOIN od ON od.v = pk JOIN od2 ON od2.v = pk WHERE od.d = od2.d
-  UNION ALL SELECT id.d, seed.pk, 1 FROM seed JOIN id ON id.v = pk JOIN id2 ON id2.v = pk WHERE id.d = id2.d),
-lm AS (SELECT degree, s, dir, days, clicks, min(la.pk) AS pk FROM blocks JOIN le ON (dir = 0 AND le.src = s) OR (dir = 1 AND le.dst = s) JOIN la ON la.pk = CASE WHEN dir = 0 THEN le.dst ELSE le.src END GROUP BY ALL HAVING count(*) = 1),
-rm AS (SELECT degree, s, dir, days, clicks, min(ra.pk) AS pk FROM blocks JOIN re ON (dir = 0 AND re.src = s) OR (dir = 1 AND re.dst = s) JOIN ra ON ra.pk = CASE WHEN dir = 0 THEN re.dst ELSE re.src END GROUP BY ALL HAVING count(*) = 1),
-c AS (SELECT lm.degree, lm.s, lm.dir, lm.pk AS lhs_pk, rm.pk AS rhs_pk FROM lm JOIN rm USING (degree, s, dir, days, clicks)),
-k AS (SELECT *, row_number() OVER (PARTITION BY lhs_pk ORDER BY degree, s, dir, rhs_pk) AS a, row_number() OVER (PARTITION BY rhs_pk ORDER BY degree, s, dir, lhs_pk) AS b FROM c)
-SELECT lhs_pk, rhs_pk FROM k WHERE a = 1 AND b = 1
+deg AS (SELECT v, d, 0 AS dir, 0 AS side FROM od UNION ALL SELECT v, d, 0, 1 FROM od2 UNION ALL SELECT v, d, 1, 0 FROM id UNION ALL SELECT v, d, 1, 1 FROM id2),
+near AS (SELECT DISTINCT src AS v, dst AS n, 0 AS dir, 0 AS side FROM le UNION SELECT dst, src, 1, 0 FROM le UNION SELECT src, dst, 0, 1 FROM re UNION SELECT dst, src, 1, 1 FROM re)
 """
-)
+
+
+def blocks_sql(matched: str, fresh: str = "TRUE") -> str:
+    """blocks of the fresh pairs (l, r) of a relation, and lm and rm: the rows that it leaves unmatched among the neighbours of each."""
+    member = lambda side, key, col: (
+        f"SELECT degree, l, r, dir, days, clicks, v.pk, v.v AS bow FROM blocks b JOIN near ON near.side = {side} AND near.dir = b.dir AND near.v = b.{key} JOIN u v ON v.pk = near.n AND v.late = ({side} = 1) WHERE v.pk NOT IN (SELECT {col} FROM {matched})"
+    ).replace("b JOIN near ON", "AS b JOIN near ON").replace("degree, l, r, dir, days", "b.degree, b.l, b.r, b.dir, days")
+    return f"""
+blocks AS (SELECT x.d AS degree, m.l, m.r, x.dir FROM {matched} m JOIN deg x ON x.v = m.l AND x.side = 0 JOIN deg y ON y.v = m.r AND y.side = 1 AND y.dir = x.dir AND y.d = x.d WHERE {fresh}),
+lm AS ({member(0, "l", "l")}), rm AS ({member(1, "r", "r")})
+"""
+
+
+#: pairs c (degree, l, r, dir, lhs_pk, rhs_pk) that come first for both their rows
+SETTLED_SQL = """
+k AS (SELECT *, row_number() OVER (PARTITION BY lhs_pk ORDER BY degree, l, r, dir, rhs_pk) AS a, row_number() OVER (PARTITION BY rhs_pk ORDER BY degree, l, r, dir, lhs_pk) AS b FROM c)
+"""
+#: unique vectors of days and clicks in each block
+UNIQUE_SQL = """
+c AS (SELECT x.degree, x.l, x.r, x.dir, x.lhs_pk, y.rhs_pk FROM (SELECT degree, l, r, dir, days, clicks, min(pk) AS lhs_pk FROM lm GROUP BY ALL HAVING count(*) = 1) x
+  JOIN (SELECT degree, l, r, dir, days, clicks, min(pk) AS rhs_pk FROM rm GROUP BY ALL HAVING count(*) = 1) y USING (degree, l, r, dir, days, clicks))
+"""
+
+
+@query(f"WITH {HALVES_SQL}, sd AS (SELECT pk AS l, pk AS r FROM seed), {blocks_sql('sd')}, {UNIQUE_SQL}, {SETTLED_SQL} SELECT lhs_pk, rhs_pk FROM k WHERE a = 1 AND b = 1")
 def structural_exact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, le, re, seeds = _two_windows(spark, sf_dir)
     a, b = _with_clicks(a), _with_clicks(b)
@@ -320,10 +338,24 @@ def structural_exact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lhs_pk", "rhs_pk")
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE {HALVES_SQL},
+s(l, r, fresh, whole, n) AS (
+  SELECT pk, pk, true, true, 0 FROM seed
+  UNION ALL (
+    WITH {blocks_sql("s", "fresh")}, {UNIQUE_SQL}, {SETTLED_SQL}, new AS (SELECT lhs_pk, rhs_pk FROM k WHERE a = 1 AND b = 1), many AS (SELECT count(*) AS c FROM new)
+    SELECT l, r, c = 0, c = 0, n + 1 FROM s, many WHERE c > 0 OR NOT whole
+    UNION ALL SELECT lhs_pk, rhs_pk, true, false, (SELECT max(n) + 1 FROM s) FROM new
+  )
+)
+SELECT l AS lhs_pk, r AS rhs_pk FROM s WHERE n = (SELECT max(n) FROM s)
+"""
+)
 def structural_exact_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, le, re, seeds = _two_windows(spark, sf_dir)
-    return matchers.structural(cut(seeds), cut(_with_clicks(a)), cut(_with_clicks(b)), cut(le), cut(re), DAYS, cut)
+    found = matchers.structural(cut(seeds), cut(_with_clicks(a)), cut(_with_clicks(b)), cut(le), cut(re), DAYS, cut)
+    return found.select("lhs_pk", "rhs_pk")
 
 
 @query()
@@ -332,10 +364,37 @@ def structural_inexact_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchers.structural_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), le, re, BOW, how="optimal")
 
 
-@query()
+#: Greedy assignment in all blocks at once: dist(block columns, i, j, lhs_pk, rhs_pk, d) row by row.
+def greedy_sql(by: str) -> str:
+    return f"""
+below AS (SELECT *, min(d) OVER (PARTITION BY {by}, j ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM dist),
+g({by}, i, taken, j) AS (
+  SELECT DISTINCT {by}, 0::BIGINT, []::BIGINT[], NULL::BIGINT FROM dist
+  UNION ALL
+  SELECT {by}, i, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p.j) END, p.j FROM (
+    SELECT {by}, i, taken, min(struct_pack(d := d, j := j)) FILTER (d <= beside AND d <= below) AS p FROM (
+      SELECT {by}, b.i, taken, b.j, b.d, below, min(b.d) OVER (PARTITION BY {by} ORDER BY b.j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS beside
+      FROM (SELECT * EXCLUDE (j) REPLACE (i + 1 AS i) FROM g) JOIN below b USING ({by}, i) WHERE NOT list_contains(taken, b.j)) GROUP BY ALL)
+),
+c AS (SELECT dist.* FROM g JOIN dist USING ({by}, i, j))
+"""
+
+
+BOW_DISTANCE_SQL = "(list_distance(a.bow, b.bow) / greatest(sqrt(list_inner_product(a.bow, a.bow)), sqrt(list_inner_product(b.bow, b.bow))) + abs(a.days - b.days) / greatest(a.days, b.days)::DOUBLE) / 2"
+
+
+@query(
+    f"""
+WITH RECURSIVE {HALVES_SQL}, sd AS (SELECT pk AS l, pk AS r FROM seed), {blocks_sql("sd")},
+ln AS (SELECT *, row_number() OVER (PARTITION BY degree, l, r, dir ORDER BY pk) AS i FROM lm), rn AS (SELECT *, row_number() OVER (PARTITION BY degree, l, r, dir ORDER BY pk) AS j FROM rm),
+dist AS (SELECT degree, l, r, dir, i, j, a.pk AS lhs_pk, b.pk AS rhs_pk, {BOW_DISTANCE_SQL} AS d FROM ln a JOIN rn b USING (degree, l, r, dir)),
+{greedy_sql("degree, l, r, dir")}, {SETTLED_SQL} SELECT lhs_pk, rhs_pk, round(d, 6) AS distance FROM k WHERE a = 1 AND b = 1
+"""
+)
 def structural_greedy_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, le, re, seeds = _two_windows(spark, sf_dir)
-    return matchers.structural_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), le, re, BOW, how="greedy")
+    found = matchers.structural_round(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), le, re, BOW, how="greedy")
+    return found.withColumn("distance", F.round("distance", 6))
 
 
 SEEDS_SQL = f"m AS ({ranked_sql('name').replace('WITH ' + PARTS_SQL, '')})"
