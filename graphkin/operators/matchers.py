@@ -121,18 +121,28 @@ def _block_members(blocks: DataFrame, rows: DataFrame, edges: DataFrame, side: s
     return blocks.join(out.distinct(), [side, "dir"]).join(rows, "pk")
 
 
-def structural_round(seeds: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
-    """lhs_pk, rhs_pk, distance: what one pass over the neighbourhoods of matched pairs finds.  how: exact, optimal or greedy."""
+def _in_blocks(blocks: DataFrame, a: DataFrame, b: DataFrame, by: list[str], vector: FeatureVector, how: str) -> DataFrame:
+    """by, lhs_pk, rhs_pk, distance: the pairs of every block, each for itself."""
+    if how == "exact":
+        return _unique_pairs(a, b, by, vector.names).withColumn("distance", F.lit(0.0))
+    block = F.concat_ws("/", *(F.format_string("%020d", F.col(c).cast("long")) for c in by))
+    pairs = assign(a.withColumn("block", block), b.withColumn("block", block), vector, how=how)
+    return pairs.join(blocks.withColumn("block", block), "block").drop("block")
+
+
+STRUCTURAL, MONOTONIC = ["degree", "lpk", "rpk", "dir"], ["lo", "ro", "w"]
+
+
+def structural_pairs(seeds: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
+    """degree, lpk, rpk, dir, lhs_pk, rhs_pk, distance: what is found in the neighbourhoods of each matched pair.  how: exact, optimal or greedy."""
     blocks = structural_blocks(seeds, lhs_edges, rhs_edges)
     a, b = _block_members(blocks, lhs, lhs_edges, "lpk"), _block_members(blocks, rhs, rhs_edges, "rpk")
-    by = ["degree", "lpk", "rpk", "dir"]
-    if how == "exact":
-        pairs = _unique_pairs(a, b, by, vector.names).withColumn("distance", F.lit(0.0))
-    else:
-        block = F.concat_ws("/", *(F.format_string("%020d", F.col(c).cast("long")) for c in by))
-        pairs = assign(a.withColumn("block", block), b.withColumn("block", block), vector, how=how)
-        pairs = pairs.join(blocks.withColumn("block", block), "block").drop("block")
-    return _settle(pairs, by).select("lhs_pk", "rhs_pk", "distance")
+    return _in_blocks(blocks, a, b, STRUCTURAL, vector, how)
+
+
+def structural_round(seeds: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
+    """lhs_pk, rhs_pk, distance: what one pass over the neighbourhoods of matched pairs finds."""
+    return _settle(structural_pairs(seeds, lhs, rhs, lhs_edges, rhs_edges, vector, how=how), STRUCTURAL).select("lhs_pk", "rhs_pk", "distance")
 
 
 def windows(matches: DataFrame, *, buckets: int = 1024) -> DataFrame:
@@ -160,18 +170,15 @@ def _in_windows(gaps: DataFrame, rows: DataFrame, start: str) -> DataFrame:
     return g.join(r, "bin").where((F.col("pk") > F.col(start)) & (F.col("pk") <= F.col(start) + F.col("w"))).drop("bin")
 
 
+def monotonic_pairs(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
+    """lo, ro, w, lhs_pk, rhs_pk, distance: what is found in each window between matches."""
+    gaps = windows(matches)
+    return _in_blocks(gaps, _in_windows(gaps, lhs, "lo"), _in_windows(gaps, rhs, "ro"), MONOTONIC, vector, how)
+
+
 def monotonic_round(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
     """lhs_pk, rhs_pk, distance: what one pass over the windows between matches finds."""
-    gaps = windows(matches)
-    a, b = _in_windows(gaps, lhs, "lo"), _in_windows(gaps, rhs, "ro")
-    by = ["lo", "ro", "w"]
-    if how == "exact":
-        pairs = _unique_pairs(a, b, by, vector.names).withColumn("distance", F.lit(0.0))
-    else:
-        block = F.concat_ws("/", *by)
-        pairs = assign(a.withColumn("block", block), b.withColumn("block", block), vector, how=how)
-        pairs = pairs.join(gaps.withColumn("block", block), "block").drop("block")
-    return _settle(pairs, by).select("lhs_pk", "rhs_pk", "distance")
+    return _settle(monotonic_pairs(matches, lhs, rhs, vector, how=how), MONOTONIC).select("lhs_pk", "rhs_pk", "distance")
 
 
 def fixpoint(step: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame], matches: DataFrame, lhs: DataFrame, rhs: DataFrame, matcher: str, cut: Cut, *, new_only: bool = False) -> DataFrame:

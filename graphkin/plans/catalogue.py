@@ -8,6 +8,7 @@ Every query runs over whole tables.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import bags, cfg, distance
 from ..functions.aggregate import vector_sum
-from ..functions.schema import FeatureSpec, FeatureVector
+from ..functions.schema import FUNCTION_FEATURES, FeatureSpec, FeatureVector
 from ..operators import assignment, blocking, dataset, graph, matchers, modular
 from ..operators.components import connected_components
+from ..sources import tables
 from .diff import Options, Side, diff
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +43,17 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in spark.checkpoint.dir; a temporary folder where that is unset (tests)."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder; spark.checkpoint.dir, or a temporary one where that is unset (tests), if it has none yet."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphkin-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphkin-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -148,9 +156,9 @@ def dataset_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.semi(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), keys, "c_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def dataset_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    keys = t(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return dataset.anti(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), keys, "c_custkey")
 
 
@@ -442,26 +450,18 @@ def assignment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW).withColumn("distance", F.round("distance", 6))
 
 
-#: The distances d of the i-th user of the first half and the j-th of the second, by key.
-COSTS_SQL = f"""
-u AS (SELECT user_id, ts >= TIMESTAMP '{MIDDLE}' AS late, [{BOW_SQL}] AS v, count(DISTINCT ts::DATE)::DOUBLE AS days FROM events GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY late ORDER BY user_id) AS k FROM u),
-c AS (SELECT a.k AS i, b.k AS j, a.user_id AS x, b.user_id AS y,
-  (list_distance(a.v, b.v) / greatest(sqrt(list_inner_product(a.v, a.v)), sqrt(list_inner_product(b.v, b.v))) + abs(a.days - b.days) / greatest(a.days, b.days)) / 2 AS d FROM o a, o b WHERE NOT a.late AND b.late)
-"""
-
-
-@query(
-    f"""
-WITH RECURSIVE {COSTS_SQL},
-size AS (SELECT max(i) AS n, max(j) AS m FROM c),
-wide AS (SELECT CASE WHEN n <= m THEN i ELSE j END AS r, list(d ORDER BY CASE WHEN n <= m THEN j ELSE i END) AS ds FROM c, size GROUP BY 1),
-s(row, col, u, v, mine, came, near, done, adding) AS (
-  SELECT 1::BIGINT, 0::BIGINT, list_transform(range(least(n, m) + 1), lambda k: 0::DOUBLE), list_transform(range(greatest(n, m) + 1), lambda k: 0::DOUBLE),
+def solve_sql(by: str) -> str:
+    """costs (by, n_pairs, cost) of the best assignment in each block of dist (by, i, j, d): shortest augmenting paths, a step for each row of s."""
+    on = " AND ".join(f"wide.{c} = x.{c}" for c in by.split(", "))
+    return f"""
+size AS (SELECT {by}, max(i) AS n, max(j) AS m FROM dist GROUP BY ALL),
+wide AS (SELECT {by}, CASE WHEN n <= m THEN i ELSE j END AS line, list(d ORDER BY CASE WHEN n <= m THEN j ELSE i END) AS ds FROM dist JOIN size USING ({by}) GROUP BY ALL),
+s({by}, few, row, col, u, v, mine, came, near, done, adding) AS (
+  SELECT {by}, least(n, m), 1::BIGINT, 0::BIGINT, list_transform(range(least(n, m) + 1), lambda k: 0::DOUBLE), list_transform(range(greatest(n, m) + 1), lambda k: 0::DOUBLE),
     list_transform(range(greatest(n, m) + 1), lambda k: CASE WHEN k = 0 THEN 1::BIGINT ELSE 0::BIGINT END), list_transform(range(greatest(n, m) + 1), lambda k: 0::BIGINT),
     list_transform(range(greatest(n, m) + 1), lambda k: 'inf'::DOUBLE), list_transform(range(greatest(n, m) + 1), lambda k: false), false FROM size
   UNION ALL
-  SELECT
+  SELECT {by}, few,
     CASE WHEN adding AND col = 0 THEN row + 1 ELSE row END,
     CASE WHEN adding AND col = 0 THEN 0 WHEN adding THEN came[col + 1] ELSE list_position(best, least_) - 1 END,
     CASE WHEN adding THEN u ELSE list_transform(u, lambda x, k: CASE WHEN list_contains(busy, k - 1) THEN x + least_ ELSE x END) END,
@@ -472,16 +472,26 @@ s(row, col, u, v, mine, came, near, done, adding) AS (
     CASE WHEN adding AND col = 0 THEN list_transform(near, lambda x: 'inf'::DOUBLE) WHEN adding THEN near ELSE list_transform(near2, lambda x, k: CASE WHEN done2[k] THEN x ELSE x - least_ END) END,
     CASE WHEN adding AND col = 0 THEN list_transform(done, lambda x: false) WHEN adding THEN done ELSE done2 END,
     CASE WHEN adding THEN col <> 0 ELSE mine[list_position(best, least_)] = 0 END
-  FROM (SELECT *, list_min(best) AS least_ FROM (SELECT *, list_transform(near2, lambda x, k: CASE WHEN done2[k] THEN 'inf'::DOUBLE ELSE x END) AS best, list_transform(list_filter(mine, lambda x, k: done2[k]), lambda x: x) AS busy FROM (
+  FROM (SELECT *, list_min(best) AS least_ FROM (SELECT *, list_transform(near2, lambda x, k: CASE WHEN done2[k] THEN 'inf'::DOUBLE ELSE x END) AS best, list_filter(mine, lambda x, k: done2[k]) AS busy FROM (
     SELECT *, list_transform(near, lambda x, k: CASE WHEN NOT done2[k] AND red[k] < x THEN red[k] ELSE x END) AS near2, list_transform(came, lambda x, k: CASE WHEN NOT done2[k] AND red[k] < near[k] THEN col ELSE x END) AS came2 FROM (
-      SELECT s.*, list_transform(done, lambda x, k: x OR k = col + 1) AS done2, list_transform(v, lambda x, k: CASE WHEN k = 1 THEN 'inf'::DOUBLE ELSE ds[k - 1] - u[mine[col + 1] + 1] - x END) AS red
-      FROM s, size LEFT JOIN wide ON wide.r = mine[col + 1] WHERE row <= least(n, m)))))
+      SELECT x.*, list_transform(done, lambda y, k: y OR k = col + 1) AS done2, list_transform(v, lambda y, k: CASE WHEN k = 1 THEN 'inf'::DOUBLE ELSE ds[k - 1] - u[mine[col + 1] + 1] - y END) AS red
+      FROM s x LEFT JOIN wide ON {on} AND wide.line = mine[col + 1] WHERE row <= few))))
 ),
-last AS (SELECT mine FROM s, size WHERE row > least(n, m) LIMIT 1),
-chosen AS (SELECT unnest(mine) AS r, unnest(range(len(mine))) AS k FROM last)
-SELECT count(*) AS n_pairs, round(sum(ds[k]), 6) AS cost FROM chosen JOIN wide USING (r) WHERE k > 0
+ends AS (SELECT {by}, unnest(mine) AS line, unnest(range(len(mine))) AS k FROM s WHERE row > few),
+costs AS (SELECT {by}, count(*) AS n_pairs, round(sum(ds[k]), 6) AS cost FROM ends JOIN wide USING ({by}, line) WHERE k > 0 GROUP BY ALL)
 """
-)
+
+
+#: The distances d of the i-th user of the first half and the j-th of the second, by key.
+COSTS_SQL = f"""
+u AS (SELECT user_id, ts >= TIMESTAMP '{MIDDLE}' AS late, [{BOW_SQL}] AS v, count(DISTINCT ts::DATE)::DOUBLE AS days FROM events GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY late ORDER BY user_id) AS k FROM u),
+c AS (SELECT a.k AS i, b.k AS j, a.user_id AS x, b.user_id AS y,
+  (list_distance(a.v, b.v) / greatest(sqrt(list_inner_product(a.v, a.v)), sqrt(list_inner_product(b.v, b.v))) + abs(a.days - b.days) / greatest(a.days, b.days)) / 2 AS d FROM o a, o b WHERE NOT a.late AND b.late)
+"""
+
+
+@query(f"WITH RECURSIVE {COSTS_SQL}, dist AS (SELECT 0 AS one, i, j, d FROM c), {solve_sql('one')} SELECT n_pairs, cost FROM costs")
 def assignment_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs and total distance of the best assignment (which pairs make it up may not be unique)."""
     found = matchers.inexact_singleton(users(spark, sf_dir, False), users(spark, sf_dir, True), BOW)
@@ -507,6 +517,41 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("distance", F.round("distance", 6)).drop("matcher")
 
 
+@query(
+    f"""
+WITH RECURSIVE {HALVES_SQL}, sd AS (SELECT pk AS l, pk AS r FROM seed), {blocks_sql("sd")},
+ln AS (SELECT *, row_number() OVER (PARTITION BY degree, l, r, dir ORDER BY pk) AS i FROM lm), rn AS (SELECT *, row_number() OVER (PARTITION BY degree, l, r, dir ORDER BY pk) AS j FROM rm),
+dist AS (SELECT degree, l, r, dir, i, j, {BOW_DISTANCE_SQL} AS d FROM ln a JOIN rn b USING (degree, l, r, dir)),
+{solve_sql("degree, l, r, dir")}
+SELECT degree, l AS lpk, r AS rpk, dir, n_pairs, cost FROM costs
+"""
+)
+def structural_inexact_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and total distance of the best assignment in each neighbourhood, before those that share a row are settled."""
+    a, b, le, re, seeds = _two_windows(spark, sf_dir)
+    pairs = matchers.structural_pairs(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), le, re, BOW, how="optimal")
+    return pairs.groupBy(*matchers.STRUCTURAL).agg(F.count("*").alias("n_pairs"), F.round(F.sum("distance"), 6).alias("cost"))
+
+
+@query(
+    f"""
+WITH RECURSIVE {PARTS_SQL}, {SEEDS_SQL}, {GAPS_SQL},
+ka AS (SELECT pk, length(p_type) AS kind, p_size FROM l WHERE pk NOT IN (SELECT lhs_pk FROM m)), kb AS (SELECT pk, length(p_type) AS kind, p_size FROM r WHERE pk NOT IN (SELECT rhs_pk FROM m)),
+x AS (SELECT lo, ro, w, kind, p_size, row_number() OVER (PARTITION BY lo, ro, w ORDER BY pk) AS i FROM w JOIN ka ON pk > lo AND pk <= lo + w),
+y AS (SELECT lo, ro, w, kind, p_size, row_number() OVER (PARTITION BY lo, ro, w ORDER BY pk) AS j FROM w JOIN kb ON pk > ro AND pk <= ro + w),
+dist AS (SELECT lo, ro, w, i, j, (abs(x.kind - y.kind) / greatest(x.kind, y.kind)::DOUBLE + abs(x.p_size - y.p_size) / greatest(x.p_size, y.p_size)::DOUBLE) / 2 AS d FROM x JOIN y USING (lo, ro, w)),
+{solve_sql("lo, ro, w")}
+SELECT lo, ro, w, n_pairs, cost FROM costs
+"""
+)
+def monotonic_inexact_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and total distance of the best assignment in each window, before those that share a row are settled."""
+    a, b = (x.withColumn("kind", F.length("p_type")) for x in parts(spark, sf_dir))
+    seeds = matchers.by_name(a, b)
+    pairs = matchers.monotonic_pairs(seeds, matchers.remaining(a, seeds, "lhs"), matchers.remaining(b, seeds, "rhs"), KIND, how="optimal")
+    return pairs.groupBy(*matchers.MONOTONIC).agg(F.count("*").alias("n_pairs"), F.round(F.sum("distance"), 6).alias("cost"))
+
+
 @query(f"WITH m AS ({ranked_sql('p_size').replace('WITH', 'WITH', 1)}) SELECT count(*) FILTER (lhs_name = rhs_name) AS n_match, count(*) FILTER (lhs_name <> rhs_name) AS n_mismatch FROM m")
 def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchers.report(matchers.optimistic(*parts(spark, sf_dir), F.col("p_size")))
@@ -524,6 +569,82 @@ def unmatched_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchers.remaining(b, matchers.by_name(a, b), "rhs").select("pk", "name")
 
 
+# -- sources and sinks
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Users as functions, in the tables that a disassembler would give."""
+    e = t(spark, sf_dir, "events")
+    pk = F.col("user_id").alias("pk")
+    kind = F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")).cast("int") - 1
+    per = e.groupBy(pk).agg(F.count("*").alias("code"), F.countDistinct("event_type").alias("data"))
+    return {
+        "cfg": event_cfgs(spark, sf_dir).select(pk, "src", "dst"),
+        "names": per.select("pk", F.concat(F.lit("u"), F.col("pk").cast("string")).alias("name")),
+        "calls": user_calls(spark, sf_dir),
+        "insns": e.select(pk, kind.alias("i")).select("pk", F.expr("shiftleft(1L, i)").alias("mask")),
+        "strings": e.select(pk, F.col("event_type").alias("text")),
+        "xrefs": per.select("pk", "code", "data"),
+        "types": per.select("pk", (F.col("pk") % 3 == 0).alias("is_import"), (F.col("pk") % 2 == 0).alias("is_export")),
+    }
+
+
+@query(
+    f"""
+WITH {CFG_SQL}, {CALLS_SQL},
+d AS (SELECT DISTINCT user_id, src, dst FROM g WHERE dst IS NOT NULL), vx AS (SELECT user_id, src AS v FROM g UNION SELECT user_id, dst FROM d),
+vc AS (SELECT vx.user_id, vx.v, count(d.dst) AS o, count(*) FILTER (d.dst = vx.v) AS s FROM vx LEFT JOIN d ON d.user_id = vx.user_id AND d.src = vx.v GROUP BY ALL),
+vn AS (SELECT user_id, count(*) AS n_all, count(*) FILTER (o = 0) AS n_exit, count(*) FILTER (s = 1) AS n_loop FROM vc GROUP BY ALL),
+od AS (SELECT src, count(*) AS out_degree FROM calls GROUP BY src),
+x AS (SELECT user_id, count(*) AS code, count(DISTINCT event_type) AS data, count(*) FILTER (event_type = 'purchase') AS purchases, sum(length(replace(event_type, 'e', 'ee')) - length(event_type)) AS e_chars FROM events GROUP BY user_id)
+SELECT user_id AS pk, 'u' || user_id AS name, CASE WHEN user_id % 3 = 0 THEN 1 WHEN user_id % 2 = 0 THEN 2 ELSE 0 END AS function_type, n_all::INT AS n_all, n_exit::INT AS n_exit, n_loop::INT AS n_loop,
+  code::INT AS code, data::INT AS data, coalesce(out_degree, 0)::INT AS out_degree, purchases::INT AS purchases, e_chars::INT AS e_chars
+FROM x JOIN vn USING (user_id) LEFT JOIN od ON src = user_id
+"""
+)
+def export_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset made of raw tables, written and loaded again."""
+    folder = f"{shared(spark)}/dataset-{uuid.uuid4().hex}"
+    for name, rows in _raw(spark, sf_dir).items():
+        rows.write.parquet(f"{folder}/raw/{name}")
+    tables.export_raw(spark, f"{folder}/raw", f"{folder}/set")
+    rows, _ = tables.load(spark, f"{folder}/set")
+    v, r = F.col("vertex_classification"), F.col("in_degree")
+    return rows.select("pk", "name", "function_type", v[0].alias("n_all"), v[2].alias("n_exit"), v[4].alias("n_loop"), r[0].alias("code"), r[1].alias("data"), "out_degree", F.col("insn_bow")[2].alias("purchases"), F.col("string_bow")[101].alias("e_chars"))
+
+
+@query(f"WITH {CALLS_SQL} SELECT src, dst, weight FROM calls")
+def export_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of a dataset, written and loaded again."""
+    folder = f"{shared(spark)}/dataset-{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], "pk bigint, name string").select("pk", "name", *(f.zero().alias(f.name) for f in FUNCTION_FEATURES.features))
+    tables.export(empty, user_calls(spark, sf_dir), folder)
+    return tables.load(spark, folder)[1]
+
+
+@query(ranked_sql("name"))
+def matched_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, sf_dir, "matched").drop("distance", "matcher")
+
+
+@query(
+    f"WITH m AS ({ranked_sql('name')}) SELECT 1 AS side, p_partkey AS pk, p_name AS name FROM part WHERE p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT lhs_pk FROM m) "
+    "UNION ALL SELECT 2, p_partkey, p_name FROM part WHERE p_partkey % 2 = 1 AND p_partkey NOT IN (SELECT rhs_pk FROM m)"
+)
+def unmatched_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, sf_dir, "unmatched1", "unmatched2")
+
+
+def _saved(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    a, b = parts(spark, sf_dir)
+    found, folder = matchers.by_name(a, b), f"{shared(spark)}/result-{uuid.uuid4().hex}"
+    tables.save(found, matchers.remaining(a, found, "lhs"), matchers.remaining(b, found, "rhs"), folder)
+    if len(names) == 1:
+        return spark.read.parquet(f"{folder}/{names[0]}")
+    sides = [spark.read.parquet(f"{folder}/{name}").select(F.lit(k).alias("side"), "pk", "name") for k, name in enumerate(names, 1)]
+    return sides[0].union(sides[1])
+
+
 # -- features
 
 
