@@ -239,6 +239,30 @@ def vector_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("pk", F.concat(F.lit("["), F.array_join(BOW.flatten().cast("array<string>"), ", "), F.lit("]")).alias("flat"))
 
 
+@query(
+    f"WITH u AS (SELECT user_id, ts >= TIMESTAMP '{MIDDLE}' AS late, [{BOW_SQL}] AS v, count(DISTINCT ts::DATE) AS days FROM events GROUP BY ALL) "
+    "SELECT a.user_id AS pk, round(list_distance(a.v, b.v) / greatest(sqrt(list_inner_product(a.v, a.v)), sqrt(list_inner_product(b.v, b.v))), 6) AS bow_distance, round(abs(a.days - b.days) / greatest(a.days, b.days)::DOUBLE, 6) AS days_distance, "
+    "(a.v[1] + b.v[1])::BIGINT AS clicks, (a.v[5] + b.v[5])::BIGINT AS views, (a.days + b.days)::BIGINT AS days FROM u a JOIN u b ON a.user_id = b.user_id AND NOT a.late AND b.late"
+)
+def feature_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature's own distance and sum."""
+    a, b = users(spark, sf_dir, False), users(spark, sf_dir, True)
+    both = a.join(b.withColumnsRenamed({"bow": "bow2", "days": "days2", "name": "name2"}), "pk")
+    apart = both.select("pk", *(F.round(BOW[f].distance(F.col(f), F.col(f"{f}2")), 6).alias(f"{f}_distance") for f in BOW.names))
+    sums = vector_sum(a.unionByName(b), ["pk"], BOW).select("pk", F.col("bow")[0].cast("bigint").alias("clicks"), F.col("bow")[4].cast("bigint").alias("views"), F.col("days").cast("bigint").alias("days"))
+    return apart.join(sums, "pk")
+
+
+@query(
+    "SELECT unnest(['function_type', 'vertex_classification', 'edge_classification', 'in_degree', 'out_degree', 'cfg_signature', 'idt_signature', 'insn_bow', 'string_bow', 'markov_lumping']) AS feature, unnest([1, 7, 4, 2, 1, 0, 0, 54, 256, 64]) AS slots, 0.0::DOUBLE AS total"
+)
+def feature_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zero vector of the function schema: slots of each feature (a signature has no limbs) and their sum."""
+    zeros = [F.struct(F.lit(f.name).alias("feature"), (f.zero() if f.is_array else F.array(f.zero())).cast("array<double>").alias("v")) for f in FUNCTION_FEATURES.features]
+    rows = spark.range(1).select(F.explode(F.array(*zeros)).alias("z")).select("z.*")
+    return rows.select("feature", F.size("v").alias("slots"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"))
+
+
 # -- matchers
 
 
@@ -906,6 +930,47 @@ def twin_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.twins(order_edges(spark, sf_dir))
 
 
+def _small_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' control-flow graphs as one graph of many components with up to five vertices."""
+    vertex = lambda c: ((F.col("user_id") * 16 + F.col("bucket")) * 8 + F.col(c)).cast("bigint").alias(c)
+    return event_cfgs(spark, sf_dir).where("dst IS NOT NULL").select(vertex("src"), vertex("dst"))
+
+
+#: All sets of vertices of a component are tried as modules; those that overlap no other make up the tree.
+MODULES_SQL = f"""
+WITH RECURSIVE {CFG_SQL},
+d AS (SELECT DISTINCT user_id * 16 + bucket AS h, src AS a, dst AS b FROM g WHERE dst IS NOT NULL),
+vx AS (SELECT h, a AS v FROM d UNION SELECT h, b FROM d),
+un AS (SELECT h, a, b FROM d WHERE a <> b UNION SELECT h, b, a FROM d WHERE a <> b),
+am AS (SELECT vx.h, vx.v, coalesce(bit_or(1 << b), 0) AS near FROM vx LEFT JOIN un ON un.h = vx.h AND un.a = vx.v GROUP BY ALL),
+reach(h, v, w) AS (SELECT h, v, v FROM vx UNION SELECT r.h, r.v, un.b FROM reach r JOIN un ON un.h = r.h AND un.a = r.w),
+co AS (SELECT h, v, bit_or(1 << w) AS whole FROM reach GROUP BY ALL),
+sets AS (SELECT h, whole, k AS s FROM (SELECT DISTINCT h, whole FROM co), range(1, 32) r(k) WHERE k & whole = k AND bit_count(k) > 1),
+mo AS (SELECT * FROM sets WHERE NOT EXISTS (SELECT 1 FROM am WHERE am.h = sets.h AND sets.whole & (1 << am.v) <> 0 AND sets.s & (1 << am.v) = 0 AND am.near & sets.s NOT IN (0, sets.s))),
+st AS (SELECT * FROM mo WHERE NOT EXISTS (SELECT 1 FROM mo o WHERE o.h = mo.h AND o.whole = mo.whole AND o.s & mo.s <> 0 AND o.s & mo.s <> o.s AND o.s & mo.s <> mo.s)),
+within(h, s, co, v) AS (
+  SELECT st.h, s, flip, min(v) FROM st JOIN vx ON vx.h = st.h AND s & (1 << v) <> 0, (VALUES (false), (true)) f(flip) GROUP BY ALL
+  UNION SELECT w.h, w.s, w.co, b.v FROM within w JOIN am a ON a.h = w.h AND a.v = w.v JOIN vx b ON b.h = w.h AND w.s & (1 << b.v) <> 0 AND b.v <> w.v WHERE (a.near & (1 << b.v) <> 0) <> w.co),
+split AS (SELECT h, s, bool_or(NOT co AND n < bit_count(s)) AS parallel, bool_or(co AND n < bit_count(s)) AS series FROM (SELECT h, s, co, count(*) AS n FROM within GROUP BY ALL) GROUP BY ALL),
+up AS (SELECT co.h, co.v, arg_min(st.s, bit_count(st.s)) AS s FROM co JOIN st ON st.h = co.h AND st.whole = co.whole AND st.s & (1 << co.v) <> 0 GROUP BY ALL),
+leaf AS (SELECT up.h * 8 + v AS pk, min(up.h * 8 + v) OVER (PARTITION BY up.h, up.s) AS module, CASE WHEN parallel THEN 'PARALLEL' WHEN series THEN 'SERIES' ELSE 'PRIME' END AS kind FROM up JOIN split ON split.h = up.h AND split.s = up.s),
+lone AS (SELECT h * 8 + v AS pk, min(h * 8 + v) OVER () AS module, 'PARALLEL' AS kind FROM co WHERE bit_count(whole) = 1)
+SELECT pk::BIGINT AS pk, module::BIGINT AS module, kind FROM (SELECT * FROM leaf UNION ALL SELECT * FROM lone)
+"""
+
+
+@query(MODULES_SQL)
+def small_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modular.modules(_small_graphs(spark, sf_dir), cut)
+
+
+@query(f"SELECT module AS cluster_id, kind AS cluster_type, count(*) AS n, min(pk) AS first_pk, max(pk) AS last_pk FROM ({MODULES_SQL}) GROUP BY ALL")
+def modular_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decomposition as a hierarchy of three levels."""
+    h = blocking.modular_hierarchy(_small_graphs(spark, sf_dir), cut)
+    return h.membership.join(h.at(1), ["level", "cluster_id"]).groupBy("cluster_id", "cluster_type").agg(F.count("*").alias("n"), F.min("pk").alias("first_pk"), F.max("pk").alias("last_pk"))
+
+
 PLANES = [[(k * k + 3 * d * k + d * d + k * d * d) % 17 - 8 for d in range(64)] for k in range(1, 17)]
 
 
@@ -926,8 +991,15 @@ def louvain_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.membership if h else spark.createDataFrame([], "level int, cluster_id bigint, pk bigint")
 
 
-@query()
+@query(
+    f"""
+WITH {ORDERS_SQL}, n AS (SELECT a, count(DISTINCT b) AS n, min(b) AS first FROM e GROUP BY a)
+SELECT DISTINCT b AS pk, CASE WHEN n = 1 THEN least(n.a, b) ELSE first END AS module, CASE WHEN n = 1 THEN 'SERIES' ELSE 'PARALLEL' END AS kind FROM e JOIN n ON n.a = e.a
+UNION ALL SELECT a, CASE WHEN n = 1 THEN least(a, first) ELSE a END, 'SERIES' FROM n
+"""
+)
 def modular_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component is a customer amid orders: next to the customer stand the orders, in parallel if there are several."""
     return modular.modules(order_edges(spark, sf_dir), cut)
 
 
