@@ -92,9 +92,7 @@ WITH pg AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), hosts AS (
   SELECT host, count(*) AS n, sum(bad) AS bad,
-    CASE WHEN regexp_matches(host, '\.(co|com|org|net|ac|gov|edu)\.[a-z]{2}$') THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.')
-      ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain,
-    list_extract(string_split(host, '.'), -1) AS suffix
+    dom(host) AS domain, suf(host) AS suffix
   FROM (SELECT pg.host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad FROM pg JOIN labels ON page_id = doc_id)
   WHERE bad IS NOT NULL GROUP BY host
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
@@ -110,9 +108,7 @@ k3 AS (SELECT 1 / greatest(0.001, least(0.5, coalesce((sum(n * (bad::DOUBLE / n
 j AS (
   SELECT pg.*, kappa * coalesce(r2, r1, r0) + coalesce(h.bad, 0) AS a, kappa * (1 - coalesce(r2, r1, r0)) + coalesce(h.n, 0) - coalesce(h.bad, 0) AS b
   FROM pg LEFT JOIN hosts h ON pg.host = h.host
-  LEFT JOIN d ON d.domain = CASE WHEN regexp_matches(pg.host, '\.(co|com|org|net|ac|gov|edu)\.[a-z]{2}$') THEN array_to_string(list_slice(string_split(pg.host, '.'), -3, -1), '.')
-      ELSE array_to_string(list_slice(string_split(pg.host, '.'), -2, -1), '.') END
-  LEFT JOIN s ON s.suffix = list_extract(string_split(pg.host, '.'), -1), top, k3
+  LEFT JOIN d ON d.domain = dom(pg.host) LEFT JOIN s ON s.suffix = suf(pg.host), top, k3
 ), m AS (
   SELECT page_id, host, path, CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END AS own,
     CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -124,6 +120,20 @@ j AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN own WHEN rule IN ('org/', 'com/fr/') THEN 'allow' ELSE 'block' END AS verdict FROM m
 """
+_NAME = r"regexp_replace(regexp_replace(HOST, '(?s)^.*@', ''), '\.?(:[0-9]*)?$', '')"
+_LAST = r"array_to_string(list_slice(string_split(NAME, '.'), -(CASE WHEN regexp_matches(NAME, '(^|\.)(co|com|org|net|ac|gov|edu)\.[a-z]{2}$') THEN 2 ELSE 1 END + MORE), -1), '.')"
+_PICK = r"CASE WHEN regexp_matches(NAME, '^([0-9]+(\.[0-9]+){3}|\[.*)$') THEN OTHER ELSE LAST END"
+
+
+def _domains(sql: str) -> str:
+    """The functions dom and suf of a host, written out."""
+    for host in ("host", "pg.host"):
+        for f, more, other in (("dom", "1", "NAME"), ("suf", "0", "''")):
+            sql = sql.replace(f"{f}({host})", _PICK.replace("LAST", _LAST).replace("MORE", more).replace("OTHER", other).replace("NAME", _NAME).replace("HOST", host))
+    return sql
+
+
+OP7_SQL = _domains(OP7_SQL)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,12 +173,32 @@ def test_url_rules(spark):
         None: ("", "", None, "allow"),
         "http://u.net?q=http://v.org/": ("u.net", "", None, "allow"),
     }
-    df = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string").withColumns({"Host": F.lit("old"), "n": F.lit(1), "kappa": F.lit(1)})
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string").withColumns({"Host": F.lit("old"), "n": F.lit(1), "kappa": F.lit(1), "_by_rule": F.lit(7), "domain": F.lit("d")})
     none = spark.createDataFrame([], "host string, bad int")
-    got = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, none, URL_RULES).collect()}
+    got = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, none, URL_RULES).where("_by_rule = 7 AND domain = 'd'").collect()}
     assert got == cases
 
 
+def test_domains(spark):
+    hosts = {
+        "a.b.example.org": ("example.org", "org"),
+        "a.b.example.co.uk": ("example.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "user@www.x.net:8080": ("x.net", "net"),
+        "x.net.": ("x.net", "net"),
+        "10.0.0.7:80": ("10.0.0.7", ""),
+        "[::1]": ("[::1]", ""),
+        "localhost": ("localhost", "localhost"),
+        "": ("", ""),
+        "a.city.kawasaki.jp": ("kawasaki.jp", "jp"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_domains(df).collect()} == hosts
+    table = spark.createDataFrame([("org",), ("uk",), ("co.uk",), ("kawasaki.jp",), ("jp",), ("Net",)], "suffix string")
+    listed = hosts | {"a.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp")}
+    assert {r["host"]: (r["domain"], r["suffix"]) for r in url_filter.with_domains(df, table).collect()} == listed
+
+
 def test_host_reputation(spark):
     labels = [("bad.spam.net", 1)] * 40 + [("ok.fine.net", 0)] * 40 + [("new.spam.net", 1), ("mixed.fine.net", 1), ("mixed.fine.net", None)] + [(f"h{k}.fine.net", 0) for k in range(30)]
     urls = ["http://bad.spam.net/", "http://ok.fine.net/", "http://mixed.fine.net/", "http://unknown.org/"]
