@@ -48,7 +48,7 @@ from .common import checkpoint, most_frequent
 
 MAX_HEAVY = 1 << 18
 HEAVY_DF = 16  # a token in more documents than this may be heavy
-PIECE = 4 << 20
+PIECE = 1 << 20
 HALF = np.uint64(1 << 63)
 MAX_BITS = 1 << 27  # of a sieve
 LARGE = 4096  # pairs of one list beyond which it is verified by blocks
@@ -213,23 +213,32 @@ def _possible(percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & indexed & (F.least(n - i, m - j) >= need)
 
 
-def _whole_sets(need: DataFrame, docs: DataFrame, *, id_col: str, text: str, n: int) -> DataFrame:
-    """f, key, s: the whole sets of at least the documents of need (f and the key of one document with that set)."""
+def _whole_sets(need: DataFrame, docs: DataFrame, *, id_col: str, text: str, n: int, repeated: bool) -> DataFrame:
+    """f, key, s: the whole sets of at least the documents of need (f and the key of one document with that set).
+
+    repeated: some key stands for several rows of one text; then each (f, key)
+    is kept once, by a sum that shuffles as the joins do.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_sieve(need))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = shared.value
+        sieve, seen = shared.value, set()
         for part in _pieces(_selected(batches, sieve), "text"):
-            sets = _sets(part.column("text"), n)
+            sets, keys = _sets(part.column("text"), n), part.column("key").to_pylist()
+            f = [textops.fold(s) for s in sets]
+            if repeated:
+                own = [k for k, x in enumerate(zip(f, keys, strict=True)) if x not in seen and not seen.add(x)]
+                sets, keys, f = [sets[k] for k in own], [keys[k] for k in own], [f[k] for k in own]
             first = np.zeros(len(sets) + 1, np.int64)
             np.cumsum([len(s) for s in sets], out=first[1:])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([textops.fold(s) for s in sets], pa.int64()), part.column("key"), textops.list_array(first, flat)], ["f", "key", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(keys, pa.string()), textops.list_array(first, flat)], ["f", "key", "s"])
 
-    return _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, key string, s array<bigint>").where("size(s) > 0")
+    sets = _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, key string, s array<bigint>").where("size(s) > 0")
+    return sets.groupBy("f", "key").agg(F.first("s").alias("s")) if repeated else sets
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int, repeated: bool) -> DataFrame:
     """The pairs (a, b) of texts whose sets are similar enough.  reps: f and the key of one document with that set.
 
     Both sides join the same table of sets on the same columns, so its texts are
@@ -239,7 +248,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str,
     named = pairs.join(reps.withColumnsRenamed({"f": "a", "key": "ka"}), "a").join(reps.withColumnsRenamed({"f": "b", "key": "kb"}), "b")
     named = checkpoint(named.select("a", "ka", "b", "kb"))
     need = checkpoint(named.select(F.col("a").alias("f"), F.col("ka").alias("key")).union(named.select("b", "kb")).distinct())
-    sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n)
+    sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n, repeated=repeated)
     at = lambda side, f, key: (F.col(f) == F.col(f"{side}.f")) & (F.col(key) == F.col(f"{side}.key"))
     both = named.join(sets.alias("x"), at("x", "a", "ka")).join(sets.alias("y"), at("y", "b", "kb"))
     x, y = F.col("x.s"), F.col("y.s")
@@ -247,7 +256,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str,
     return both.where(common * 100 >= (F.size(x) + F.size(y) - common) * percent).select("a", "b").distinct()
 
 
-def _verify_clusters(members: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
+def _verify_clusters(members: DataFrame, docs: DataFrame, reps: DataFrame, *, id_col: str, text: str, n: int, percent: int, repeated: bool) -> DataFrame:
     """Links (a, b) between texts of one cluster and different roots, one of them minor, without a row for each pair.
 
     members: c (cluster), f, n (set size), root, minor.  A cluster is cut by
@@ -260,7 +269,7 @@ def _verify_clusters(members: DataFrame, docs: DataFrame, reps: DataFrame, *, id
     parts = members.groupBy("c", "b").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("parts"))
     placed = members.join(parts, ["c", "b"]).withColumn("h", F.pmod(F.xxhash64("f"), F.col("parts")))
     need = checkpoint(members.select("f").distinct().join(reps, "f"))
-    sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n)
+    sets = _whole_sets(need, docs, id_col=id_col, text=text, n=n, repeated=repeated)
     rows = placed.join(need, "f").join(sets, ["f", "key"]).dropDuplicates(["c", "b", "h", "f"]).select("c", "b", "h", "f", "root", "minor", "s")
 
     def pack(table: pa.Table) -> pa.Table:
@@ -306,14 +315,18 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
     heavy = heavy_tokens(docs, text, n)
     sig = checkpoint(signatures(docs, heavy, **how))
     full = sig.where("n > 0")
-    texts = checkpoint(full.groupBy("g", "f").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("m")).select("g", "f", "m.id", "m.key"))
+    # a text is read through a document whose id is not repeated, if it has one
+    rows = full.groupBy("g", "f", "id", "key").agg((F.count("*") > 1).alias("again"))
+    texts = rows.groupBy("g", "f").agg(F.min("id").alias("id"), F.min(F.struct("again", F.col("id").isNull().alias("none"), "id", "key")).alias("m"))
+    texts = checkpoint(texts.select("g", "f", "id", "m.key", "m.again"))
+    repeated = not texts.where("again").isEmpty()
     leads = texts.groupBy("g").agg(F.min(F.struct("f", "key")).alias("m")).select("g", F.col("m.f").alias("lead"), F.col("m.key").alias("key"))
     post = postings(docs, heavy, leads.select(F.col("lead").alias("f"), "key"), **how)
     # groups that share no token with another are of no use: one shuffle finds the others
     post = post.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").select("token", "g", "n", "pos")
     post = checkpoint(post).withColumn("n", F.col("n").cast("bigint")).withColumn("ip", _index_prefix(F.col("n"), percent))
 
-    verify = lambda pairs: _verify(pairs, docs, texts.select("f", "key"), **how)
+    verify = lambda pairs: _verify(pairs, docs, texts.select("f", "key"), repeated=repeated, **how)
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     # first pass: a few centres for each token, and each group's lead for its texts
@@ -365,7 +378,7 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
         seen.append(found)
         more = verify(found)
         if last:
-            more = more.union(_verify_clusters(crowd.join(named, "g").select("c", "f", "n", "root", "minor"), docs, texts.select("f", "key"), **how))
+            more = more.union(_verify_clusters(crowd.join(named, "g").select("c", "f", "n", "root", "minor"), docs, texts.select("f", "key"), repeated=repeated, **how))
         more = checkpoint(more)
         if not more.isEmpty():
             links = checkpoint(links.union(more).distinct())

@@ -87,6 +87,15 @@ def test_ngram_join_of_odd_tables(spark):
     assert got == [("3", 3), ("3", 3), ("4", 4), ("None", 3), ("None", 3), ("None", None)]
 
 
+def test_ngram_join_of_many_repeated_rows(spark):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(500)}" for _ in range(40)]
+    near = [*base[:-1], "other"]
+    rows = [(None, " ".join(base))] * 5000 + [(None, " ".join(near))] * 5000 + [(7, " ".join(near[:-1]))] * 2 + [(8, "one two")] * 3
+    got = Counter((r["doc_id"], r["component_id"]) for r in ngram_join.components(spark.createDataFrame(rows, DOCS).repartition(6), n=4, percent=85).collect())
+    assert got == {(None, 7): 10000, (7, 7): 2, (8, 8): 3}
+
+
 def brute_leaks(docs, items, threshold=0.8):
     """Every window of an item's size, by multiset weights."""
     items = [(i, t) for i, t in items if split(t)]
