@@ -32,7 +32,7 @@ as null; columns named ``leaks`` are replaced, all others pass through.
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,59 +63,42 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-class _Size:
-    """The items of one number of words: their fingerprints, by blocks, and the items of each known shingle.
+class Prints:
+    """The items' fingerprints, looked up by blocks together with the number of words.
 
     Two blocks within two bits of each other have a value within one bit of both
     in common, so items and windows stand for 1 + WIDTH values of each block.
     """
 
-    def __init__(self, members: list[int], prints: np.ndarray) -> None:
-        self.members = np.array(members)
+    def __init__(self, prints: np.ndarray, words: np.ndarray) -> None:
         self.prints = prints
-        self.shingles, self.first, self.owners, self.mass = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(len(members))
         self.blocks = []
         for b in range(BLOCKS):
-            values = self._near(prints, b)
-            order = np.argsort(values.ravel(), kind="stable")
-            self.blocks.append((values.ravel()[order], order // (1 + WIDTH)))
+            values = self._near(prints, words, b).ravel()
+            order = np.argsort(values, kind="stable")
+            self.blocks.append((values[order], order // (1 + WIDTH)))
 
     @staticmethod
-    def _near(prints: np.ndarray, b: int) -> np.ndarray:
-        """[prints, 1 + WIDTH]: a block's value, and all at one bit."""
+    def _near(prints: np.ndarray, words: np.ndarray, b: int) -> np.ndarray:
+        """[prints, 1 + WIDTH]: number of words and a block's value, and all at one bit."""
         own = ((prints >> np.uint64(WIDTH * b)) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
-        return own[:, None] ^ np.r_[0, 1 << np.arange(WIDTH)][None, :]
+        return (own[:, None] ^ np.r_[0, 1 << np.arange(WIDTH)][None, :]) | words.astype(np.int64)[:, None] << WIDTH
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, member) pairs within the radius."""
+    def candidates(self, prints: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs of equal length within the radius."""
         pairs = [np.zeros(0, np.int64)]
         for b, (values, owners) in enumerate(self.blocks):
-            probes = self._near(prints, b).ravel()
-            lo, hi = np.searchsorted(values, probes, side="left"), np.searchsorted(values, probes, side="right")
-            some = np.flatnonzero(hi > lo)
-            size = (hi - lo)[some]
-            flat = np.arange(int(size.sum())) + np.repeat(lo[some] - np.cumsum(size) + size, size)
-            pairs.append(np.repeat(some // (1 + WIDTH), size) * len(self.members) + owners[flat])
+            probes = self._near(prints, words, b).ravel()
+            lo = np.searchsorted(values, probes)
+            some = np.flatnonzero(values[np.minimum(lo, len(values) - 1)] == probes)
+            if len(some):
+                size = np.searchsorted(values, probes[some], side="right") - lo[some]
+                flat = np.arange(int(size.sum())) + np.repeat(lo[some] - np.cumsum(size) + size, size)
+                pairs.append(np.repeat(some // (1 + WIDTH), size) * len(self.prints) + owners[flat])
         both = np.unique(np.concatenate(pairs))
-        w, m = both // len(self.members), both % len(self.members)
+        w, m = both // len(self.prints), both % len(self.prints)
         ok = np.bitwise_count(prints[w] ^ self.prints[m]) <= RADIUS
-        return w[ok], self.members[m[ok]]
-
-    def post(self, bags: list[Counter], mass: list[float]) -> None:
-        keys = np.array([h for bag in bags for h in bag], dtype=np.uint64)
-        owners = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-        order = np.argsort(keys, kind="stable")
-        self.shingles, first = np.unique(keys[order], return_index=True)
-        self.first, self.owners, self.mass = np.append(first, len(keys)), owners[order], np.array(mass)
-
-    def sharing(self, window: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
-        """Members whose similarity to the window can reach the threshold by the weight of the window's shingles that they have."""
-        at = np.minimum(np.searchsorted(self.shingles, window), len(self.shingles) - 1)
-        ok = self.shingles[at] == window
-        at, size = at[ok], self.first[at[ok] + 1] - self.first[at[ok]]
-        flat = np.arange(int(size.sum())) + np.repeat(self.first[at] - np.cumsum(size) + size, size)
-        both = np.bincount(self.owners[flat], weights=np.repeat(weight[ok], size), minlength=len(self.members))
-        return self.members[both >= (threshold - 1e-8) * (weight.sum() + self.mass - both)]
+        return w[ok], m[ok]
 
 
 def _item_shingles(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -131,10 +114,10 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]], n: int, threshold: float, whole: tuple[np.ndarray, np.ndarray, int] | None = None) -> None:
         self.n, self.threshold = n, threshold
-        self.ids, self.bags, by_size = [], [], defaultdict(list)
+        self.ids, self.bags, words = [], [], []
         has: Counter = Counter()
         for k, m, s in _item_shingles(pa.array([t or "" for _, t in items], pa.string()), n):
-            by_size[m].append(len(self.ids))
+            words.append(m)
             self.ids.append(items[k][0])
             self.bags.append(Counter(s.tolist()))
             if whole is None:
@@ -149,14 +132,19 @@ class Index:
         self.sieve = np.zeros(SIEVE, dtype=bool)
         self.sieve[(self.known & np.uint64(SIEVE - 1)).astype(np.int64)] = True
         self.mass = [sum(w * c for w, c in zip(self._weigh(np.array(list(bag), dtype=np.uint64))[0].tolist(), bag.values(), strict=True)) for bag in self.bags]
-        self.sizes = {m: _Size(members, self._prints(members)) for m, members in by_size.items()}
-        for size in self.sizes.values():
-            size.post([self.bags[k] for k in size.members], [self.mass[k] for k in size.members])
+        self.words, self.sizes = np.array(words, np.int64), sorted(set(words))
+        self.prints = Prints(self._prints(), self.words)
+        # the items that have each known shingle
+        keys = np.array([h for bag in self.bags for h in bag], dtype=np.uint64)
+        owners = np.repeat(np.arange(len(self.bags)), [len(bag) for bag in self.bags])
+        order = np.argsort(keys, kind="stable")
+        self.owners, self.first = owners[order], np.searchsorted(keys[order], np.append(self.known, np.uint64(0)))
+        self.first[-1] = len(keys)
 
-    def _prints(self, members: list[int]) -> np.ndarray:
+    def _prints(self) -> np.ndarray:
         out = []
-        for k in members:
-            s = np.array(list(self.bags[k].elements()), dtype=np.uint64)
+        for bag in self.bags:
+            s = np.array(list(bag.elements()), dtype=np.uint64)
             out.append(_pack((_bits(s) * self._weigh(s)[0].astype(np.float32)[:, None]).sum(axis=0, keepdims=True))[0])
         return np.array(out, dtype=np.uint64)
 
@@ -170,12 +158,13 @@ class Index:
         return round(both / (mine + self.mass[item] - both), 9)
 
     def _weigh(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(weights, which of them some item has)."""
+        """(weights, place among the known shingles or -1)."""
         maybe = np.flatnonzero(self.sieve[(s & np.uint64(SIEVE - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
-        ok = self.known[at] == s[maybe]
-        w, known = np.full(len(s), self.unknown), np.zeros(len(s), dtype=bool)
-        w[maybe[ok]], known[maybe[ok]] = self.weights[at[ok]], True
+        w, known = np.full(len(s), self.unknown), np.full(len(s), -1, np.int64)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.known, s[maybe]), len(self.known) - 1)
+            ok = self.known[at] == s[maybe]
+            w[maybe[ok]], known[maybe[ok]] = self.weights[at[ok]], at[ok]
         return w, known
 
     def leaks(self, column: pa.Array) -> list[list[dict]]:
@@ -191,7 +180,7 @@ class Index:
             if not len(s):
                 continue
             weight, known = self._weigh(s)
-            touched = np.unique(np.searchsorted(s_first, np.flatnonzero(known), side="right") - 1)
+            touched = np.unique(np.searchsorted(s_first, np.flatnonzero(known >= 0), side="right") - 1)
             for d in touched:
                 a, b = int(s_first[d]), int(s_first[d + 1])
                 self._document(int(d), s[a:b], weight[a:b], known[a:b], sizes, n, best)
@@ -202,7 +191,7 @@ class Index:
         return out
 
     def _document(self, d: int, s: np.ndarray, weight: np.ndarray, known: np.ndarray, sizes: list[int], n: int, best: dict) -> None:
-        at = np.flatnonzero(known)
+        at = np.flatnonzero(known >= 0)
         widest = max(sizes)
         cuts = np.flatnonzero(np.diff(at) > 2 * widest) + 1
         for run in np.split(at, cuts):  # stretches around known shingles
@@ -213,28 +202,52 @@ class Index:
     def _stretch(self, d: int, s: np.ndarray, weight: np.ndarray, known: np.ndarray, lo: int, hi: int, stop: int, sizes: list[int], n: int, best: dict) -> None:
         """The windows that lie in lo .. hi and start before stop."""
         w, k = weight[lo:hi], known[lo:hi]
-        total, hits = np.r_[0.0, np.cumsum(w)], np.r_[0.0, np.cumsum(w * k)]
-        sums = None
+        total, hits = np.r_[0.0, np.cumsum(w)], np.r_[0.0, np.cumsum(w * (k >= 0))]
+        begin, length = {}, {}
         for m in sizes:
             span = min(m - n + 1, len(s))
             if span > hi - lo:
                 continue
             mass, hit = (total[span:] - total[:-span])[: stop - lo], (hits[span:] - hits[:-span])[: stop - lo]
             starts = np.flatnonzero((hit >= self.threshold * mass - 1e-9) & (hit > 0))
-            if not len(starts):
+            if len(starts):
+                begin[m], length[m] = starts, span
+        if not begin:
+            return
+        pairs = {(m, int(x), item) for m, x, item in self._sharing(w, k, total, begin, length)}
+        at, words = np.concatenate(list(begin.values())), np.repeat(list(begin), [len(x) for x in begin.values()])
+        ends = at + np.array([length[m] for m in words.tolist()])
+        sums = np.zeros((hi - lo + 1, 64))
+        np.cumsum(_bits(s[lo:hi]) * w[:, None], axis=0, out=sums[1:])
+        for x, item in zip(*self.prints.candidates(_pack(sums[ends] - sums[at]), words), strict=True):
+            pairs.add((int(words[x]), int(at[x]), int(item)))
+        for m, x, item in sorted(pairs):
+            start = lo + x
+            sim = self.similarity(s[start : start + length[m]], item)
+            key = (d, self.ids[item])
+            if sim >= self.threshold and (key not in best or (-sim, start, m) < (-best[key][3], best[key][1], best[key][2])):
+                best[key] = (item, start, m, sim)
+
+    def _sharing(self, w: np.ndarray, k: np.ndarray, total: np.ndarray, begin: dict[int, np.ndarray], length: dict[int, int]) -> Iterator[tuple[int, int, int]]:
+        """(words, start, item) of windows whose similarity to the item can reach the threshold by the weight of their shingles that it has."""
+        at = np.flatnonzero(k >= 0)
+        size = self.first[k[at] + 1] - self.first[k[at]]
+        flat = np.arange(int(size.sum())) + np.repeat(self.first[k[at]] - np.cumsum(size) + size, size)
+        owners, places = self.owners[flat], np.repeat(at, size)
+        order = np.argsort(owners, kind="stable")
+        owners, places = owners[order], places[order]
+        cuts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(owners)], strict=True):
+            item = int(owners[a])
+            m = int(self.words[item])
+            if m not in begin:
                 continue
-            if sums is None:
-                sums = np.zeros((hi - lo + 1, 64))
-                np.cumsum(_bits(s[lo:hi]) * w[:, None], axis=0, out=sums[1:])
-            pairs = set(zip(*(x.tolist() for x in self.sizes[m].candidates(_pack(sums[starts + span] - sums[starts]))), strict=True))
-            for x, at in enumerate(starts.tolist()):
-                pairs.update((x, item) for item in self.sizes[m].sharing(s[lo + at : lo + at + span], w[at : at + span], self.threshold).tolist())
-            for x, item in sorted(pairs):
-                start = lo + int(starts[x])
-                sim = self.similarity(s[start : start + span], int(item))
-                key = (d, self.ids[item])
-                if sim >= self.threshold and (key not in best or (-sim, start, m) < (-best[key][3], best[key][1], best[key][2])):
-                    best[key] = (int(item), start, m, sim)
+            own, starts = places[a:b], begin[m]
+            sums = np.r_[0.0, np.cumsum(w[own])]
+            both = sums[np.searchsorted(own, starts + length[m])] - sums[np.searchsorted(own, starts)]
+            mass = total[starts + length[m]] - total[starts]
+            for x in starts[both >= (self.threshold - 1e-8) * (mass + self.mass[item] - both)].tolist():
+                yield m, x, item
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -193,15 +193,16 @@ def test_long_texts_are_cut_without_loss(monkeypatch, span):
 
 def test_fingerprints_within_the_radius():
     rng = np.random.default_rng(1)
-    prints = rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64)
-    index = decontaminate._Size(list(range(200)), prints)
-    probe = prints[:50].copy()
-    for k in range(50):
-        for b in rng.choice(64, rng.integers(0, 30), replace=False):
+    prints, words = rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64), rng.integers(5, 8, 200)
+    index = decontaminate.Prints(prints, words)
+    probe, own = prints[:100].copy(), words[:100].copy()
+    for k in range(100):
+        for b in rng.choice(64, rng.integers(0, 16), replace=False):
             probe[k] ^= np.uint64(1) << np.uint64(b)
-    w, m = index.candidates(probe)
-    far = np.bitwise_count(probe[:, None] ^ prints[None, :])
-    assert set(zip(w.tolist(), m.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS)), strict=True))
+    own[:10] += 1
+    w, m = index.candidates(probe, own)
+    near = (np.bitwise_count(probe[:, None] ^ prints[None, :]) <= decontaminate.RADIUS) & (own[:, None] == words[None, :])
+    assert set(zip(w.tolist(), m.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)) and 50 < near.sum() < 100
 
 
 def library():
