@@ -1006,6 +1006,45 @@ def modular_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- whole diffs
 
 
+#: The whole exact diff, a pass in each step: phase 0 and 2 neighbourhoods, 1 unique vectors, 3 windows.
+DIFF_SQL = f"""
+WITH RECURSIVE {HALVES_SQL},
+s(l, r, fresh, whole, phase, gain, n) AS (
+  SELECT pk, pk, true, true, 0, false, 0 FROM seed
+  UNION ALL (
+    WITH {blocks_sql("s", "fresh AND phase IN (0, 2)")}, {UNIQUE_SQL}, {SETTLED_SQL},
+    now AS (SELECT max(phase) AS p FROM s),
+    fl AS (SELECT pk, days, clicks FROM u WHERE NOT late AND pk NOT IN (SELECT l FROM s)), fr AS (SELECT pk, days, clicks FROM u WHERE late AND pk NOT IN (SELECT r FROM s)),
+    single AS (SELECT x.pk AS lhs_pk, y.pk AS rhs_pk FROM (SELECT days, clicks, min(pk) AS pk FROM fl GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT days, clicks, min(pk) AS pk FROM fr GROUP BY ALL HAVING count(*) = 1) y USING (days, clicks), now WHERE p = 1),
+    gap AS (SELECT l, r, lag(l) OVER (ORDER BY l) AS lo, lag(r) OVER (ORDER BY l) AS ro FROM s WHERE phase = 3),
+    win AS (SELECT lo, ro, least(l - lo, r - ro) AS w FROM gap WHERE r > ro),
+    wx AS (SELECT lo, ro, w, days, clicks, min(pk) AS lhs_pk FROM win JOIN fl ON pk > lo AND pk <= lo + w GROUP BY ALL HAVING count(*) = 1),
+    wy AS (SELECT lo, ro, w, days, clicks, min(pk) AS rhs_pk FROM win JOIN fr ON pk > ro AND pk <= ro + w GROUP BY ALL HAVING count(*) = 1),
+    wk AS (SELECT lhs_pk, rhs_pk, row_number() OVER (PARTITION BY lhs_pk ORDER BY lo, ro, w, rhs_pk) AS a, row_number() OVER (PARTITION BY rhs_pk ORDER BY lo, ro, w, lhs_pk) AS b FROM wx JOIN wy USING (lo, ro, w, days, clicks)),
+    new AS (SELECT lhs_pk, rhs_pk FROM k WHERE a = 1 AND b = 1 UNION ALL SELECT lhs_pk, rhs_pk FROM single UNION ALL SELECT lhs_pk, rhs_pk FROM wk WHERE a = 1 AND b = 1),
+    many AS (SELECT count(*) AS c FROM new),
+    next AS (
+      SELECT max(n) + 1 AS n, bool_and(CASE WHEN phase IN (0, 2) THEN c = 0 ELSE true END) AS fresh,
+        max(CASE WHEN phase IN (0, 2) THEN CASE WHEN c = 0 AND whole THEN phase + 1 ELSE phase END WHEN phase = 1 THEN 2 WHEN c > 0 THEN 3 ELSE 1 END) AS phase,
+        bool_or(CASE WHEN phase = 0 OR phase = 3 AND c = 0 THEN false ELSE gain OR c > 0 END) AS gain
+      FROM s, many HAVING NOT bool_and(phase = 3 AND c = 0 AND NOT gain)
+    )
+    SELECT s.l, s.r, next.fresh, next.fresh, next.phase, next.gain, next.n FROM s, next
+    UNION ALL SELECT lhs_pk, rhs_pk, true, next.fresh, next.phase, next.gain, next.n FROM new, next
+  )
+)
+SELECT l AS lhs_pk, r AS rhs_pk FROM s WHERE n = (SELECT max(n) FROM s)
+"""
+
+
+@query(DIFF_SQL)
+def diff_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some users keep their names; exact passes only."""
+    a, b = user_sides(spark, sf_dir)
+    a.rows, b.rows = _with_clicks(_visible(a.rows, None)), _with_clicks(_visible(b.rows, None))
+    return diff(a, b, Options(imports=False, names=True, inexact=False, strict_exact=True), cut, DAYS).matches.select("lhs_pk", "rhs_pk")
+
+
 @query()
 def diff_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(*user_sides(spark, sf_dir), Options(imports=False), cut, BOW).matches
