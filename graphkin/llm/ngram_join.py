@@ -125,15 +125,15 @@ def heavy_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.uin
     return np.sort(rows["token"].to_numpy().astype(np.uint64)), low
 
 
-def _prefix(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> np.ndarray:
-    """The first tokens of a set in the common order."""
+def _prefix(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> tuple[np.ndarray, int]:
+    """The first tokens of a set in the common order, and how many of them are not heavy."""
     k = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
     if not len(often):
-        return s[:k]
+        return s[:k], k
     key = s >> low
     heavy = often[np.minimum(np.searchsorted(often, key), len(often) - 1)] == key
     prefix = s[~heavy][:k]
-    return prefix if len(prefix) == k else np.concatenate([prefix, s[heavy][: k - len(prefix)]])
+    return np.concatenate([prefix, s[heavy][: k - len(prefix)]]), len(prefix)
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -155,9 +155,9 @@ def signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], *, id_col:
     return _keyed(docs, id_col, text).mapInArrow(run, f"id {kind}, key string, n bigint, f bigint, g bigint")
 
 
-def _group(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> tuple[int, np.ndarray]:
-    prefix = _prefix(s, often, low, percent)
-    return textops.fold(np.append(prefix, np.uint64(len(s)))) if len(s) else 0, prefix
+def _group(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> tuple[int, np.ndarray, int]:
+    prefix, plain = _prefix(s, often, low, percent)
+    return textops.fold(np.append(prefix, np.uint64(len(s)))) if len(s) else 0, prefix, plain
 
 
 def _sieve(keys: DataFrame) -> np.ndarray:
@@ -181,24 +181,25 @@ def _selected(batches: Iterator[pa.RecordBatch], sieve: np.ndarray) -> Iterator[
 
 
 def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], leads: DataFrame, *, id_col: str, text: str, n: int, percent: int) -> DataFrame:
-    """token, g, n, pos: the prefixes of the groups, from one document of each (leads: f, key)."""
+    """token, g, n, pos, heavy: the prefixes of the groups, from one document of each (leads: f, key)."""
     shared = docs.sparkSession.sparkContext.broadcast((*heavy, _sieve(leads)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, low, sieve = shared.value
         for part in _pieces(_selected(batches, sieve), "text"):
-            tokens, groups, sizes, places = [], [], [], []
+            tokens, groups, sizes, places, marks = [], [], [], [], []
             for s in _sets(part.column("text"), n):
                 if len(s):
-                    g, prefix = _group(s, often, low, percent)
+                    g, prefix, plain = _group(s, often, low, percent)
                     tokens.append(prefix)
                     groups.append(np.full(len(prefix), g, np.int64))
                     sizes.append(np.full(len(prefix), len(s), np.int32))
                     places.append(np.arange(len(prefix), dtype=np.int32))
+                    marks.append(np.arange(len(prefix)) >= plain)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (groups, sizes, places))], ["token", "g", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (groups, sizes, places, marks))], ["token", "g", "n", "pos", "heavy"])
 
-    return _keyed(docs, id_col, text).mapInArrow(run, "token bigint, g bigint, n int, pos int")
+    return _keyed(docs, id_col, text).mapInArrow(run, "token bigint, g bigint, n int, pos int, heavy boolean")
 
 
 def _index_prefix(n: Column, percent: int) -> Column:
@@ -322,8 +323,9 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
     repeated = not texts.where("again").isEmpty()
     leads = texts.groupBy("g").agg(F.min(F.struct("f", "key")).alias("m")).select("g", F.col("m.f").alias("lead"), F.col("m.key").alias("key"))
     post = postings(docs, heavy, leads.select(F.col("lead").alias("f"), "key"), **how)
-    # groups that share no token with another are of no use: one shuffle finds the others
-    post = post.withColumn("k", F.count("*").over(W.partitionBy("token"))).where("k > 1").select("token", "g", "n", "pos")
+    # tokens that one group has are of no use: one shuffle finds them; the long lists of heavy tokens need no count and are split
+    part = F.when(F.col("heavy"), F.xxhash64("g")).otherwise(0)
+    post = post.withColumn("k", F.count("*").over(W.partitionBy("token", part))).where("k > 1 OR heavy").select("token", "g", "n", "pos")
     post = checkpoint(post).withColumn("n", F.col("n").cast("bigint")).withColumn("ip", _index_prefix(F.col("n"), percent))
 
     verify = lambda pairs: _verify(pairs, docs, texts.select("f", "key"), repeated=repeated, **how)
