@@ -34,12 +34,27 @@ def _named(pairs: DataFrame, lhs: DataFrame, rhs: DataFrame, matcher: str) -> Da
 # -- names
 
 
+def _ranked(rows: DataFrame, *, stretches: int = 256) -> DataFrame:
+    """rows (k, pk, ...) with n, the place of the key in its value from the largest down.
+
+    A value that many rows share is not sorted in one task: rows are ranked
+    within stretches of the keys, and the counts of the stretches above, at most
+    ``stretches`` for each value, are added.
+    """
+    ends = rows.agg(F.min("pk").alias("_lo"), F.max("pk").alias("_hi"))
+    rows = rows.join(F.broadcast(ends)).withColumn("_s", F.floor((F.col("pk") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo") + 1) / stretches))).drop("_lo", "_hi")
+    above = W.partitionBy("k").orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("k", "_s").agg(F.count("*").alias("_n")).select("k", "_s", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    placed = rows.withColumn("_i", F.row_number().over(W.partitionBy("k", "_s").orderBy(F.desc("pk"))))
+    return placed.join(counts, ["k", "_s"]).withColumn("n", F.col("_above") + F.col("_i")).drop("_s", "_i", "_above")
+
+
 def optimistic(lhs: DataFrame, rhs: DataFrame, key: Column, matcher: str = "optimistic") -> DataFrame:
     """The n-th largest key of each value on the left with the n-th largest on the right.  Null values match nothing."""
 
     def side(rows: DataFrame, p: str) -> DataFrame:
-        ranked = rows.select(key.alias("k"), "pk", "name").where(F.col("k").isNotNull())
-        return ranked.select("k", F.row_number().over(W.partitionBy("k").orderBy(F.desc("pk"))).alias("n"), F.col("pk").alias(f"{p}_pk"), F.col("name").alias(f"{p}_name"))
+        ranked = _ranked(rows.select(key.alias("k"), "pk", "name").where(F.col("k").isNotNull()))
+        return ranked.select("k", "n", F.col("pk").alias(f"{p}_pk"), F.col("name").alias(f"{p}_name"))
 
     both = side(lhs, "lhs").join(side(rhs, "rhs"), ["k", "n"])
     return both.select("lhs_pk", "lhs_name", "rhs_pk", "rhs_name", F.lit(None).cast("double").alias("distance"), F.lit(matcher).alias("matcher"))
@@ -133,16 +148,19 @@ def _in_blocks(blocks: DataFrame, a: DataFrame, b: DataFrame, by: list[str], vec
 STRUCTURAL, MONOTONIC = ["degree", "lpk", "rpk", "dir"], ["lo", "ro", "w"]
 
 
-def structural_pairs(seeds: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
-    """degree, lpk, rpk, dir, lhs_pk, rhs_pk, distance: what is found in the neighbourhoods of each matched pair.  how: exact, optimal or greedy."""
+def structural_pairs(seeds: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, *, how: str = "exact", within: tuple[str, ...] = ()) -> DataFrame:
+    """degree, lpk, rpk, dir, lhs_pk, rhs_pk, distance: what is found in the neighbourhoods of each matched pair.
+
+    how: exact, optimal or greedy.  within (exact only): columns that both rows of a pair have to agree in.
+    """
     blocks = structural_blocks(seeds, lhs_edges, rhs_edges)
     a, b = _block_members(blocks, lhs, lhs_edges, "lpk"), _block_members(blocks, rhs, rhs_edges, "rpk")
-    return _in_blocks(blocks, a, b, STRUCTURAL, vector, how)
+    return _in_blocks(blocks, a, b, [*STRUCTURAL, *within], vector, how)
 
 
-def structural_round(seeds: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
+def structural_round(seeds: DataFrame, lhs: DataFrame, rhs: DataFrame, lhs_edges: DataFrame, rhs_edges: DataFrame, vector: FeatureVector, *, how: str = "exact", within: tuple[str, ...] = ()) -> DataFrame:
     """lhs_pk, rhs_pk, distance: what one pass over the neighbourhoods of matched pairs finds."""
-    return _settle(structural_pairs(seeds, lhs, rhs, lhs_edges, rhs_edges, vector, how=how), STRUCTURAL).select("lhs_pk", "rhs_pk", "distance")
+    return _settle(structural_pairs(seeds, lhs, rhs, lhs_edges, rhs_edges, vector, how=how, within=within), STRUCTURAL).select("lhs_pk", "rhs_pk", "distance")
 
 
 def windows(matches: DataFrame, *, buckets: int = 1024) -> DataFrame:
@@ -170,15 +188,15 @@ def _in_windows(gaps: DataFrame, rows: DataFrame, start: str) -> DataFrame:
     return g.join(r, "bin").where((F.col("pk") > F.col(start)) & (F.col("pk") <= F.col(start) + F.col("w"))).drop("bin")
 
 
-def monotonic_pairs(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
+def monotonic_pairs(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, vector: FeatureVector, *, how: str = "exact", within: tuple[str, ...] = ()) -> DataFrame:
     """lo, ro, w, lhs_pk, rhs_pk, distance: what is found in each window between matches."""
     gaps = windows(matches)
-    return _in_blocks(gaps, _in_windows(gaps, lhs, "lo"), _in_windows(gaps, rhs, "ro"), MONOTONIC, vector, how)
+    return _in_blocks(gaps, _in_windows(gaps, lhs, "lo"), _in_windows(gaps, rhs, "ro"), [*MONOTONIC, *within], vector, how)
 
 
-def monotonic_round(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, vector: FeatureVector, *, how: str = "exact") -> DataFrame:
+def monotonic_round(matches: DataFrame, lhs: DataFrame, rhs: DataFrame, vector: FeatureVector, *, how: str = "exact", within: tuple[str, ...] = ()) -> DataFrame:
     """lhs_pk, rhs_pk, distance: what one pass over the windows between matches finds."""
-    return _settle(monotonic_pairs(matches, lhs, rhs, vector, how=how), MONOTONIC).select("lhs_pk", "rhs_pk", "distance")
+    return _settle(monotonic_pairs(matches, lhs, rhs, vector, how=how, within=within), MONOTONIC).select("lhs_pk", "rhs_pk", "distance")
 
 
 def fixpoint(step: Callable[[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame], matches: DataFrame, lhs: DataFrame, rhs: DataFrame, matcher: str, cut: Cut, *, new_only: bool = False) -> DataFrame:

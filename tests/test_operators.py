@@ -30,6 +30,16 @@ def test_optimistic(spark):
     assert pairs(matchers.by_name(a, b)) == [(1, 9), (5, 11), (7, 3)]
 
 
+def test_ranks_of_a_hot_value(spark):
+    rng = random.Random(4)
+    rows = [(k, "hot" if k % 3 else f"n{k % 50}", 0) for k in rng.sample(range(-5000, 10**6), 700)]
+    got = matchers._ranked(side(spark, rows).select(F.col("name").alias("k"), "pk"), stretches=7).collect()
+    names = {}
+    for pk, name, _ in sorted(rows, reverse=True):
+        names.setdefault(name, []).append(pk)
+    assert {(r["k"], r["pk"], r["n"]) for r in got} == {(name, pk, n) for name, pks in names.items() for n, pk in enumerate(pks, 1)} and len(got) == 700
+
+
 def test_import_names(spark):
     rows = spark.createDataFrame([("__imp_read@@GLIBC_2",), ("a@@b@@c",), ("x__imp_y",), ("__imp___imp_z",)], "n string")
     assert [r[0] for r in rows.select(matchers.import_name(F.col("n"))).collect()] == ["read", "a", "x__imp_y", "__imp_z"]
