@@ -984,6 +984,18 @@ def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "embeddings").select("vec_id", blocking.lsh_bucket(v, [[float(x) for x in p] for p in PLANES]).alias("bucket"))
 
 
+@query(
+    f"""
+WITH RECURSIVE {ORDERS_SQL}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, x) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.x)
+SELECT 1 AS level, min(x) AS cluster_id, node AS pk FROM r GROUP BY node
+"""
+)
+def louvain_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers amid their orders: whatever the order of moves, the communities are the components, and there is one level."""
+    return blocking.louvain_consensus(order_edges(spark, sf_dir), cut).membership
+
+
 @query()
 def louvain_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the graph of consecutive users, at every level."""
@@ -1007,16 +1019,15 @@ def modular_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The whole exact diff, a pass in each step: phase 0 and 2 neighbourhoods, 1 unique vectors, 3 windows.
-DIFF_SQL = f"""
-WITH RECURSIVE {HALVES_SQL},
-s(l, r, fresh, whole, phase, gain, n) AS (
+PASSES_SQL = f"""
+p(l, r, fresh, whole, phase, gain, n) AS (
   SELECT pk, pk, true, true, 0, false, 0 FROM seed
   UNION ALL (
-    WITH {blocks_sql("s", "fresh AND phase IN (0, 2)")}, {UNIQUE_SQL}, {SETTLED_SQL},
-    now AS (SELECT max(phase) AS p FROM s),
-    fl AS (SELECT pk, days, clicks FROM u WHERE NOT late AND pk NOT IN (SELECT l FROM s)), fr AS (SELECT pk, days, clicks FROM u WHERE late AND pk NOT IN (SELECT r FROM s)),
-    single AS (SELECT x.pk AS lhs_pk, y.pk AS rhs_pk FROM (SELECT days, clicks, min(pk) AS pk FROM fl GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT days, clicks, min(pk) AS pk FROM fr GROUP BY ALL HAVING count(*) = 1) y USING (days, clicks), now WHERE p = 1),
-    gap AS (SELECT l, r, lag(l) OVER (ORDER BY l) AS lo, lag(r) OVER (ORDER BY l) AS ro FROM s WHERE phase = 3),
+    WITH {blocks_sql("p", "fresh AND phase IN (0, 2)")}, {UNIQUE_SQL}, {SETTLED_SQL},
+    now AS (SELECT max(phase) AS now FROM p),
+    fl AS (SELECT pk, days, clicks FROM u WHERE NOT late AND pk NOT IN (SELECT l FROM p)), fr AS (SELECT pk, days, clicks FROM u WHERE late AND pk NOT IN (SELECT r FROM p)),
+    single AS (SELECT x.pk AS lhs_pk, y.pk AS rhs_pk FROM (SELECT days, clicks, min(pk) AS pk FROM fl GROUP BY ALL HAVING count(*) = 1) x JOIN (SELECT days, clicks, min(pk) AS pk FROM fr GROUP BY ALL HAVING count(*) = 1) y USING (days, clicks), now WHERE now = 1),
+    gap AS (SELECT l, r, lag(l) OVER (ORDER BY l) AS lo, lag(r) OVER (ORDER BY l) AS ro FROM p WHERE phase = 3),
     win AS (SELECT lo, ro, least(l - lo, r - ro) AS w FROM gap WHERE r > ro),
     wx AS (SELECT lo, ro, w, days, clicks, min(pk) AS lhs_pk FROM win JOIN fl ON pk > lo AND pk <= lo + w GROUP BY ALL HAVING count(*) = 1),
     wy AS (SELECT lo, ro, w, days, clicks, min(pk) AS rhs_pk FROM win JOIN fr ON pk > ro AND pk <= ro + w GROUP BY ALL HAVING count(*) = 1),
@@ -1027,14 +1038,15 @@ s(l, r, fresh, whole, phase, gain, n) AS (
       SELECT max(n) + 1 AS n, bool_and(CASE WHEN phase IN (0, 2) THEN c = 0 ELSE true END) AS fresh,
         max(CASE WHEN phase IN (0, 2) THEN CASE WHEN c = 0 AND whole THEN phase + 1 ELSE phase END WHEN phase = 1 THEN 2 WHEN c > 0 THEN 3 ELSE 1 END) AS phase,
         bool_or(CASE WHEN phase = 0 OR phase = 3 AND c = 0 THEN false ELSE gain OR c > 0 END) AS gain
-      FROM s, many HAVING NOT bool_and(phase = 3 AND c = 0 AND NOT gain)
+      FROM p, many HAVING NOT bool_and(phase = 3 AND c = 0 AND NOT gain)
     )
-    SELECT s.l, s.r, next.fresh, next.fresh, next.phase, next.gain, next.n FROM s, next
+    SELECT p.l, p.r, next.fresh, next.fresh, next.phase, next.gain, next.n FROM p, next
     UNION ALL SELECT lhs_pk, rhs_pk, true, next.fresh, next.phase, next.gain, next.n FROM new, next
   )
-)
-SELECT l AS lhs_pk, r AS rhs_pk FROM s WHERE n = (SELECT max(n) FROM s)
+),
+found AS (SELECT l, r FROM p WHERE n = (SELECT max(n) FROM p))
 """
+DIFF_SQL = f"WITH RECURSIVE {HALVES_SQL}, {PASSES_SQL} SELECT l AS lhs_pk, r AS rhs_pk FROM found"
 
 
 @query(DIFF_SQL)
@@ -1045,6 +1057,25 @@ def diff_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(a, b, Options(imports=False, names=True, inexact=False, strict_exact=True), cut, DAYS).matches.select("lhs_pk", "rhs_pk")
 
 
+@query(
+    f"""
+WITH RECURSIVE {HALVES_SQL}, {PASSES_SQL},
+la AS (SELECT *, row_number() OVER (ORDER BY pk) AS i FROM u WHERE NOT late AND pk NOT IN (SELECT l FROM found)), ra AS (SELECT *, row_number() OVER (ORDER BY pk) AS j FROM u WHERE late AND pk NOT IN (SELECT r FROM found)),
+part_of(x, y, d) AS (SELECT x, y, CASE WHEN greatest(x, y) = 0 THEN 0 ELSE abs(x - y) / greatest(x, y)::DOUBLE END FROM (SELECT DISTINCT a.days AS x, b.days AS y FROM la a, ra b UNION SELECT DISTINCT a.clicks, b.clicks FROM la a, ra b)),
+dist AS (SELECT 0 AS one, i, j, (g.d + h.d) / 2 AS d FROM la a JOIN ra b ON true JOIN part_of g ON g.x = a.days AND g.y = b.days JOIN part_of h ON h.x = a.clicks AND h.y = b.clicks),
+{solve_sql("one")}
+SELECT (SELECT count(*) FROM found) AS n_exact, n_pairs AS n_inexact, cost FROM costs
+"""
+)
+def diff_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some users keep their names; exact passes, then the best assignment of the rest."""
+    a, b = user_sides(spark, sf_dir)
+    a.rows, b.rows = _with_clicks(_visible(a.rows, None)), _with_clicks(_visible(b.rows, None))
+    found = diff(a, b, Options(imports=False, names=True, strict_exact=True), cut, DAYS).matches
+    last = F.col("matcher") == "optimal_singleton"
+    return found.agg(F.count_if(~last).alias("n_exact"), F.count_if(last).alias("n_inexact"), F.round(F.sum(F.when(last, F.col("distance"))), 6).alias("cost"))
+
+
 @query()
 def diff_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(*user_sides(spark, sf_dir), Options(imports=False), cut, BOW).matches
