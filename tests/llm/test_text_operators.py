@@ -356,6 +356,15 @@ def test_expected_counts_add_up():
     assert abs(start.sum() - 2) < 1e-6 and abs(emit.sum() - 1300) < 1e-6 and abs(step.sum() - 1298) < 1e-6
 
 
+def test_hmm_of_held_out_documents(spark):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no tables here")
+    got = QUERIES["op2_hmm_score"](spark, str(folder)).where("held_out AND n_tokens > 1")
+    r = got.agg((F.sum("score") / F.sum("n_tokens")).alias("own"), (F.sum("base_score") / F.sum("n_tokens")).alias("base"), F.avg((F.col("score") > F.col("base_score")).cast("int")).alias("better")).first()
+    assert r["own"] > r["base"] + 0.15 and r["better"] > 0.95
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     stems = {"aa": ["wen", "lor", "fim", "dak"], "bb": ["chi", "zun", "qua", "pli"]}
