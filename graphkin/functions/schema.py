@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +16,21 @@ from . import distance
 
 @dataclass(frozen=True)
 class FeatureSpec:
-    """One feature.  metric: point (a number), euclid (an array) or hamming (60-bit limbs, low first); summed: whether a cluster adds it up."""
+    """One feature.  metric: point (a number), euclid (an array) or hamming (60-bit limbs, low first); summed: whether a cluster adds it up.
+
+    Own callbacks take the place of the metric's: ``measure`` gives the distance
+    of two columns, ``among`` (for assignment) those of a value to each of a list
+    of values, as an array, and ``collect`` a group's aggregate of a column.
+    """
 
     name: str
     size: int
     metric: str
     summed: bool = True
     kind: str = "int"
+    measure: Callable[[Column, Column], Column] | None = None
+    among: Callable[[Any, list], np.ndarray] | None = None
+    collect: Callable[[Column], Column] | None = None
 
     @property
     def is_array(self) -> bool:
@@ -30,6 +41,8 @@ class FeatureSpec:
         return T.ArrayType(base) if self.is_array else base
 
     def distance(self, a: Column, b: Column) -> Column:
+        if self.measure:
+            return self.measure(a, b)
         return {"point": distance.point, "euclid": distance.euclid, "hamming": distance.hamming}[self.metric](a, b)
 
     def zero(self) -> Column:

@@ -99,7 +99,10 @@ class Costs:
                 return x, np.sqrt((x * x).sum(1))
             return [_number(v) for v in values], None
 
-        parts = [(f.metric, column(left[f.name], f.metric), column(right[f.name], f.metric)) for f in vector.features]
+        for f in vector.features:
+            if f.measure and not f.among:
+                raise ValueError(f"feature {f.name} has a distance of its own; assignment needs it among values, too")
+        parts = [(f.among, (left[f.name].tolist(), None), (right[f.name].tolist(), None)) if f.among else (f.metric, column(left[f.name], f.metric), column(right[f.name], f.metric)) for f in vector.features]
         return cls(parts, (len(left), len(right)))
 
     @property
@@ -109,6 +112,9 @@ class Costs:
     def __getitem__(self, i: int) -> np.ndarray:
         total = np.zeros(self.shape[1])
         for metric, (x, x_size), (y, y_size) in self.parts:
+            if callable(metric):
+                total += metric(x[i], y)
+                continue
             if metric == "point":
                 top, gap = np.maximum(x[i], y), np.abs(x[i] - y)
             elif metric == "euclid":

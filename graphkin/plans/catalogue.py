@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import bags, cfg, distance
 from ..functions.aggregate import vector_sum
 from ..functions.schema import FUNCTION_FEATURES, FeatureSpec, FeatureVector
-from ..operators import assignment, blocking, dataset, graph, matchers, modular
+from ..operators import blocking, dataset, graph, matchers, modular
 from ..operators.components import connected_components
 from ..sources import tables
 from .diff import Options, Side, diff

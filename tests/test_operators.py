@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from graphkin.functions.aggregate import vector_sum
 from graphkin.functions.schema import FeatureSpec, FeatureVector
 from graphkin.operators import assignment, blocking, dataset, graph, matchers, modular
 from graphkin.operators.components import connected_components
@@ -64,6 +65,17 @@ def test_assignment_is_optimal(n, m, seed):
     assert len(set(gc)) == len(gc)
 
 
+def test_own_callbacks(spark):
+    far = FeatureSpec("x", 1, "point", measure=lambda a, b: F.abs(a - b).cast("double"), among=lambda v, others: np.abs(v - np.array(others, float)), collect=F.max)
+    vector = FeatureVector((far, FeatureSpec("y", 2, "euclid")))
+    a, b = side(spark, [(1, "", 10), (2, "", 40)]), side(spark, [(7, "", 43), (8, "", 11)])
+    found = matchers.inexact_singleton(a, b, FeatureVector((far,)))
+    assert {(r["lhs_pk"], r["rhs_pk"], r["distance"]) for r in found.collect()} == {(1, 8, 1.0), (2, 7, 3.0)}
+    assert [tuple(r) for r in vector_sum(a.withColumn("k", F.lit(0)), ["k"], vector).select("x", "y").collect()] == [(40, [2, 50])]
+    with pytest.raises(Exception, match="of its own"):
+        matchers.inexact_singleton(a, b, FeatureVector((FeatureSpec("x", 1, "point", measure=far.measure),))).collect()
+
+
 def test_assign_blocks(spark):
     rng = random.Random(1)
     a = side(spark, [(k, "", rng.randrange(50)) for k in range(30)]).withColumn("block", F.lit("b"))
