@@ -150,7 +150,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes, so that no result outgrows memory."""
     rows = max(1, int(batch.num_rows * most // max(1, batch.column(column).nbytes)))
     for at in range(0, batch.num_rows, rows):
