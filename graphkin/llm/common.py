@@ -79,7 +79,7 @@ def store(uri: str):
 
 
 class Draft:
-    """A file written under a name of its own and renamed when whole, so that a retried task does no harm."""
+    """A file written under a name of its own and renamed when whole, so that a retried task does no harm: the first whole file stays."""
 
     def __init__(self, uri: str) -> None:
         self.uri, (self.fs, self.path) = uri, store(uri)
@@ -91,8 +91,13 @@ class Draft:
         self.out.write(part)
 
     def done(self) -> None:
+        from pyarrow.fs import FileType
+
         self.out.close()
-        self.fs.move(self.draft, self.path)
+        if self.fs.get_file_info(self.path).type == FileType.NotFound:
+            self.fs.move(self.draft, self.path)
+        else:
+            self.fs.delete_file(self.draft)
 
 
 def put(uri: str, parts) -> int:
