@@ -284,3 +284,19 @@ def test_diff(spark, cut, options):
     unique = [k for k in values if list(values.values()).count(values[k]) == 1]
     assert all((k, k) in got for k in unique)
     assert len(got) == 12 or not options.inexact
+
+
+@pytest.mark.parametrize("options", [Options(imports=False, hierarchy="louvain", louvain_runs=6), Options(imports=False, hierarchy="modular_decomposition")])
+def test_hierarchical_diff(spark, cut, options):
+    """Three cliques in a row; the features of the last of each are not unique."""
+    vector = FeatureVector((FeatureSpec("vertex_classification", 7, "euclid"), FeatureSpec("edge_classification", 4, "euclid"), FeatureSpec("insn_bow", 54, "euclid")))
+
+    def make(shift):
+        rows = [(shift + k, f"f{k}", [min(k % 4, 2) + 1] * 7, [1 + k // 4] * 4 if k % 4 < 3 else [0] * 4, [1] * 54) for k in range(12)]
+        edges = [(shift + a, shift + b) for c in range(0, 12, 4) for a in range(c, c + 4) for b in range(c, c + 4) if a != b] + [(shift + 3, shift + 4), (shift + 7, shift + 8)]
+        return Side(spark.createDataFrame(rows, "pk bigint, name string, vertex_classification array<int>, edge_classification array<int>, insn_bow array<int>"), spark.createDataFrame(edges, "src bigint, dst bigint"))
+
+    r = diff(make(0), make(100), options, cut, vector)
+    got = dict(pairs(r.matches))
+    assert len(got) == 12 and all(got[k] == k + 100 for k in range(12) if k % 4 < 3)
+    assert any(m["matcher"] == "cluster_exact" and m["found"] for m in r.metrics)
