@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import textops
-from .common import checkpoint, most_frequent
+from .common import checkpoint, most_frequent, tidy
 
 MAX_HEAVY = 1 << 18
 HEAVY_DF = 16  # a token in more documents than this may be heavy
@@ -326,8 +326,11 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
     # tokens that one group has are of no use: one shuffle finds them; the long lists of heavy tokens need no count and are split
     part = F.when(F.col("heavy"), F.xxhash64("g")).otherwise(0)
     post = post.withColumn("k", F.count("*").over(W.partitionBy("token", part))).where("k > 1 OR heavy").select("token", "g", "n", "pos")
-    post = checkpoint(post).withColumn("n", F.col("n").cast("bigint")).withColumn("ip", _index_prefix(F.col("n"), percent))
+    stored = checkpoint(post)
+    post = stored.withColumn("n", F.col("n").cast("bigint")).withColumn("ip", _index_prefix(F.col("n"), percent))
 
+    spark, spent = docs.sparkSession, [stored]
+    tidy(spark)
     verify = lambda pairs: _verify(pairs, docs, texts.select("f", "key"), repeated=repeated, **how)
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
@@ -354,12 +357,14 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
         per = rooted.groupBy("token", "root").agg(F.count("*").alias("k"), F.max("mixed").alias("mixed"))
         major = per.groupBy("token").agg(F.max(F.struct(F.when(F.col("mixed"), 0).otherwise(F.col("k")).alias("k"), "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("token", F.col("m.root").alias("major"))
         open_lists = checkpoint(rooted.join(major, "token"))
+        spent += [named, rooted, open_lists]
         inside = (F.col("root") == F.col("major")) & ~F.col("mixed")
         minor = open_lists.where(~inside).drop("major")
         member = F.struct(F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("ip").alias("ip2"), F.col("root").alias("root2"))
         if last:  # lists with many such pairs are verified by blocks, below
             large = open_lists.groupBy("token").agg((F.count_if(~inside) * F.count("*") > LARGE).alias("large"))
             open_lists = checkpoint(open_lists.join(large, "token"))
+            spent.append(open_lists)
             crowd = open_lists.where("large").groupBy(F.col("major").alias("c"), "g").agg(F.max(~inside).alias("minor"), F.max("n").alias("n"))
             minor = open_lists.where(~inside & ~F.col("large")).drop("major", "large")
             other = open_lists.where("NOT large").select("token", member.alias("o")).select("token", "o.*")
@@ -382,9 +387,12 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n
         if last:
             more = more.union(_verify_clusters(crowd.join(named, "g").select("c", "f", "n", "root", "minor"), docs, texts.select("f", "key"), repeated=repeated, **how))
         more = checkpoint(more)
+        spent.append(more)
         if not more.isEmpty():
             links = checkpoint(links.union(more).distinct())
             labels = checkpoint(connected_components(links, "a", "b", checkpoint))
+        tidy(spark)
+    tidy(spark, *spent, *seen)  # the result reads the signatures, texts, links and labels only
     all_links = links
     degree = all_links.select(F.col("a").alias("f")).union(all_links.select("b")).groupBy("f").agg(F.count("*").alias("n_links"))
     named = texts.join(labels, texts["f"] == labels["node"], "left").select("f", "id", F.coalesce("root", "f").alias("root"))
