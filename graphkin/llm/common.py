@@ -130,6 +130,30 @@ def fields(columns: list[StructField] | StructType) -> str:
     return ", ".join(f"{_quoted(f.name)} {ddl(f.dataType)}" for f in columns)
 
 
+def trimmed(run):
+    """run(batches) for mapInArrow, after which the worker gives back the memory that its allocators keep: workers are used again by other steps."""
+
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return work
+
+
+def release() -> None:
+    """Give unused memory back to the system, where the allocators can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import fields
+from .common import fields, trimmed
 
 BINS = 1 << 16
 MAX_LANGUAGES = 1024
@@ -89,7 +89,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[l
         return pa.table({"lang": table["lang"][:1], "part": table["part"][:1], "counts": pa.array([whole.tobytes()], pa.binary())})
 
     schema = "lang string, part int, counts binary"
-    rows = labelled.mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(total, schema).take(16 * MAX_LANGUAGES + 1)
+    rows = labelled.mapInArrow(trimmed(count), schema).groupBy("lang", "part").applyInArrow(total, schema).take(16 * MAX_LANGUAGES + 1)
     names = sorted({r["lang"] for r in rows})
     if len(rows) > 16 * MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -191,4 +191,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text: str
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], [*part.schema.names, "lang_pred", "score", "languages"])
                 at = to
 
-    return kept.mapInArrow(run, f"{fields(kept.schema)}, lang_pred string, score double, languages array<string>")
+    return kept.mapInArrow(trimmed(run), f"{fields(kept.schema)}, lang_pred string, score double, languages array<string>")

@@ -44,11 +44,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import textops
-from .common import checkpoint, most_frequent, tidy
+from .common import checkpoint, most_frequent, tidy, trimmed
 
 MAX_HEAVY = 1 << 18
 HEAVY_DF = 16  # a token in more documents than this may be heavy
 PIECE = 1 << 20
+HELD = 1_000_000  # tokens that a task counts at a time
 HALF = np.uint64(1 << 63)
 MAX_BITS = 1 << 27  # of a sieve
 LARGE = 4096  # pairs of one list beyond which it is verified by blocks
@@ -103,7 +104,7 @@ def heavy_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.uin
 
         for part in _pieces(batches, text):
             held += [s[: np.searchsorted(s, HALF)] >> low for s in _sets(part.column(text), n)]
-            if sum(map(len, held)) > 3_000_000:
+            if sum(map(len, held)) > HELD:
                 yield flush()
         if sum(map(len, held)):
             yield flush()
@@ -120,7 +121,7 @@ def heavy_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.uin
         base = table["bucket"][0].as_py() << 24
         return pa.table({"token": token[keep] + base, "df": df[keep]})
 
-    counted = docs.select(text).mapInArrow(emit, "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(add, "token bigint, df bigint")
+    counted = docs.select(text).mapInArrow(trimmed(emit), "bucket int, tokens binary, counts binary").groupBy("bucket").applyInArrow(add, "token bigint, df bigint")
     rows = most_frequent(checkpoint(counted), "df", MAX_HEAVY).select("token").toPandas()  # MAX_HEAVY rows at most
     return np.sort(rows["token"].to_numpy().astype(np.uint64)), low
 
@@ -152,7 +153,7 @@ def signatures(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], *, id_col:
             f, g = [textops.fold(s) for s in sets], [_group(s, often, low, percent)[0] for s in sets]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f, pa.int64()), pa.array(g, pa.int64())], ["id", "key", "n", "f", "g"])
 
-    return _keyed(docs, id_col, text).mapInArrow(run, f"id {kind}, key string, n bigint, f bigint, g bigint")
+    return _keyed(docs, id_col, text).mapInArrow(trimmed(run), f"id {kind}, key string, n bigint, f bigint, g bigint")
 
 
 def _group(s: np.ndarray, often: np.ndarray, low: np.uint64, percent: int) -> tuple[int, np.ndarray, int]:
@@ -199,7 +200,7 @@ def postings(docs: DataFrame, heavy: tuple[np.ndarray, np.uint64], leads: DataFr
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (groups, sizes, places, marks))], ["token", "g", "n", "pos", "heavy"])
 
-    return _keyed(docs, id_col, text).mapInArrow(run, "token bigint, g bigint, n int, pos int, heavy boolean")
+    return _keyed(docs, id_col, text).mapInArrow(trimmed(run), "token bigint, g bigint, n int, pos int, heavy boolean")
 
 
 def _index_prefix(n: Column, percent: int) -> Column:
@@ -235,7 +236,7 @@ def _whole_sets(need: DataFrame, docs: DataFrame, *, id_col: str, text: str, n:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(keys, pa.string()), textops.list_array(first, flat)], ["f", "key", "s"])
 
-    sets = _keyed(docs, id_col, text).select("key", "text").mapInArrow(run, "f bigint, key string, s array<bigint>").where("size(s) > 0")
+    sets = _keyed(docs, id_col, text).select("key", "text").mapInArrow(trimmed(run), "f bigint, key string, s array<bigint>").where("size(s) > 0")
     return sets.groupBy("f", "key").agg(F.first("s").alias("s")) if repeated else sets
 
 
@@ -287,7 +288,8 @@ def _verify_clusters(members: DataFrame, docs: DataFrame, reps: DataFrame, *, id
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for row in range(batch.num_rows):  # a pair of blocks at a time
+                r = batch.slice(row, 1).to_pylist()[0]
                 side = [{k: np.frombuffer(r[k + t], np.uint8 if k == "minor" else np.int64) for k in ("f", "root", "minor", "len", "s")} for t in ("", "2")]
                 both = np.intersect1d(side[0]["s"], side[1]["s"])
                 sizes = [x["len"] for x in side]
@@ -307,7 +309,7 @@ def _verify_clusters(members: DataFrame, docs: DataFrame, reps: DataFrame, *, id
                 a, b = side[0]["f"][i], side[1]["f"][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return left.join(right, ["c", "b"]).select(*(F.col(f"{k}{t}") for t in ("", "2") for k in ("f", "root", "minor", "len", "s"))).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return left.join(right, ["c", "b"]).select(*(F.col(f"{k}{t}") for t in ("", "2") for k in ("f", "root", "minor", "len", "s"))).mapInArrow(trimmed(compare), "a bigint, b bigint").distinct()
 
 
 def components(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
