@@ -3,6 +3,7 @@ import random
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,6 +117,30 @@ def test_greedy_restated(n, m, seed):
     assert list(zip(*(x.tolist() for x in assignment.greedy(cost)), strict=True)) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.integers(1, 12), st.integers(1, 5), st.integers(0, 10**6))
+def test_classes_give_the_assignment_of_all_rows(n, m, k, seed):
+    rng = np.random.default_rng(seed)
+    a, b = (np.unique(rng.integers(0, k, size), return_inverse=True)[1] for size in (n, m))
+    cost = rng.integers(0, 9, (a.max() + 1, b.max() + 1)) / 8
+    whole = cost[a][:, b]
+    r, c = assignment.solve(cost, a, b)
+    assert len(set(r)) == len(set(c)) == len(r) == min(n, m)
+    assert abs(whole[r, c].sum() - whole[assignment.solve(whole)].sum()) < 1e-9
+    assert [x.tolist() for x in assignment.greedy(cost, a, b)] == [x.tolist() for x in assignment.greedy(whole)]
+
+
+@pytest.mark.parametrize("how", ["optimal", "greedy"])
+def test_equal_vectors_are_one_row_of_the_matrix(monkeypatch, how):
+    rng, made = np.random.default_rng(3), []
+    left, right = (pd.DataFrame({"pk": range(size), "x": x, "y": [[v % 3, v] for v in x.tolist()]}) for size, x in ((400, rng.integers(1, 7, 400)), (500, rng.integers(1, 7, 500))))
+    row = assignment.Costs.__getitem__
+    monkeypatch.setattr(assignment.Costs, "__getitem__", lambda self, i: made.append(i) or row(self, i))
+    r, c, d = assignment.pairs(left, right, V, how=how)
+    assert len(made) < 50 and (how == "greedy" or len(r) == 400) and len(set(c)) == len(r)
+    assert np.allclose(d, assignment.distances(left, right, V)[r, c])
+
+
 def test_windows_and_monotonic(spark):
     m = spark.createDataFrame([(10, "", 100, ""), (50, "", 180, ""), (60, "", 90, "")], "lhs_pk bigint, lhs_name string, rhs_pk bigint, rhs_name string")
     for buckets in (1, 3, 1024):
