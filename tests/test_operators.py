@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphkin.functions.aggregate import vector_sum
 from graphkin.functions.schema import FeatureSpec, FeatureVector
-from graphkin.operators import assignment, blocking, dataset, graph, matchers, modular
+from graphkin.operators import assignment, blocking, dataset, graph, held, matchers, modular
 from graphkin.operators.components import connected_components
 from graphkin.plans.diff import Differ, Options, Side, diff
 
@@ -167,6 +167,36 @@ def test_fixpoint_has_no_bound(spark):
     assert matchers.fixpoint(step, spark.createDataFrame([], matchers.MATCHES), a, a, "m", cut).count() == 105
 
 
+@pytest.mark.parametrize("how", ["exact", "optimal"])
+def test_one_task_finds_what_the_rounds_find(spark, cut, monkeypatch, how):
+    rng = random.Random(1)
+    rows = [(3 * k - 20, f"n{k}" if k % 8 == 0 else None, rng.randrange(12)) for k in range(40)]
+    a, b = side(spark, rows), side(spark, [(pk + 7, name, x if rng.random() < 0.8 else 9) for pk, name, x in rows])
+    edges = sorted({(3 * rng.randrange(40) - 20, 3 * rng.randrange(40) - 20) for _ in range(70)}) + [(-20, 10**6)]
+    le = spark.createDataFrame([*edges, edges[0]], "src bigint, dst bigint")  # one edge twice
+    re = spark.createDataFrame([(x + 7, y + 7) for x, y in [*edges, edges[0]]], "src bigint, dst bigint")
+    seeds = cut(matchers.by_name(a, b))
+
+    def found():
+        out = matchers.structural(seeds, a, b, le, re, V, cut, how=how), matchers.monotonic(seeds, a, b, V, cut, how=how)
+        return [sorted(map(tuple, df.select("lhs_pk", "lhs_name", "rhs_pk", "rhs_name", "distance", "matcher").collect()), key=str) for df in out]
+
+    inside = found()
+    monkeypatch.setattr(held, "MOST", 0)
+    assert inside == found() and all(len(x) > 5 for x in inside)  # more than the names
+
+
+def test_long_chains_take_few_jobs(spark, cut):
+    n = 40
+    a = side(spark, [(k, "f" if k == 0 else f"l{k}", 1) for k in range(n)])
+    b = a.withColumn("name", F.regexp_replace("name", "l", "r"))
+    edges = cut(spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "src bigint, dst bigint"))
+    cuts = []
+    counted = lambda df: cuts.append(1) or cut(df)
+    assert pairs(matchers.structural(cut(matchers.by_name(a, b)), cut(a), cut(b), edges, edges, V, counted)) == [(k, k) for k in range(n)]
+    assert len(cuts) <= 4
+
+
 def test_passes_are_repeated_until_nothing_is_found(spark):
     left = iter([1] * 30 + [0])
     differ = SimpleNamespace(options=Options(), _left=lambda: (spark.range(1),))
