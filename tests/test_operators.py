@@ -404,3 +404,25 @@ def test_hierarchical_diff(spark, cut, options):
     got = dict(pairs(r.matches))
     assert len(got) == 12 and all(got[k] == k + 100 for k in range(12) if k % 4 < 3)
     assert any(m["matcher"] == "cluster_exact" and m["found"] for m in r.metrics)
+
+
+@pytest.mark.parametrize("options", [Options(imports=False, names=True, inexact=False, strict_exact=True)])
+def test_a_diff_takes_few_jobs_and_finds_what_the_rounds_find(spark, cut, monkeypatch, options):
+    rng = random.Random(4)
+    rows = [(3 * k, f"n{k}" if k % 9 == 0 else f"l{k}", rng.randrange(25)) for k in range(45)]
+    a = side(spark, [*rows, (None, "z", rows[5][2]), (None, "z", 77)])  # rows without a key keep vectors from being unique
+    b = side(spark, [*((pk + 2, name.replace("l", "r"), x if rng.random() < 0.8 else 9) for pk, name, x in rows), (200, "y", 77)])
+    ends = sorted({(3 * rng.randrange(45), 3 * rng.randrange(45)) for _ in range(90)})
+    le, re = (spark.createDataFrame([(x + s, y + s) for x, y in ends], "src bigint, dst bigint") for s in (0, 2))
+    cuts = []
+
+    def found():
+        cuts.clear()
+        r = diff(Side(a, le), Side(b, re), options, lambda df: cuts.append(1) or cut(df), V)
+        return sorted(map(tuple, r.matches.collect()), key=str), {m["matcher"] for m in r.metrics}, len(cuts)
+
+    inside, said, few = found()
+    assert few <= 14 and sum(m[5].startswith("exact_") for m in inside) > 5 and len({m[5] for m in inside}) > 2 - (not options.inexact)
+    monkeypatch.setattr(held, "MOST", 0)
+    rounds, said_by_rounds, _ = found()
+    assert inside == rounds and said >= {m[5] for m in inside if m[5] != "optimal_singleton"} and said_by_rounds - {"inexact_singleton"} <= said
