@@ -406,7 +406,7 @@ def test_hierarchical_diff(spark, cut, options):
     assert any(m["matcher"] == "cluster_exact" and m["found"] for m in r.metrics)
 
 
-@pytest.mark.parametrize("options", [Options(imports=False, names=True), Options(imports=False, names=True, strict_exact=True), Options(imports=False, names=True, inexact=False, strict_exact=True)])
+@pytest.mark.parametrize("options", [Options(imports=False, names=True), Options(imports=False), Options(imports=False, names=True, strict_exact=True), Options(imports=False, names=True, inexact=False, strict_exact=True)])
 def test_a_diff_takes_few_jobs_and_finds_what_the_rounds_find(spark, cut, monkeypatch, options):
     rng = random.Random(4)
     rows = [(3 * k, f"n{k}" if k % 9 == 0 else f"l{k}", rng.randrange(25)) for k in range(45)]
