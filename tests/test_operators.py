@@ -337,6 +337,39 @@ def test_agreed_in_one_task(n, runs, seed):
     assert blocking.agreed(labels, need).tolist() == root.tolist()
 
 
+@pytest.mark.parametrize("differ", [None, 5, 6])
+def test_runs_that_cannot_change_the_consensus_are_left_out(spark, cut, monkeypatch, differ):
+    """differ: the early runs in which the one pair that may agree does not."""
+    edges = spark.createDataFrame([(v, v + 1, 1) for v in range(7)], "src bigint, dst bigint, weight bigint")
+    label = lambda r, v: 0 if differ is not None and v == 1 and not 7 <= r < 7 + differ else v
+    labels = [(r, v, label(r, v)) for r in range(100) for v in range(8)]
+    asked = []
+
+    def runs(_, end, seed, resolution, first=0):
+        asked.append((first, end))
+        return spark.createDataFrame([x for x in labels if first <= x[0] < end], "run int, v bigint, c bigint")
+
+    monkeypatch.setattr(blocking, "_runs", runs)
+    got = sorted(map(tuple, blocking.consensus(edges, 100, 0.95, 1, 1.0, cut).collect()))
+    whole = blocking.agreeing(spark.createDataFrame(labels, "run int, v bigint, c bigint"), 100, 0.95, cut)
+    assert got == sorted(map(tuple, whole.collect())) == [(v, 0 if v == 1 and differ == 5 else v) for v in range(8)]
+    assert asked == ([(0, 36), (36, 100)] if differ == 5 else [(0, 36)])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 30), st.integers(0, 10**6))
+def test_neighbours_of_louvain(n, seed):
+    rng = np.random.default_rng(seed)
+    code = np.unique(rng.integers(0, n * n, 3 * n))
+    weight = rng.integers(0, 5, len(code)).astype(float)
+    near = [{} for _ in range(n)]
+    for x, y, z in zip((code // n).tolist(), (code % n).tolist(), weight.tolist(), strict=True):
+        if x != y:
+            near[x][y] = near[x].get(y, 0.0) + z
+            near[y][x] = near[y].get(x, 0.0) + z
+    assert [list(own.items()) for own in blocking._near(code, weight, n)] == [list(own.items()) for own in near]
+
+
 def test_agreeing_vertices(spark, cut):
     rng = random.Random(5)
     labels = [(r, v, (v // 4) if rng.random() < 0.97 else 99) for r in range(40) for v in range(16)]
