@@ -141,6 +141,36 @@ def test_equal_vectors_are_one_row_of_the_matrix(monkeypatch, how):
     assert np.allclose(d, assignment.distances(left, right, V)[r, c])
 
 
+def test_distinct_vectors_take_few_searches(monkeypatch):
+    rng, made, read = np.random.default_rng(5), [], []
+    left, right = (pd.DataFrame({"pk": range(1100), "x": rng.permutation(9000)[:1100], "y": rng.integers(0, 40, (1100, 2)).tolist()}) for _ in range(2))
+    row = assignment.Costs.__getitem__
+    monkeypatch.setattr(assignment.Costs, "__getitem__", lambda self, i: made.append(i) or row(self, i))
+    r, c, d = assignment.pairs(left, right, V)
+    assert len(made) == 1100 and len(set(r)) == len(set(c)) == 1100
+
+    class Matrix(np.ndarray):
+        def __getitem__(self, i):
+            read.append(i)
+            return np.asarray(self)[i]
+
+    cost = rng.random((300, 2))[:, None] - rng.random((300, 2))
+    assignment.flows(np.abs(cost).sum(2).view(Matrix), np.ones(300, int), np.ones(300, int))
+    assert len(read) < 9000
+
+
+@pytest.mark.parametrize("n, m", [(150, 150), (149, 150), (150, 149), (120, 150)])
+def test_paths_from_all_rows_give_the_least_cost(monkeypatch, n, m):
+    points = np.random.default_rng(n).random((n + m, 3))
+    cost, totals = np.abs(points[:n, None] - points[n:]).sum(2), []
+    for spare in (1, 10**9):
+        monkeypatch.setattr(assignment, "SPARE", spare)
+        r, c = assignment.solve(cost)
+        assert len(set(r)) == len(set(c)) == min(n, m)
+        totals.append(cost[r, c].sum())
+    assert abs(totals[0] - totals[1]) < 1e-9
+
+
 def test_windows_and_monotonic(spark):
     m = spark.createDataFrame([(10, "", 100, ""), (50, "", 180, ""), (60, "", 90, "")], "lhs_pk bigint, lhs_name string, rhs_pk bigint, rhs_name string")
     for buckets in (1, 3, 1024):
